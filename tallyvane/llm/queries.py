@@ -16,8 +16,15 @@ def op4_byte_bpe_round_trip(spark, sf_dir):
     return bpe.encode_decode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, digests=True)
 
 
+def op10_token_counts(spark, sf_dir):
+    from tallyvane.llm import transducer
+
+    return transducer.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
 def queries() -> dict:
     return {
+        "op10_token_counts": op10_token_counts,
         "op4_byte_bpe_round_trip": op4_byte_bpe_round_trip,
     }
 

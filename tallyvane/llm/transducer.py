@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tallyvane.llm.bpe import blocks
 
 #: States a worker compiles before it starts anew. Bounds memory, never results.
-MOST_STATES = 150_000
+MOST_STATES = 250_000
 #: Bytes of text that one sweep covers at least, if the partition has them.
 BLOCK_BYTES = 6 << 20
 #: Chunks that step side by side.
@@ -57,7 +57,7 @@ def character_classes() -> np.ndarray:
 # States of the splitter: what the word that holds the last character is.
 (START, IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_SPACE, AFTER_BLANK, AFTER_RUN_SPACE, AFTER_RUN_BLANK, QUOTED,
  QUOTED_R, QUOTED_V, QUOTED_L, ENDED) = range(13)
-#: What a transition marks: a word begins at this character, or it began one or two characters ago; BACK stands for both.
+#: What a transition marks: a word begins at this character, at the one before it, or at both.
 NOTHING, HERE, ONE_AGO, ONE_AGO_AND_HERE = range(4)
 
 
@@ -155,20 +155,14 @@ def word_starts(classes: np.ndarray, fresh: np.ndarray, state: np.ndarray, mark:
     out[:n] = (told == HERE) | (told == ONE_AGO_AND_HERE)
     ago = np.flatnonzero(told >= ONE_AGO)
     out[ago - 1] = True
-    if symbols.size == n or True:
-        final = whole[(n - 1) // width] if n == lanes * width else None
-        end = final[START] if final is not None else _walk(classes, fresh, flat, whole, width, n)
-        if end in (QUOTED_R, QUOTED_V, QUOTED_L):
-            out[n - 1] = True
-    return out[:n]
-
-
-def _walk(classes, fresh, flat, whole, width, n) -> int:
+    # A half contraction at the very end: its letter is a word of its own.
     lane = (n - 1) // width
-    at = int(whole[lane - 1, START]) if lane else START
+    end = int(whole[lane - 1, START]) if lane else START
     for k in range(lane * width, n):
-        at = int(flat[at * 22 + int(classes[k]) + 11 * int(fresh[k])])
-    return at
+        end = int(flat[end * 22 + int(classes[k]) + 11 * int(fresh[k])])
+    if end in (QUOTED_R, QUOTED_V, QUOTED_L):
+        out[n - 1] = True
+    return out[:n]
 
 
 class Counter:
