@@ -22,8 +22,17 @@ def op10_token_counts(spark, sf_dir):
     return transducer.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op1_token_shards(spark, sf_dir):
+    from tallyvane.llm import shared, token_store
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    table = token_store.write(documents(spark, sf_dir), shared.folder(spark, "token-shards-ids"), path, end=2)
+    return token_store.read(table)
+
+
 def queries() -> dict:
     return {
+        "op1_token_shards": op1_token_shards,
         "op10_token_counts": op10_token_counts,
         "op4_byte_bpe_round_trip": op4_byte_bpe_round_trip,
     }
