@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 
 def documents(spark, sf_dir):
@@ -16,6 +17,22 @@ def op4_byte_bpe_round_trip(spark, sf_dir):
     return bpe.encode_decode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, digests=True)
 
 
+def op7_benchmark_hits(spark, sf_dir):
+    from tallyvane.llm import decontaminate
+
+    paths = decontaminate.prepare(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.search(documents(spark, sf_dir), paths)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 def op10_token_counts(spark, sf_dir):
     from tallyvane.llm import transducer
 
@@ -32,6 +49,7 @@ def op1_token_shards(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op7_benchmark_hits": op7_benchmark_hits,
         "op1_token_shards": op1_token_shards,
         "op10_token_counts": op10_token_counts,
         "op4_byte_bpe_round_trip": op4_byte_bpe_round_trip,
