@@ -33,6 +33,12 @@ def op7_benchmark_hits(spark, sf_dir):
     )
 
 
+def op9_repeated_passages(spark, sf_dir):
+    from tallyvane.llm import substring_dedup
+
+    return substring_dedup.digests(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark, sf_dir):
     from tallyvane.llm import transducer
 
@@ -50,6 +56,7 @@ def op1_token_shards(spark, sf_dir):
 def queries() -> dict:
     return {
         "op7_benchmark_hits": op7_benchmark_hits,
+        "op9_repeated_passages": op9_repeated_passages,
         "op1_token_shards": op1_token_shards,
         "op10_token_counts": op10_token_counts,
         "op4_byte_bpe_round_trip": op4_byte_bpe_round_trip,
