@@ -17,6 +17,12 @@ def op4_byte_bpe_round_trip(spark, sf_dir):
     return bpe.encode_decode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, digests=True)
 
 
+def op5_near_duplicates(spark, sf_dir):
+    from tallyvane.llm import jaccard_join
+
+    return jaccard_join.join(documents(spark, sf_dir))
+
+
 def op7_benchmark_hits(spark, sf_dir):
     from tallyvane.llm import decontaminate
 
@@ -55,6 +61,7 @@ def op1_token_shards(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op5_near_duplicates": op5_near_duplicates,
         "op7_benchmark_hits": op7_benchmark_hits,
         "op9_repeated_passages": op9_repeated_passages,
         "op1_token_shards": op1_token_shards,
