@@ -19,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words whose ids a worker keeps; beyond it the cache starts anew. Bounds memory, never results.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Bytes of text that one replay covers at least, if the partition has them.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 OUT = T.StructType(
     [
@@ -185,15 +186,20 @@ def encode_texts(texts: list[str | None], path: str, pattern: str) -> list[bytes
     return [b"".join(map(cache.__getitem__, words)) for words in pieces]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, least: int) -> Iterator[pa.Table]:
-    """Batches put together until their texts have that many bytes."""
-    held, size = [], 0
+def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.Table]:
+    """Batches cut, or put together, so that the texts of each table have about that many bytes; no text is cut."""
+    held, have = [], 0
     for batch in batches:
-        held.append(batch)
-        size += batch.column(column).nbytes
-        if size >= least:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        block = (have + np.cumsum(lengths, dtype=np.int64)) // size
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(lengths)]
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if k or (len(block) and block[0] > 0 and held):
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, have = [], 0
+            held.append(batch.slice(a, b - a))
+        have += int(lengths[cuts[-2] :].sum())
     if held:
         yield pa.Table.from_batches(held)
 
