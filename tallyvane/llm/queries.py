@@ -17,6 +17,14 @@ def op4_byte_bpe_round_trip(spark, sf_dir):
     return bpe.encode_decode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, digests=True)
 
 
+def op3_line_quality(spark, sf_dir):
+    from tallyvane.llm import line_crf
+
+    docs = documents(spark, sf_dir)
+    field = line_crf.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return line_crf.score(docs, field)
+
+
 def op5_near_duplicates(spark, sf_dir):
     from tallyvane.llm import jaccard_join
 
@@ -61,6 +69,7 @@ def op1_token_shards(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op3_line_quality": op3_line_quality,
         "op5_near_duplicates": op5_near_duplicates,
         "op7_benchmark_hits": op7_benchmark_hits,
         "op9_repeated_passages": op9_repeated_passages,
