@@ -47,6 +47,14 @@ def op7_benchmark_hits(spark, sf_dir):
     )
 
 
+def op8_language(spark, sf_dir):
+    from tallyvane.llm import byte_cnn
+
+    docs = documents(spark, sf_dir)
+    found = byte_cnn.identify(docs, byte_cnn.trained(docs))
+    return found.withColumn("held_out", byte_cnn.held_out(F.col("doc_id"))).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_repeated_passages(spark, sf_dir):
     from tallyvane.llm import substring_dedup
 
@@ -71,6 +79,7 @@ def queries() -> dict:
     return {
         "op3_line_quality": op3_line_quality,
         "op5_near_duplicates": op5_near_duplicates,
+        "op8_language": op8_language,
         "op7_benchmark_hits": op7_benchmark_hits,
         "op9_repeated_passages": op9_repeated_passages,
         "op1_token_shards": op1_token_shards,
