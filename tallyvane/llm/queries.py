@@ -17,6 +17,15 @@ def op4_byte_bpe_round_trip(spark, sf_dir):
     return bpe.encode_decode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, digests=True)
 
 
+def op2_toxicity(spark, sf_dir):
+    from tallyvane.llm import toxicity
+
+    docs = documents(spark, sf_dir)
+    model = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = toxicity.score(docs, model).withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+    return found.select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
 def op3_line_quality(spark, sf_dir):
     from tallyvane.llm import line_crf
 
@@ -77,6 +86,7 @@ def op1_token_shards(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op2_toxicity": op2_toxicity,
         "op3_line_quality": op3_line_quality,
         "op5_near_duplicates": op5_near_duplicates,
         "op8_language": op8_language,
