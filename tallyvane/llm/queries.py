@@ -40,6 +40,42 @@ def op5_near_duplicates(spark, sf_dir):
     return jaccard_join.join(documents(spark, sf_dir))
 
 
+def op6_fixity_audit(spark, sf_dir):
+    """Pages as an archive against a replica where some bodies have lost their last characters and some files their ends."""
+    from tallyvane.llm import shared, warc_fixity
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    good = shared.written(warc_fixity.layout(warc_fixity.render(pages)), "archive")
+    worn = pages.withColumn("html", F.when(F.col("page_id") % 97 == 13, F.col("html").substr(F.lit(1), F.length("html") - 3)).otherwise(F.col("html")))
+    cut = (F.floor(F.col("page_id") / 256) % 7 == 3) & (F.col("page_id") % 256 >= 250)
+    other = shared.written(warc_fixity.layout(warc_fixity.render(worn.filter(F.coalesce(~cut, F.lit(True))))), "archive")
+    found = warc_fixity.damaged(good, other)
+    return found.join(good, ["file", "ordinal"]).select("file", "ordinal", F.col("key").alias("page_id"), "offset", "length", "kind")
+
+
+#: The same records from sizes alone: a body that shrinks moves the offsets of the records after it in its file.
+OP6_SQL = r"""
+WITH sized AS (
+  SELECT page_id, page_id // 256 AS file, html, url,
+    strlen('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+      || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+      || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
+      || chr(13) || chr(10) || chr(13) || chr(10)) + strlen(coalesce(html, '')) + 4 AS length,
+    page_id % 97 = 13 AS worn,
+    (page_id // 256) % 7 = 3 AND page_id % 256 >= 250 AS cut
+  FROM pages
+), placed AS (
+  SELECT *, row_number() OVER w - 1 AS ordinal,
+    coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset",
+    coalesce(bool_or(worn) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), FALSE) AS moved
+  FROM sized WINDOW w AS (PARTITION BY file ORDER BY page_id)
+)
+SELECT file, ordinal, page_id, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length,
+  CASE WHEN cut THEN 'missing' ELSE 'changed' END AS kind
+FROM placed WHERE cut OR moved
+"""
+
+
 def op7_benchmark_hits(spark, sf_dir):
     from tallyvane.llm import decontaminate
 
@@ -90,6 +126,7 @@ def queries() -> dict:
         "op3_line_quality": op3_line_quality,
         "op5_near_duplicates": op5_near_duplicates,
         "op8_language": op8_language,
+        "op6_fixity_audit": op6_fixity_audit,
         "op7_benchmark_hits": op7_benchmark_hits,
         "op9_repeated_passages": op9_repeated_passages,
         "op1_token_shards": op1_token_shards,
@@ -99,4 +136,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_fixity_audit": OP6_SQL}
