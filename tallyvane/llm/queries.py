@@ -120,8 +120,15 @@ def op1_token_shards(spark, sf_dir):
     return token_store.read(table)
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op2_toxicity": op2_toxicity,
         "op3_line_quality": op3_line_quality,
         "op5_near_duplicates": op5_near_duplicates,
