@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from tallyvane.plans import search_queries
+
+_MODULES = [search_queries]
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    return search_queries.retrieval_recall(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: query for m in _MODULES for name, (query, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
