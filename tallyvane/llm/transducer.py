@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 from tallyvane.llm.bpe import blocks
 
 #: States a worker compiles before it starts anew. Bounds memory, never results.
-MOST_STATES = 250_000
+MOST_STATES = 100_000
 #: Bytes of text that one sweep covers at least, if the partition has them.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 #: Chunks that step side by side.
 LANES = 4096
 
@@ -182,10 +182,10 @@ class Counter:
                     self.token.append(-1)
                 node = self.children[node][b]
             self.token[node] = token
-        self.side: dict[tuple[int, int], bool] = {}
         self.reset()
 
     def reset(self) -> None:
+        self.side: dict[tuple[int, int], bool] = {}
         self.states: list[tuple] = [((0, -1, 0),)]
         self.number = {self.states[0]: 0}
         self.next = np.full((1024, 256), -1, np.int32)
