@@ -19,8 +19,10 @@ key; rows of equal key keep one slot, in the order of their texts; an empty tabl
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -137,28 +139,38 @@ class ShardIndex:
 _encoders: dict[str, tuple[object, dict[bytes, bytes]]] = {}
 
 
+#: Marks between a letter or digit, ASCII or Latin-1, and white space.
+MARKS = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,!?;:$%&*#|]+)(?=[ \t-\r]|$)")
+
+
+def plain(text: bytes) -> bytes:
+    """The text in lower case, a space before marks that end a word; as it is where special strings could be in it."""
+    return text if b"<|" in text else MARKS.sub(rb" \1", text.lower())
+
+
 def encoded(texts: list[str | None], path: str, width: int, end: int) -> list[bytes]:
     """Ids of each text by the tokenizers library, with the end id.
 
     The vocabulary file's own rules make white space a border that no token crosses, so that distinct words are encoded
-    once and their ids joined; words in this sense may hold any other character, special strings included.
+    once and their ids joined. The rules also lower-case and part letters or digits from marks after them, so that words
+    are looked up in lower case (A-Z) and without the marks at their ends, unless the text may hold a special string.
     """
     if path not in _encoders:
         from tokenizers import Tokenizer
 
         _encoders[path] = (Tokenizer.from_file(path), {})
     library, cache = _encoders[path]
-    words = [t.encode().split() if t else [] for t in texts]
+    words = [plain(t.encode()).split() if t else [] for t in texts]
     fresh = list({w for ws in words for w in ws if w not in cache})
     if len(cache) + len(fresh) > CACHE_WORDS:
         cache.clear()
         fresh = list({w for ws in words for w in ws})
-    kind = f"<u{width}"
+    kind = "H" if width == 2 else "I"
     for a in range(0, len(fresh), 4096):
         part = fresh[a : a + 4096]
         for word, found in zip(part, library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            cache[word] = np.array(found.ids, kind).tobytes()
-    last = np.array([end], kind).tobytes()
+            cache[word] = array(kind, found.ids).tobytes()
+    last = array(kind, [end]).tobytes()
     return [b"".join(map(cache.__getitem__, ws)) + last for ws in words]
 
 

@@ -24,8 +24,9 @@ def test_round_trip_against_the_library(spark):
     library = Tokenizer.from_file(PATH)
     texts = [
         "Hello  World it's", None, "", "a b <|endoftext|>x é ́ \x1cq", "x" * 5000, "ABC def " * 3000, "ΣΣ İ\n\n123",
+        "é. x×. É, e\u0301. it's. 'S! a.b. <|ENDOFTEXT|>. 1.5, ...! ñ%%% n***\nq|",
     ]
-    rows = [(k * 7 % 60, texts[k % 7], "other", k) for k in range(60)] + [(3, "tie", "x", 1), (3, "tie", "x", 1), (None, "no key", "x", 1)]
+    rows = [(k * 7 % 60, texts[k % 8], "other", k) for k in range(60)] + [(3, "tie", "x", 1), (3, "tie", "x", 1), (None, "no key", "x", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, hash string, shard int").repartition(5)
     got = token_store.read(token_store.write(docs, shared.folder(spark, "t"), PATH, end=2)).collect()
     start, expected = 0, []
