@@ -97,7 +97,7 @@ def pack(shards: int, texts, order: np.ndarray, digest: np.ndarray):
     start = begin - w.first[text_of[begin]]
     text = text_of[begin]
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard[by])) + 1, [len(by)]]).tolist()
-    squeeze = zstandard.ZstdCompressor(level=1)
+    squeeze = zstandard.ZstdCompressor(level=5)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         own = by[a:b]
         number: dict[bytes, int] = {}
