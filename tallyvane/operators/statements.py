@@ -79,7 +79,7 @@ def extract_figures(contexts: DataFrame) -> DataFrame:
     labels = F.create_map(*(F.lit(x) for pair in LABELS for x in pair))
     rows = contexts.filter("status = 'final'").select("deal", "place", "scale", "document", "page", F.posexplode("rows").alias("at", "cells"))
     rows = rows.withColumn("key", labels[F.lower(F.trim(F.element_at("cells", 1)))]).filter("key IS NOT NULL")
-    numbers = F.filter(F.transform(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), X.money), lambda v: v.isNotNull())
+    numbers = F.filter(F.transform(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), lambda c: X.money(c)), lambda v: v.isNotNull())
     rows = rows.withColumn("series", F.transform(numbers, lambda v: v * F.col("scale"))).filter(F.size("series") > 0)
     first = Window.partitionBy("deal", "key").orderBy("place", "at")
     rows = rows.withColumn("r", F.row_number().over(first)).filter("r = 1")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyvane.plans import page_queries, search_queries
+from tallyvane.plans import finance_queries, operation_queries, page_queries, search_queries
 
-_MODULES = [search_queries, page_queries]
+_MODULES = [search_queries, page_queries, finance_queries, operation_queries]
 
 
 def flagship(spark, sf_dir):

@@ -30,7 +30,7 @@ def settled(stream: DataFrame, name: str) -> DataFrame:
 
 def windowed_counts(events: DataFrame, width: str = "6 hours", late: str = "1 day") -> DataFrame:
     """Events and their value by tumbling window and type; events later than the watermark allows are dropped."""
-    own = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
+    own = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
     return own.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 
