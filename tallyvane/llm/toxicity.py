@@ -197,7 +197,9 @@ def trained(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: st
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("key"), "key"))
     most = F.when(F.col("toxic") == 1, TOXIC_EXAMPLES).otherwise(OTHER_EXAMPLES)
-    some = known.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+    # Ranks stop at a constant, so that each partition passes on no more than so many rows of a class.
+    first = known.withColumn("rank", rank).filter(F.col("rank") <= max(TOXIC_EXAMPLES, OTHER_EXAMPLES))
+    some = F.broadcast(first.filter(F.col("rank") <= most).drop("rank"))  # no more keys than there are examples
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).join(some, "key")
     sample = rows.orderBy(F.xxhash64("key"), "key", "text").limit(TOXIC_EXAMPLES + OTHER_EXAMPLES).toArrow()
     toxic = np.array(sample.column("toxic").to_pylist(), np.int64)
