@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+@lru_cache(maxsize=1)
+def _own() -> str:
+    """This process's own folder, for sessions that name none."""
+    return tempfile.mkdtemp(prefix="shared-")
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names; a local one only where that is unset, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", top)
+    top = spark.conf.get("spark.checkpoint.dir", None) or _own()
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
