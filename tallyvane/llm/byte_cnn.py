@@ -27,6 +27,8 @@ from tallyvane.llm.words import utf8
 
 #: Labelled texts of each language, and windows of each text, that the network is trained on at most.
 TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT = 250, 2
+#: Labelled texts in all: those of 200 languages.
+MOST_TEXTS = 50_000
 #: Bytes of a window; widths of filters, and filters of each.
 LENGTH, WIDTHS, FILTERS = 192, (2, 3, 4), 12
 #: Passes over the sample.
@@ -176,8 +178,9 @@ def trained(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label:
     names = known.select(known[key].alias("key"), known[label].alias("label"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("key"), "key"))
     some = names.withColumn("rank", rank).filter(F.col("rank") <= TEXTS_PER_LANGUAGE).select("key").distinct()
+    some = F.broadcast(some.limit(MOST_TEXTS))
     rows = known.select(known[key].alias("key"), known[text].alias("text"), known[label].alias("label")).join(some, "key")
-    sample = rows.select(F.col("text").substr(1, 20 * LENGTH).alias("text"), "label", "key").orderBy("label", F.xxhash64("key"), "key", "text").limit(TEXTS_PER_LANGUAGE * 200).toArrow()
+    sample = rows.select(F.col("text").substr(1, 20 * LENGTH).alias("text"), "label", "key").orderBy("label", F.xxhash64("key"), "key", "text").limit(MOST_TEXTS).toArrow()
     labels = sample.column("label").to_pylist()
     languages = sorted(set(labels))
     if not languages:
