@@ -4,8 +4,8 @@ The distinct words of a block of documents form one flat array of symbols. An in
 mergeable pair to all positions where it stands. Ranks are replayed in ascending order; each replay rewrites every
 position of the pair at once and looks up only the pairs of the touched neighbours, whose positions join the index.
 
-Results of words are kept in a cache of bounded size that lives as long as the Python worker, so that later blocks only
-replay words they bring anew.
+Results of words are kept, for a partition's later blocks, in a cache of bounded size, so that these only replay words they
+bring anew.
 
 Defined cases: a null text counts as empty and has no ids; equal texts give equal rows; a text of any length is one row.
 """
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Words whose ids a worker keeps; beyond it the cache starts anew. Bounds memory, never results.
+#: Words whose ids a partition keeps; beyond it the cache starts anew. Bounds memory, never results.
 CACHE_WORDS = 400_000
 #: Bytes of text that one replay covers at least, if the partition has them.
 BLOCK_BYTES = 4 << 20
@@ -231,6 +231,7 @@ def encode_decode(
                 payload = [pa.array(ids, pa.binary()), pa.array([replay.decode(x) for x in ids], pa.binary())]
             done = pa.Table.from_arrays([table.column("key"), counts, *payload], names=schema.names)
             yield from done.combine_chunks().to_batches(max_chunksize=10_000)
+        _worker(path, pattern)[2].clear()
 
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
