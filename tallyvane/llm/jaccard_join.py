@@ -18,7 +18,7 @@ among sets of that kind. For sets of 100 shingles and more the extension leaves
 than a prefix in its part of the range at all.
 
 Blocks are verified first as stars around one node, on whole sets; then all pairs of a block's nodes that aren't yet in
-one component. Links between them and the components so far give the final components; no link between components is lost.
+one component, unless the shingles that only one of them holds rule a pair out. Links between them and the components so far give the final components; no link between components is lost.
 
 Defined cases: texts of fewer than five words are one shingle, the whole sequence; null texts and texts without words are
 empty sets and linked with nothing; rows of equal doc_id are separate; a null doc_id is never the smallest unless all are.
@@ -43,7 +43,7 @@ RARE = 8
 #: Parts of the range of sizes: least and most shingles of a set, and the share of the hash range looked at. They overlap by
 #: the quarter that similar sets may differ in size.
 TIERS = ((4, 125, 1.0), (100, 500, 0.5), (400, 1 << 60, 0.4))
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Bits of the filter of nodes whose sets are needed: so many for each node, up to a fixed most. A filter that
 #: is too small lets more sets through, to a join that drops them.
 FILTER_BITS, FILTER_MOST = 16, 1 << 27
@@ -104,7 +104,7 @@ def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
 def postings(docs: DataFrame, text: str) -> DataFrame:
     """Rare blocks (kind 0: block, node) and frequent shingles (kind 1: shingle as block, node), with n, the tier and c,
     the number of the set's shingles that the tier looks at."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches):
         for table in blocks(batches, "text", BLOCK_BYTES):
@@ -180,7 +180,8 @@ def postings(docs: DataFrame, text: str) -> DataFrame:
 
 def combinations(frequent: DataFrame) -> DataFrame:
     """Blocks (kind 2) of two frequent shingles of a group, and single frequent shingles (kind 3) of sets whose groups don't
-    suffice; both with node and n."""
+    suffice; both with node, n, odd (the rare shingles in a thousand), own (the set's class of sizes) and used: whether the block
+    is of the groups that already make up the set's prefix."""
 
     def run(batches):
         for batch in batches:
@@ -189,6 +190,7 @@ def combinations(frequent: DataFrame) -> DataFrame:
                 rare = c - len(tokens)
                 if rare >= prefix(n):
                     continue
+                odd = rare * 1000 // c
                 token = np.array(tokens, np.int64).view(np.uint64)
                 own = int(np.searchsorted(STEPS, n, side="right")) - 1
                 for step in (own, own + 1):
@@ -197,26 +199,29 @@ def combinations(frequent: DataFrame) -> DataFrame:
                     group, sorted_ = group[by], token[by]
                     count = np.bincount(group)
                     if step == own and rare + int((count - 1).clip(0).sum()) < prefix(n):
-                        out.append((np.full(len(token), 3, np.int32), mixed(token, 7).view(np.int64), node, n))
+                        out.append((np.full(len(token), 3, np.int32), mixed(token, 7).view(np.int64), node, n, odd, np.ones(len(token), bool), own))
                     place = np.arange(len(group)) - (np.cumsum(count) - count)[group]
+                    # The first groups that make up a prefix, in the class of sizes that is the set's own.
+                    before = rare + np.cumsum((count - 1).clip(0)) - (count - 1).clip(0)
+                    used = (before < prefix(n))[group] & (step == own)
                     for gap in range(1, int(count.max())):
                         left = np.flatnonzero(place + gap < count[group])
                         pair = mixed(sorted_[left], 200 + step) + mixed(sorted_[left + gap], 300 + step) * np.uint64(3) + np.uint64(tier)
-                        out.append((np.full(len(pair), 2, np.int32), mixed(pair, 3).view(np.int64), node, n))
+                        out.append((np.full(len(pair), 2, np.int32), mixed(pair, 3).view(np.int64), node, n, odd, used[left], own))
             if out:
                 sizes = [len(x[1]) for x in out]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([x[0] for x in out])),
                         pa.array(np.concatenate([x[1] for x in out])),
-                        pa.array(np.repeat(np.array([x[2] for x in out], np.int64), sizes)),
-                        pa.array(np.repeat(np.array([x[3] for x in out], np.int64), sizes)),
+                        *(pa.array(np.repeat(np.array([x[k] for x in out], np.int64), sizes)) for k in (2, 3, 4, 6)),
+                        pa.array(np.concatenate([x[5] for x in out])),
                     ],
-                    names=["kind", "block", "node", "n"],
+                    names=["kind", "block", "node", "n", "odd", "own", "used"],
                 )
 
     per_set = frequent.groupBy("node", "n", "tier", "c").agg(F.collect_list("block").alias("tokens"))  # no more than a text's words
-    return per_set.mapInArrow(run, "kind int, block long, node long, n long")
+    return per_set.mapInArrow(run, "kind int, block long, node long, n long, odd long, own long, used boolean")
 
 
 def places(node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,9 +249,8 @@ def needed(keys: DataFrame):
     return out, bits
 
 
-def verified(docs: DataFrame, text: str, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar, by their whole sets."""
-    keys = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def tokens_of(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
+    """node and tokens (its whole set) of the nodes in `keys`; a node comes once of each partition that has it."""
     passes, bits = needed(keys)
     held = docs.sparkSession.sparkContext.broadcast(passes)
 
@@ -261,24 +265,52 @@ def verified(docs: DataFrame, text: str, pairs: DataFrame, name: str) -> DataFra
             word, bit = places(node, bits)
             node = node[held.value[word] & bit != 0].tolist()
             done.update(node)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([found[k].tobytes() for k in node], pa.binary())], names=["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([found[k].view(np.int64) for k in node], pa.list_(pa.int64()))], names=["node", "tokens"])
 
-    def compare(batches):
-        for batch in batches:
-            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-            keep = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                common = int((x[at] == y).sum())
-                keep.append(100 * common >= 80 * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    tokens = docs.select(docs[text].alias("text")).mapInArrow(load, "node long, tokens binary")
-    # A node is read once of each partition that has it, so that pairs may come twice; they stay links all the same.
+    return docs.select(docs[text].alias("text")).mapInArrow(load, "node long, tokens array<long>")
+
+
+def verified(docs: DataFrame, text: str, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar, by their whole sets."""
+    tokens = tokens_of(docs, text, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    # A node may come of several partitions and pairs so come twice; they stay links all the same.
     right = pairs.join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b")
     both = right.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
-    return shared.written(both.mapInArrow(compare, "a long, b long"), name)
+    common = F.size(F.array_intersect("left", "right"))
+    return shared.written(both.filter(100 * common >= 80 * (F.size("left") + F.size("right") - common)).select("a", "b"), name)
+
+
+def crossing(docs: DataFrame, text: str, open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of a block and different components that may be similar.
+
+    Shingles that no other node of the combination blocks holds are no pair's: with s the rest of a set of n, similar sets
+    have n + n' <= 2.25 * s, for either's s."""
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+
+    rows = open_.filter("kind = 0")  # blocks of RARE nodes at most
+    left = rows.select("block", F.col("node").alias("a"), F.col("n").alias("m"), F.col("comp").alias("x"))
+    few = left.join(rows.select("block", F.col("node").alias("b"), "n", F.col("comp").alias("y")), "block").filter("x < y").filter(similar_sizes("m", "n")).select(*pair)
+
+    many = open_.filter("kind > 0")
+    keys = many.select("node").distinct()
+    tokens = shared.written(tokens_of(docs, text, keys).dropDuplicates(["node"]).join(keys, "node"), "jaccard-sets")
+    held = tokens.select("node", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("k"), F.min("node").alias("node"))
+    private = held.filter("k = 1").groupBy("node").agg(F.count("*").alias("private"))
+    many = many.join(private, "node", "left").withColumn("s", F.col("n") - F.coalesce("private", F.lit(0)))
+    reachable = F.least(F.col("n") * 5, F.col("s") * 9 - F.col("n") * 4) >= F.col("n") * 0.8 * 4 - 9  # some similar size is left
+    # Of two components the smaller looks for partners in the larger. The set of the larger class of sizes makes sure of a common
+    # block among its used ones; of one class either does, so the one that looks.
+    sizes = many.select("node", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
+    many = many.join(sizes, "comp")
+    seeking = many.filter(reachable).select("kind", "block", F.col("node").alias("a"), F.col("n").alias("m"), F.col("comp").alias("x"), F.col("s").alias("t"), F.col("own").alias("o"), F.col("used").alias("u"), F.col("size").alias("z"))
+    right = many.select("block", F.col("node").alias("b"), "n", F.col("comp").alias("y"), "s", "own", "used", "size")
+    larger = (F.col("size") > F.col("z")) | ((F.col("size") == F.col("z")) & (F.col("y") > F.col("x")))
+    allowed = (F.col("m") + F.col("n")) * 4 <= F.least("s", "t") * 9
+    single = F.col("kind") == 3
+    mine = seeking.filter(single | F.col("u")).join(right, "block").filter(single | (F.col("own") <= F.col("o")))
+    theirs = seeking.filter(~single).withColumn("own", F.col("o") + 1).join(right.filter("used"), ["block", "own"])
+    both = [x.filter(larger & similar_sizes("m", "n") & allowed).select(*pair) for x in (mine, theirs)]
+    return few.unionByName(both[0]).unionByName(both[1]).distinct()
 
 
 def similar_sizes(a: str, b: str):
@@ -290,26 +322,24 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     rows = nodes(docs, key, text)
     found = postings(docs, text)
     paired = combinations(found.filter("kind = 1").select("block", "node", "n", "tier", "c"))
-    members = found.filter("kind = 0").select("kind", "block", "node", "n").unionByName(paired)
-    members = shared.written(members.distinct(), "jaccard-blocks").drop("kind")
-
-    # First all of a block with its least node.
-    heads = members.groupBy("block").agg(F.min_by("n", "node").alias("m"), F.min("node").alias("a"), F.max("node").alias("z"))
-    stars = heads.filter("a <> z").join(members.withColumnRenamed("node", "b"), "block")
-    stars = shared.written(stars.filter(F.col("a") != F.col("b")).filter(similar_sizes("n", "m")).select("a", "b").distinct(), "jaccard-stars")
+    members = found.filter("kind = 0").select("kind", "block", "node", "n", *(F.lit(0).cast("long").alias(c) for c in ("odd", "own")), F.lit(True).alias("used")).unionByName(paired)
+    members = shared.written(members.distinct(), "jaccard-blocks")
+
+    # First all of a block with one node: of copies with changes most likely the one that they were made of, as all its shingles
+    # are frequent.
+    heads = members.groupBy("block").agg(F.min(F.struct("odd", "node", "n")).alias("h"), F.min("node").alias("low"), F.max("node").alias("high"))
+    heads = heads.filter("low <> high").select("block", F.col("h.node").alias("a"), F.col("h.n").alias("m"))
+    stars = heads.join(members.withColumnRenamed("node", "b"), "block").filter(F.col("a") != F.col("b")).filter(similar_sizes("n", "m"))
+    stars = shared.written(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-stars")
     links = verified(docs, text, stars, "jaccard-links")
     label = components(links)
 
     # Then those of a block that aren't in one component yet.
     known = members.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed_blocks = known.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("block")
-    open_ = shared.written(known.join(mixed_blocks, "block"), "jaccard-open")
-    left = open_.select("block", F.col("node").alias("a"), F.col("n").alias("m"), F.col("comp").alias("x"))
-    right = open_.select("block", F.col("node").alias("b"), "n", F.col("comp").alias("y"))
-    crossing = left.join(right, "block").filter(F.col("x") < F.col("y")).filter(similar_sizes("m", "n"))
-    crossing = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crossing = shared.written(crossing.join(stars, ["a", "b"], "left_anti"), "jaccard-crossing")
-    more = verified(docs, text, crossing, "jaccard-links")
+    several = known.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("block")
+    open_ = shared.written(known.join(several, "block"), "jaccard-open")
+    left_over = shared.written(crossing(docs, text, open_).join(stars, ["a", "b"], "left_anti"), "jaccard-crossing")
+    more = verified(docs, text, left_over, "jaccard-links")
     if not more.isEmpty():
         label = components(links.unionByName(more))
 
