@@ -226,7 +226,9 @@ def partly(bodies: list[bytes], first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     rows, same = np.unique(low, return_inverse=True)
     top = np.empty(len(rows), np.int64)
     top[same] = high
-    earliest = np.minimum.reduceat(key[index.order], np.stack([rows, np.minimum(top, len(key) - 1)], 1).ravel())[::2]
+    # One more place behind the last row, as the last range ends there.
+    placed = np.append(key[index.order], np.iinfo(np.int64).max)
+    earliest = np.minimum.reduceat(placed, np.stack([rows, top], 1).ravel())[::2]
     own = first[text_of[ask]] + ask - w.first[text_of[ask]]
     ask = ask[earliest[same] < own]
     if not len(ask):

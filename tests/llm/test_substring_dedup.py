@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from tallyvane.llm import substring_dedup
 
@@ -50,6 +51,22 @@ def test_against_brute_force(spark, seed):
     assert left == sorted((d, h) for d, _, _, h in expected)
 
 
+@pytest.mark.parametrize("turn", range(40))
+def test_last_row_of_the_suffix_order(turn):
+    """Two segments that share one window of 20 words; whichever of its shingles is the shard's greatest symbol, only the
+    later window is removed."""
+    rng = random.Random(turn)
+    say = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    passage = say(20)
+    texts = [say(3) + passage + say(2), say(1) + passage + say(4)]
+    bodies = [" ".join(t).encode() for t in texts]
+    for first in ([0, 1 << 32], [1 << 32, 0]):
+        later = int(first[1] > first[0])
+        at = 3 if later == 0 else 1
+        found = substring_dedup.partly(bodies, np.array(first))
+        assert [x.tolist() for x in found] == [[later], [at], [at + 20]]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup.digests(docs).collect() == []
