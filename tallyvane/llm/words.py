@@ -73,7 +73,8 @@ def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         low, high = int(begin[a]), int(end[b - 1])
         n = max(SEGMENT, high - low)
         if n not in _tables:
-            tables = _powers(_BASE, n), _powers(_INVERSE, n)
+            # An empty span may stand right behind the last byte.
+            tables = _powers(_BASE, n + 1), _powers(_INVERSE, n + 1)
             if n == SEGMENT:
                 _tables[n] = tables
         else:

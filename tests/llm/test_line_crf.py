@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from tallyvane.llm import line_crf
+from tallyvane.llm.words import SEGMENT
 
 rng = random.Random(11)
 
@@ -89,3 +90,14 @@ def test_empty_tables(tables):
     field = line_crf.trained(docs.limit(0), labels.limit(0))
     assert line_crf.score(docs.limit(0), field).collect() == []
     assert all(r.kept == (not r.base_failed) for r in line_crf.score(docs, field).collect())
+
+
+@pytest.mark.parametrize("last", [b"", b"\nabc", None])
+def test_empty_line_at_the_border_of_a_segment(last):
+    texts = [b"a" * (SEGMENT - 1) + b"\n\nabc\nabc", last, b"x"]
+    found = line_crf.lines(texts)
+    rows = [line for t in texts for line in (t or b"").split(b"\n")]
+    assert found.n_words.tolist() == [len(r.split()) for r in rows]
+    assert found.repeated.tolist()[:4] == [False, False, False, True]
+    again = line_crf.lines([b"a" * (SEGMENT - 1), *([None, b""] * 3), b"abc\nabc"])
+    assert again.repeated.tolist() == [False] * 8 + [True]
