@@ -92,11 +92,48 @@ def review_items(decisions: DataFrame, checks: DataFrame, findings: DataFrame, i
     return out.distinct().select(name.alias("item_id"), "deal", "kind", "summary", operations.priority("kind").alias("priority"))
 
 
-def run_attacks(contexts: DataFrame, attacks: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Per deal and attack: whether the payload was detected, and the decision that the poisoned contexts lead to.
-
-    The decision follows the metrics, never a document's prose: instructions leave it as it is, and a figure that a payload
-    adds counts only if no context before it has one. baseline: deal, decision."""
-    hit = operations.poisoned(contexts, attacks).groupBy("attack", "deal").agg(F.max(X.instruction_kind("text").isNotNull()).alias("detected"))
-    out = hit.join(attacks.select("attack", "family"), "attack").join(baseline.withColumnRenamed("decision", "baseline"), "deal")
-    return out.select("attack", "family", "deal", "baseline", F.col("baseline").alias("decision"), "detected", F.lit(None).cast("string").alias("error"))
+def statement_rows(text):
+    """The lines of a text that are a label and then figures, as arrays of cells."""
+    line = r"^\s*([A-Za-z][A-Za-z ,&-]*?)((?:\s+\(?\$?[0-9][0-9,]*\)?)+)\s*$"
+    shown = F.filter(F.split(text, "\n"), lambda x: x.rlike(line))
+    return F.transform(shown, lambda x: F.concat(F.array(F.regexp_extract(x, line, 1)), F.split(F.trim(F.regexp_extract(x, line, 2)), r"\s+")))
+
+
+def decided(contexts: DataFrame) -> DataFrame:
+    """Memos written from contexts (deal, place, text; all final) and held against their figures: of operations.guard()."""
+    pages = contexts.select(
+        "deal", "place", F.lit("final").alias("status"), X.scale("text").alias("scale"), F.lit("contexts").alias("document"), F.lit(1).alias("page"), statement_rows("text").alias("rows")
+    )
+    keys = [k for _, k in statements.LABELS]
+    found = statements.extract_figures(pages).groupBy("deal").pivot("key", keys).agg(F.first("value"))
+    found = contexts.select("deal").distinct().join(found, "deal", "left")
+    broken = statements.identity_findings(found).groupBy("deal").agg(F.count("*").alias("broken"))
+    lines = found.withColumns(
+        {
+            "borrower": F.col("deal"),
+            "year": F.lit(0),
+            "total_debt": F.col("current_portion_ltd") + F.col("ltd_noncurrent"),
+            "total_current_assets": F.col("current_assets"),
+            "total_current_liabilities": F.col("current_liabilities"),
+            "prior_revenue": F.lit(None).cast("double"),
+        }
+    )
+    ratios = statements.metrics(lines).select(F.col("borrower").alias("deal"), "leverage", "dscr")
+    rows = found.select("deal", "revenue", "ebitda").join(ratios, "deal").withColumns({"document": F.lit("contexts"), "page": F.lit(1)})
+    memos = draft(rows).join(ratios, "deal").join(broken, "deal", "left").fillna(0, ["broken"])
+    return operations.guard(memos)
+
+
+def run_attacks(contexts: DataFrame, attacks: DataFrame) -> DataFrame:
+    """Per deal and attack: whether the payload itself reads as an instruction, the recommendation of the memo written from
+    the poisoned contexts and of the one from the clean ones (baseline), and whether the guard blocks the poisoned one.
+
+    The decision follows the figures that the contexts print, never their prose: instructions leave it as it is, and a
+    figure that a payload adds counts only if no context before it has one. contexts: deal, place, kind, text."""
+    clean = contexts.select(F.lit("").alias("attack"), "deal", "place", "text")
+    every = operations.poisoned(contexts, attacks).select("attack", "deal", "place", "text").unionByName(clean)
+    ends = decided(every.select(F.struct("attack", "deal").alias("deal"), "place", "text")).select("deal.attack", "deal.deal", "stated", "blocked")
+    baseline = ends.filter("attack = ''").select("deal", F.col("stated").alias("baseline"))
+    detected = attacks.select("attack", "family", X.instruction_kind("payload").isNotNull().alias("detected"))
+    out = ends.join(detected, "attack").join(baseline, "deal")
+    return out.select("attack", "family", "deal", "baseline", F.col("stated").alias("decision"), "blocked", "detected", F.lit(None).cast("string").alias("error"))

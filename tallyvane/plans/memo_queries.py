@@ -67,11 +67,11 @@ FROM d GROUP BY deal"""
 
 
 def attack_families(spark, sf_dir):
-    """Every attack on every source's first documents of each language, reported by family."""
+    """Every attack on every source's first documents of each language, reported by family: memos are written again from the
+    poisoned documents."""
     docs = tables.table(spark, sf_dir, "documents").select(F.col("source").alias("deal"), F.col("doc_id").alias("place"), F.when(F.col("lang") == "en", "financial_statements").when(F.col("lang") == "fr", "correspondence").otherwise("other").alias("kind"), "text")
     attacks = spark.createDataFrame(page_queries.ATTACKS, "attack string, family string, target string, payload string")
-    baseline = docs.select("deal", F.lit("DECLINE").alias("decision")).distinct()
-    return operations.attack_report(memo.run_attacks(docs, attacks, baseline))
+    return operations.attack_report(memo.run_attacks(docs, attacks))
 
 
 def review_items(spark, sf_dir):
