@@ -15,13 +15,23 @@ hold it:
 
 A set whose groups don't suffice (chance made its part of the range too small) is indexed by its frequent shingles singly
 among sets of that kind. For sets of 100 shingles and more the extension leaves a chance below 1e-8 that a set has less
-than a prefix in its part of the range at all.
+than a prefix in its part of the range at all; sets of a tier in which one has are all indexed by the whole range.
 
-Blocks are verified first as stars around one node, on whole sets; then all pairs of a block's nodes that aren't yet in
-one component, unless the shingles that only one of them holds rule a pair out. Links between them and the components so far give the final components; no link between components is lost.
+Candidates are verified on whole sets, in rounds, each of which leaves out what one component already holds:
 
-Defined cases: texts of fewer than five words are one shingle, the whole sequence; null texts and texts without words are
-empty sets and linked with nothing; rows of equal doc_id are separate; a null doc_id is never the smallest unless all are.
+1. all pairs of a block of rare shingles; of a block of combinations each node with the one whose shingles most nodes hold;
+2. of the nodes of blocks that have several components, by shingles ranked anew among just these: each with the centre of each
+   shingle of its prefix;
+3. all that may be similar by those ranks. What a set holds alone, or only its component, comes first and pairs with nothing, so a
+   changed copy that isn't similar to its original meets only those that share some of its changes.
+
+No link between components is lost, nothing is capped; work follows the changes that texts share, not the square of a group.
+
+Defined cases: texts of fewer than five words are one shingle, the whole sequence; null texts and texts without words (empty ones,
+white space) are empty sets and linked with nothing; rows of equal doc_id are separate, rows that repeat are links of one
+another; a null doc_id is never the smallest unless all are; very long texts are cut into words a block at a time and their sets
+are taken whole. No tie is left open: nodes of equal odd go by their hash, components by the smallest key. Only the key and the text are
+read, so other columns, of whatever names, neither reach the result nor clash. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -44,6 +54,11 @@ RARE = 8
 #: the quarter that similar sets may differ in size.
 TIERS = ((4, 125, 1.0), (100, 500, 0.5), (400, 1 << 60, 0.4))
 BLOCK_BYTES = 4 << 20
+#: Shingles of all rows for each part of the hash range that a task meets at a time.
+PART_SHINGLES = 8_000_000
+#: Sets that may have partners in other components: how often those with too little in common with others are left out, and the
+#: step between classes of sizes that are paired.
+PASSES, SIZE_STEP = 3, 1.05
 #: Bits of the filter of nodes whose sets are needed: so many for each node, up to a fixed most. A filter that
 #: is too small lets more sets through, to a join that drops them.
 FILTER_BITS, FILTER_MOST = 16, 1 << 27
@@ -79,32 +94,43 @@ def size_steps() -> np.ndarray:
 STEPS = size_steps()
 
 
-def groups_of(tier: int, step: int) -> int:
+def looked_at(own: np.ndarray, share: float) -> np.ndarray:
+    """The shingles of a set in the part of the hash range that its tier looks at."""
+    return own if share == 1.0 else own[: np.searchsorted(own, np.uint64(int(share * 2**64)))]
+
+
+def groups_of(share: float, step: int) -> int:
     """Number of groups that frequent shingles of a tier's sets fall into, for the class of sizes."""
-    low, share = int(STEPS[step]), TIERS[tier][2]
+    low = int(STEPS[step])
     if share == 1.0:
         return max(1, int(0.4 * low))
     return max(1, int((share - 0.2) * low - 1 - 3 * (share * (1 - share) * low) ** 0.5))
 
 
 def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc (the key), node and n, the size of its set, for every row."""
+    """doc (the key), node, n, the size of its set, and short, the number of its first tier whose part of the range holds less than a
+    prefix of it (-1: none), for every row."""
     rows = docs.select(docs[key].alias("doc"), docs[text].alias("text"))
 
+    def lacking(own: np.ndarray) -> int:
+        n = len(own)
+        return next((k for k, (low, high, share) in enumerate(TIERS) if low <= n <= high and len(looked_at(own, share)) < prefix(n)), -1)
+
     def run(batches):
         for table in blocks(batches, "text", BLOCK_BYTES):
-            found = [(node, len(own)) for own, node in sets(utf8(table.column("text").combine_chunks()))]
-            node, n = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-            done = pa.Table.from_arrays([table.column("doc"), pa.array(node), pa.array(n)], names=["doc", "node", "n"])
+            found = [(node, len(own), lacking(own)) for own, node in sets(utf8(table.column("text").combine_chunks()))]
+            node, n, short = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+            done = pa.Table.from_arrays([table.column("doc"), pa.array(node), pa.array(n), pa.array(short)], names=["doc", "node", "n", "short"])
             yield from done.combine_chunks().to_batches()
 
-    return shared.written(rows.mapInArrow(run, f"doc {docs.schema[key].dataType.simpleString()}, node long, n long"), "jaccard-nodes")
+    return shared.written(rows.mapInArrow(run, f"doc {docs.schema[key].dataType.simpleString()}, node long, n long, short long"), "jaccard-nodes")
 
 
-def postings(docs: DataFrame, text: str) -> DataFrame:
-    """Rare blocks (kind 0: block, node) and frequent shingles (kind 1: shingle as block, node), with n, the tier and c,
-    the number of the set's shingles that the tier looks at."""
-    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def postings(docs: DataFrame, text: str, shingles: int, shares: list[float]) -> DataFrame:
+    """Rare blocks (kind 0: block, node) and frequent shingles (kind 1: shingle as block, node), with n, the tier, c, the number of
+    the set's shingles that the tier looks at, and held, the number of nodes that hold the shingle. Parts of the hash range are met
+    one by one; their number follows the number of shingles of all rows."""
+    parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shingles // PART_SHINGLES)
 
     def send(batches):
         for table in blocks(batches, "text", BLOCK_BYTES):
@@ -112,10 +138,10 @@ def postings(docs: DataFrame, text: str) -> DataFrame:
             head, tokens, owner = [], [], []
             for own, node in sets(utf8(table.column("text").combine_chunks())):
                 n = len(own)
-                for tier, (low, high, share) in enumerate(TIERS):
+                for tier, ((low, high, _), share) in enumerate(zip(TIERS, shares, strict=True)):
                     if not low <= n <= high or (int(node), tier) in seen:
                         continue
-                    part = own if share == 1.0 else own[: np.searchsorted(own, np.uint64(int(share * 2**64)))]
+                    part = looked_at(own, share)
                     seen[int(node), tier] = len(head)
                     tokens.append(mixed(part, 20 + tier))
                     owner.append(np.full(len(part), len(head), np.int64))
@@ -170,36 +196,38 @@ def postings(docs: DataFrame, text: str) -> DataFrame:
         at = np.repeat(begin[pick], size[pick]) + np.arange(len(inner)) - np.repeat(np.cumsum(size[pick]) - size[pick], size[pick])
         block = np.concatenate([name[pick][inner], mixed(token[often], 31) + np.uint64(part)]).view(np.int64)
         source = head[np.concatenate([owner[at], owner[often]])]
+        held = np.concatenate([size[pick][inner], np.repeat(size, size)[often]])
         kind = np.concatenate([np.zeros(len(at), np.int32), np.ones(int(often.sum()), np.int32)])
-        return pa.Table.from_arrays([pa.array(kind), pa.array(block), *(pa.array(source[:, k]) for k in range(4))], names=["kind", "block", "node", "n", "tier", "c"])
+        return pa.Table.from_arrays([pa.array(kind), pa.array(block), *(pa.array(source[:, k]) for k in range(4)), pa.array(held)], names=["kind", "block", "node", "n", "tier", "c", "held"])
 
     sent = docs.select(docs[text].alias("text")).mapInArrow(send, "part int, blob binary")
-    met = sent.groupBy("part").applyInArrow(meet, "kind int, block long, node long, n long, tier long, c long")
+    met = sent.groupBy("part").applyInArrow(meet, "kind int, block long, node long, n long, tier long, c long, held long")
     return shared.written(met, "jaccard-postings")
 
 
-def combinations(frequent: DataFrame) -> DataFrame:
+def combinations(frequent: DataFrame, shares: list[float]) -> DataFrame:
     """Blocks (kind 2) of two frequent shingles of a group, and single frequent shingles (kind 3) of sets whose groups don't
-    suffice; both with node, n, odd (the rare shingles in a thousand), own (the set's class of sizes) and used: whether the block
-    is of the groups that already make up the set's prefix."""
+    suffice; both with node, n, odd (the mean of one by the number of nodes that hold a shingle) and used: whether the block is of
+    the groups that already make up the set's prefix, in the class of sizes that is its own."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for node, n, tier, c, tokens in zip(*(batch.column(k).to_pylist() for k in ("node", "n", "tier", "c", "tokens")), strict=True):
+            columns = (batch.column(k).to_pylist() for k in ("node", "n", "tier", "c", "tokens", "odd"))
+            for node, n, tier, c, tokens, odd in zip(*columns, strict=True):
                 rare = c - len(tokens)
                 if rare >= prefix(n):
                     continue
-                odd = rare * 1000 // c
+                odd = (rare + odd) / c
                 token = np.array(tokens, np.int64).view(np.uint64)
                 own = int(np.searchsorted(STEPS, n, side="right")) - 1
                 for step in (own, own + 1):
-                    group = (mixed(token, 100 + step) % np.uint64(groups_of(tier, step))).astype(np.int64)
+                    group = (mixed(token, 100 + step) % np.uint64(groups_of(shares[tier], step))).astype(np.int64)
                     by = np.lexsort((token, group))
                     group, sorted_ = group[by], token[by]
                     count = np.bincount(group)
                     if step == own and rare + int((count - 1).clip(0).sum()) < prefix(n):
-                        out.append((np.full(len(token), 3, np.int32), mixed(token, 7).view(np.int64), node, n, odd, np.ones(len(token), bool), own))
+                        out.append((np.full(len(token), 3, np.int32), mixed(token, 7).view(np.int64), node, n, odd, np.ones(len(token), bool)))
                     place = np.arange(len(group)) - (np.cumsum(count) - count)[group]
                     # The first groups that make up a prefix, in the class of sizes that is the set's own.
                     before = rare + np.cumsum((count - 1).clip(0)) - (count - 1).clip(0)
@@ -207,21 +235,21 @@ def combinations(frequent: DataFrame) -> DataFrame:
                     for gap in range(1, int(count.max())):
                         left = np.flatnonzero(place + gap < count[group])
                         pair = mixed(sorted_[left], 200 + step) + mixed(sorted_[left + gap], 300 + step) * np.uint64(3) + np.uint64(tier)
-                        out.append((np.full(len(pair), 2, np.int32), mixed(pair, 3).view(np.int64), node, n, odd, used[left], own))
+                        out.append((np.full(len(pair), 2, np.int32), mixed(pair, 3).view(np.int64), node, n, odd, used[left]))
             if out:
                 sizes = [len(x[1]) for x in out]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([x[0] for x in out])),
                         pa.array(np.concatenate([x[1] for x in out])),
-                        *(pa.array(np.repeat(np.array([x[k] for x in out], np.int64), sizes)) for k in (2, 3, 4, 6)),
+                        *(pa.array(np.repeat(np.array([x[k] for x in out]), sizes)) for k in (2, 3, 4)),
                         pa.array(np.concatenate([x[5] for x in out])),
                     ],
-                    names=["kind", "block", "node", "n", "odd", "own", "used"],
+                    names=["kind", "block", "node", "n", "odd", "used"],
                 )
 
-    per_set = frequent.groupBy("node", "n", "tier", "c").agg(F.collect_list("block").alias("tokens"))  # no more than a text's words
-    return per_set.mapInArrow(run, "kind int, block long, node long, n long, odd long, own long, used boolean")
+    per_set = frequent.groupBy("node", "n", "tier", "c").agg(F.collect_list("block").alias("tokens"), F.sum(1 / F.col("held")).alias("odd"))  # no more than a text's words
+    return per_set.mapInArrow(run, "kind int, block long, node long, n long, odd double, used boolean")
 
 
 def places(node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -270,47 +298,80 @@ def tokens_of(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
     return docs.select(docs[text].alias("text")).mapInArrow(load, "node long, tokens array<long>")
 
 
-def verified(docs: DataFrame, text: str, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar, by their whole sets."""
-    tokens = tokens_of(docs, text, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    # A node may come of several partitions and pairs so come twice; they stay links all the same.
+def verified(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar, by their whole sets: tokens of each node."""
     right = pairs.join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b")
     both = right.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
     common = F.size(F.array_intersect("left", "right"))
-    return shared.written(both.filter(100 * common >= 80 * (F.size("left") + F.size("right") - common)).select("a", "b"), name)
-
-
-def crossing(docs: DataFrame, text: str, open_: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of a block and different components that may be similar.
-
-    Shingles that no other node of the combination blocks holds are no pair's: with s the rest of a set of n, similar sets
-    have n + n' <= 2.25 * s, for either's s."""
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-
-    rows = open_.filter("kind = 0")  # blocks of RARE nodes at most
-    left = rows.select("block", F.col("node").alias("a"), F.col("n").alias("m"), F.col("comp").alias("x"))
-    few = left.join(rows.select("block", F.col("node").alias("b"), "n", F.col("comp").alias("y")), "block").filter("x < y").filter(similar_sizes("m", "n")).select(*pair)
-
-    many = open_.filter("kind > 0")
-    keys = many.select("node").distinct()
-    tokens = shared.written(tokens_of(docs, text, keys).dropDuplicates(["node"]).join(keys, "node"), "jaccard-sets")
-    held = tokens.select("node", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("k"), F.min("node").alias("node"))
-    private = held.filter("k = 1").groupBy("node").agg(F.count("*").alias("private"))
-    many = many.join(private, "node", "left").withColumn("s", F.col("n") - F.coalesce("private", F.lit(0)))
-    reachable = F.least(F.col("n") * 5, F.col("s") * 9 - F.col("n") * 4) >= F.col("n") * 0.8 * 4 - 9  # some similar size is left
-    # Of two components the smaller looks for partners in the larger. The set of the larger class of sizes makes sure of a common
-    # block among its used ones; of one class either does, so the one that looks.
-    sizes = many.select("node", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
-    many = many.join(sizes, "comp")
-    seeking = many.filter(reachable).select("kind", "block", F.col("node").alias("a"), F.col("n").alias("m"), F.col("comp").alias("x"), F.col("s").alias("t"), F.col("own").alias("o"), F.col("used").alias("u"), F.col("size").alias("z"))
-    right = many.select("block", F.col("node").alias("b"), "n", F.col("comp").alias("y"), "s", "own", "used", "size")
-    larger = (F.col("size") > F.col("z")) | ((F.col("size") == F.col("z")) & (F.col("y") > F.col("x")))
-    allowed = (F.col("m") + F.col("n")) * 4 <= F.least("s", "t") * 9
-    single = F.col("kind") == 3
-    mine = seeking.filter(single | F.col("u")).join(right, "block").filter(single | (F.col("own") <= F.col("o")))
-    theirs = seeking.filter(~single).withColumn("own", F.col("o") + 1).join(right.filter("used"), ["block", "own"])
-    both = [x.filter(larger & similar_sizes("m", "n") & allowed).select(*pair) for x in (mine, theirs)]
-    return few.unionByName(both[0]).unionByName(both[1]).distinct()
+    return shared.written(both.filter(100 * common >= 80 * (F.size("left") + F.size("right") - common)).select("a", "b"), "jaccard-links")
+
+
+def shared_between(sets: DataFrame) -> DataFrame:
+    """node, n, comp, ranked: (df, token) in ascending order for each token that a set of another component holds, too, and light, the
+    sum of one by the number of sets that hold such a token.
+
+    Of similar sets of two components each has at least 0.8 of its tokens in the other; sets that lack so much are left out."""
+    rows = sets.select("node", "n", "comp", F.explode("tokens").alias("token"))
+    held = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    left = rows.join(held.filter("low <> high").select("token", "df"), "token")
+    ranked = F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked")  # no more than a text's words
+    back = left.groupBy("node", "n", "comp").agg(ranked, F.sum(1 / F.col("df")).alias("light"))
+    return back.filter(F.size("ranked") * 5 >= F.col("n") * 4)
+
+
+def size_class(n):
+    return F.floor(F.log(n) / F.log(F.lit(SIZE_STEP)))
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """Of the nodes in `sets` (node, n, comp, tokens) that may have partners in other components: one row per token to pair by, with
+    node, n, comp, rest, the tokens from it on, and odd, the mean of one by the number of sets that hold a token.
+
+    Tokens that no other component holds are no pair's. Sets that have too few others are dropped, which leaves more such
+    tokens, and again. Then each set's tokens are ranked anew, those of few sets first, after the ones that are no pair's.
+    A similar set has one in common that leaves 0.8 of the set."""
+    for _ in range(PASSES - 1):
+        sets = shared_between(sets).select("node", "n", "comp", F.col("ranked.token").alias("tokens"))
+    # The prefix is cut off before its tokens become rows.
+    ranked, s = shared_between(sets), F.size("ranked")
+    cut = F.slice("ranked", F.lit(1), s - F.ceil(F.col("n") * 4 / 5).cast("int") + 1).alias("prefix")
+    odd = ((F.col("n") - s + F.col("light")) / F.col("n")).alias("odd")
+    ranked = shared.written(ranked.select("node", "n", "comp", odd, s.alias("s"), cut), "jaccard-ranked")
+    rows = ranked.select("node", "n", "comp", "odd", "s", F.posexplode("prefix"))
+    return rows.select("node", "n", "comp", "odd", F.col("col.token").alias("token"), (F.col("s") - F.col("pos")).alias("rest"))
+
+
+def centres(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each node with the least odd one that each of its tokens has, most likely the one that copies were made of."""
+    head = rows.groupBy("token").agg(F.min(F.struct("odd", "node", "n", "comp")).alias("h"))
+    stars = rows.join(head, "token").filter(F.col("comp") != F.col("h.comp")).filter(similar_sizes("n", "h.n"))
+    return stars.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
+
+
+def prefix_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may be similar, by the prefixes `rows`.
+
+    Sets of m and n are similar if they have t = 4/9 * (m + n) in common, so the first common token leaves t or more in both: the more
+    of a set is its own, the fewer of the tokens that its whole group holds are left to pair by, and only with sets of those
+    sizes for which they are in time."""
+    size = rows.select("node", "comp").distinct().groupBy("comp").agg(F.count("*").alias("z"))
+    rows = rows.join(size, "comp")
+    # Of two components the smaller looks for partners in the larger; the largest that holds a token needn't.
+    top = rows.groupBy("token").agg(F.max(F.struct("z", "comp")).alias("top"))
+    most = F.least(F.floor(F.col("m") * 5 / 4), F.floor((F.col("after") * 9 - F.col("m") * 4) / 4))
+    seek = rows.join(top, "token").filter(F.struct("z", "comp") < F.col("top"))
+    seek = seek.select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("comp").alias("x"), F.col("z").alias("y"), F.col("rest").alias("after"))
+    seek = seek.filter(most * 5 >= F.col("m") * 4).withColumn("step", F.explode(F.sequence(size_class(F.col("m") * 4 / 5), size_class(most))))
+    found = rows.select("token", F.col("node").alias("b"), "n", "comp", "z", "rest", size_class(F.col("n")).alias("step"))
+    larger = (F.col("z") > F.col("y")) | ((F.col("z") == F.col("y")) & (F.col("comp") > F.col("x")))
+    common = (F.col("m") + F.col("n")) * 4 <= F.least("after", "rest") * 9
+    pairs = seek.join(found, ["token", "step"]).filter(larger & similar_sizes("m", "n") & common)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows with each node's component; a node without links is its own."""
+    return rows.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def similar_sizes(a: str, b: str):
@@ -320,28 +381,43 @@ def similar_sizes(a: str, b: str):
 def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of `docs`: key, n_shingles and component_id, the smallest key reachable by links, itself included."""
     rows = nodes(docs, key, text)
-    found = postings(docs, text)
-    paired = combinations(found.filter("kind = 1").select("block", "node", "n", "tier", "c"))
-    members = found.filter("kind = 0").select("kind", "block", "node", "n", *(F.lit(0).cast("long").alias(c) for c in ("odd", "own")), F.lit(True).alias("used")).unionByName(paired)
-    members = shared.written(members.distinct(), "jaccard-blocks")
-
-    # First all of a block with one node: of copies with changes most likely the one that they were made of, as all its shingles
-    # are frequent.
-    heads = members.groupBy("block").agg(F.min(F.struct("odd", "node", "n")).alias("h"), F.min("node").alias("low"), F.max("node").alias("high"))
-    heads = heads.filter("low <> high").select("block", F.col("h.node").alias("a"), F.col("h.n").alias("m"))
-    stars = heads.join(members.withColumnRenamed("node", "b"), "block").filter(F.col("a") != F.col("b")).filter(similar_sizes("n", "m"))
-    stars = shared.written(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-stars")
-    links = verified(docs, text, stars, "jaccard-links")
+    # Chance can leave a set less than a prefix in its part of the range; its tier then looks at the whole range.
+    short = {r.short for r in rows.select("short").distinct().collect()}  # one row per tier at most
+    shares = [1.0 if k in short else share for k, (_, _, share) in enumerate(TIERS)]
+    found = postings(docs, text, rows.agg(F.sum("n")).first()[0] or 0, shares)
+    paired = combinations(found.filter("kind = 1"), shares)
+    rare = found.filter("kind = 0").select("kind", "block", "node", "n", F.lit(0.0).alias("odd"), F.lit(True).alias("used"))
+    members = shared.written(rare.unionByName(paired).groupBy("kind", "block", "node", "n").agg(F.min("odd").alias("odd"), F.max("used").alias("used")), "jaccard-blocks")
+    shared.remove(found)
+
+    # Of few nodes all are compared, of many first all of a block with one node: of copies with changes most likely the one that they
+    # were made of, as most nodes hold its shingles. Of two similar sets one makes sure of a common block among those that it uses.
+    a, b = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    few = members.filter("kind = 0").select("block", "node", "n")
+    few = few.select("block", F.col("node").alias("a"), F.col("n").alias("m")).join(few.withColumnRenamed("node", "b"), "block").filter("a < b").filter(similar_sizes("m", "n"))
+    many = members.filter("kind > 0")
+    heads = many.groupBy("block").agg(F.min(F.struct("odd", "node", "n")).alias("h"), F.min("node").alias("low"), F.max("node").alias("high"), F.max("used").alias("used"))
+    heads = heads.filter("used and low <> high").select("block", F.col("h.node").alias("a"), F.col("h.n").alias("m"))
+    stars = heads.join(many.withColumnRenamed("node", "b"), "block").filter(F.col("a") != F.col("b")).filter(similar_sizes("n", "m"))
+    pairs = shared.written(few.select(a, b).unionByName(stars.select(a, b)).distinct(), "jaccard-stars")
+    tokens = tokens_of(docs, text, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    links = verified(tokens.dropDuplicates(["node"]), pairs)  # copies in several partitions each bring their set
     label = components(links)
-
-    # Then those of a block that aren't in one component yet.
-    known = members.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = known.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("block")
-    open_ = shared.written(known.join(several, "block"), "jaccard-open")
-    left_over = shared.written(crossing(docs, text, open_).join(stars, ["a", "b"], "left_anti"), "jaccard-crossing")
-    more = verified(docs, text, left_over, "jaccard-links")
-    if not more.isEmpty():
-        label = components(links.unionByName(more))
+    shared.remove(pairs)
+
+    # Then those of a block that aren't in one component yet: with the centre of what they share, and at last all that may be similar.
+    known = labelled(many, label)
+    several = known.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("used").alias("used")).filter("used and low <> high").select("block")
+    open_ = shared.written(known.join(several, "block").select("node", "n", "comp").distinct(), "jaccard-open")
+    shared.remove(members)
+    sets_ = shared.written(tokens_of(docs, text, open_).dropDuplicates(["node"]).join(open_, "node"), "jaccard-sets")
+    tokens, rows_ = sets_.select("node", "tokens"), prefixes(sets_)
+    for partners in (centres, prefix_pairs):
+        more = verified(tokens, shared.written(partners(rows_), "jaccard-pairs"))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            label = components(links)
+            rows_ = labelled(rows_.drop("comp"), label)
 
     rows = rows.join(label.withColumnRenamed("comp", "known"), "node", "left").withColumn("comp", F.coalesce("known", "node"))
     least = rows.filter("n > 0").groupBy("comp").agg(F.min("doc").alias("component_id"))

@@ -16,8 +16,13 @@ def _own() -> str:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a local one only where that is unset, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or _own()
+    """A new path in the folder that spark.checkpoint.dir names. Where that is unset and all tasks run on this machine, as in tests, a
+    local one; on a cluster it must be set."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = _own()
     if "://" not in top:
         top = f"file://{top}"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -29,3 +34,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more, and let the driver collect what it holds of finished steps, so that their
+    shuffle files go, too."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            jvm = table.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()

@@ -62,11 +62,11 @@ def test_against_brute_force(spark, seed):
 def test_groups_leave_a_prefix():
     """Sets of a class of sizes get their prefix from the groups alone, up to chance."""
     rng = np.random.default_rng(3)
-    for tier, (low, high, share) in enumerate(jaccard_join.TIERS):
+    for low, high, share in jaccard_join.TIERS:
         for n in range(low, min(high, 3000), 7):
             step = int(np.searchsorted(jaccard_join.STEPS, n, side="right")) - 1
             c = rng.binomial(n, share)
-            count = np.bincount(rng.integers(0, jaccard_join.groups_of(tier, step), c))
+            count = np.bincount(rng.integers(0, jaccard_join.groups_of(share, step), c))
             if (count - 1).clip(0).sum() < jaccard_join.prefix(n):
                 assert abs(c - share * n) > 2 * (share * (1 - share) * n) ** 0.5, n
 
@@ -90,6 +90,35 @@ def test_components(spark):
     assert got == {k: find(k) for k in top}
 
 
+def test_sets_short_of_a_prefix(spark, monkeypatch):
+    """With parts of the range that hold less than a prefix, tiers look at the whole of it."""
+    monkeypatch.setattr(jaccard_join, "TIERS", ((4, 125, 0.1), (100, 500, 0.02), (400, 1 << 60, 0.02)))
+    rng = random.Random(5)
+    rows = []
+    for n in (40, 150, 480):
+        base = [f"w{rng.random()}" for _ in range(n)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base[:-2], "x", "y"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in jaccard_join.join(docs).collect()) == brute(rows)
+
+
+@pytest.mark.parametrize("changes", [4, 9])
+def test_groups_of_changed_copies(spark, changes):
+    """Copies of a text, too different to be all similar to it; long texts; rows that repeat; the query's columns."""
+    rng = random.Random(changes)
+    base = [f"w{k}" for k in range(160)]
+    rows = [(0, " ".join(base)), (0, " ".join(base))]
+    for k in range(300):
+        words = list(base)
+        for _ in range(rng.randint(1, changes)):
+            words[rng.randrange(160)] = rng.choice("abcdefgh")
+        rows.append((k + 1, " ".join(words[: rng.choice([160, 160, 130])])))
+    long_ = [str(rng.randrange(5000)) for _ in range(30_000)]
+    rows += [(900, " ".join(long_)), (901, " ".join([*long_[:29_000], *map(str, range(100))]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in jaccard_join.join(docs).collect()) == brute(rows)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.join(docs).collect() == []
