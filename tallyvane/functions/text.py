@@ -83,22 +83,34 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(text) -> Column:
+    """Without white space, in the Unicode sense, and separators at both ends."""
+    return F.regexp_replace(_c(text), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+
+
 def tokens(text) -> Column:
     """Lower-cased words and whole figures; a figure comes a second time as its digits alone where that differs."""
     raw = F.regexp_extract_all(_c(text), F.lit(TOKEN), F.lit(0))
 
     def forms(token):
-        token = F.regexp_replace(F.lower(token), r"^\$+", "")
+        token = F.lower(token)
+        plain = F.regexp_replace(token, r"^\$+", "")
         bare = F.regexp_replace(token, "[^0-9]", "")
-        return F.when((bare != "") & (bare != token), F.array(token, bare)).otherwise(F.array(token))
+        # Words, which begin with a letter, are left as they are unless they hold digits.
+        word = (token >= "a") & ~F.regexp_like(token, F.lit("[0-9]"))
+        return F.when(word, F.array(token)).when((bare != "") & (bare != plain), F.array(plain, bare)).otherwise(F.array(plain))
 
     return F.coalesce(F.flatten(F.transform(raw, forms)), F.array().cast("array<string>"))
 
 
+def content(found) -> Column:
+    """Of an array of tokens those that aren't function words; repeated ones stay."""
+    return F.filter(_c(found), lambda t: ~t.isin(*STOPWORDS))
+
+
 def query_tokens(text) -> Column:
-    """Tokens that aren't function words; repeated ones stay."""
-    stop = F.array(*(F.lit(w) for w in STOPWORDS))
-    return F.filter(tokens(text), lambda t: ~F.array_contains(stop, t))
+    """Tokens of a text that aren't function words; repeated ones stay."""
+    return content(tokens(text))
 
 
 def figures(text) -> Column:
@@ -148,7 +160,7 @@ def resists_injection(text) -> Column:
 
 def money(cell, strict: bool = False) -> Column:
     """A statement cell as a number: all its digits, negative in parentheses. strict reads points and minus signs, too."""
-    cell = F.trim(_c(cell))
+    cell = strip(cell)
     negative = cell.startswith("(") & cell.endswith(")")
     if strict:
         digits = F.regexp_replace(cell, "[^0-9.]", "")
@@ -179,7 +191,7 @@ def scale_evidence(text, around: int = 45) -> Column:
 
 def heading(line) -> Column:
     """The first known heading that a line of up to 80 characters contains."""
-    line = F.trim(_c(line))
+    line = strip(line)
     found = F.lit(None).cast("string")
     for name in reversed(HEADINGS):
         found = F.when(F.contains(F.lower(line), F.lit(name.lower())), name).otherwise(found)
@@ -195,11 +207,8 @@ def instruction_kind(text) -> Column:
 
 
 def neutralised(text, instead: str = "[instruction removed]") -> Column:
-    """The text with whatever reads as an instruction replaced."""
-    out = _c(text)
-    for _, pattern in INSTRUCTIONS:
-        out = F.regexp_replace(out, pattern, instead)
-    return out
+    """The text with whatever reads as an instruction replaced: of any family, in one pass from left to right."""
+    return F.regexp_replace(_c(text), "(?i)" + "|".join(f"(?:{p.removeprefix('(?i)')})" for _, p in INSTRUCTIONS), instead)
 
 
 def stated_recommendation(text) -> Column:

@@ -18,11 +18,25 @@ def _own() -> str:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a local one only where that is unset, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or _own()
+    """A new path in the folder that spark.checkpoint.dir names. Where that is unset and all tasks run on this machine, as in tests, a
+    local one; on a cluster it must be set."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = _own()
+    if "://" not in top:
+        top = f"file://{top}"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written as a table in the shared folder and read from there, so that what made them runs once."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_records(df: DataFrame, path: str, *, by: str = "deal", kind: str = "json", mode: str = "overwrite") -> None:
     """Records as one folder per deal."""
     df.write.mode(mode).partitionBy(by).format(kind).save(path)
