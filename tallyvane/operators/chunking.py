@@ -15,51 +15,48 @@ from tallyvane.functions import text as X
 TARGET, MOST, CARRY, LEAST_PROSE = 900, 1400, 150, 40
 
 #: Where Python's line splitting ends a line.
-BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+BREAK = r"\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}"
+BREAKS = rf"\r\n|[{BREAK}]"
+#: What names a page.
+KEY = ("deal", "document", "page")
 
 
 def sections(pages: DataFrame) -> DataFrame:
-    """deal, document, page, place, offset, line and section: the latest heading at or before each line."""
-    rows = pages.select("deal", "document", "page", F.posexplode(F.split("text", BREAKS)).alias("place", "line"))
-    order = Window.partitionBy("deal", "document", "page").orderBy("place")
-    before = F.coalesce(F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({"offset": before, "section": F.last(X.heading("line"), ignorenulls=True).over(running)})
+    """deal, document, page, place, offset (in characters of the page), line (without white space at its ends), heading, if it is one,
+    and section: the latest heading at or before it."""
+    pieces = F.regexp_extract_all("text", F.lit(f"[^{BREAK}]*(?:\\r\\n|[{BREAK}])|[^{BREAK}]+"), F.lit(0))
+    rows = pages.select(*KEY, F.posexplode(pieces).alias("place", "piece"))
+    order = Window.partitionBy(*KEY).orderBy("place")
+    before = F.coalesce(F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    rows = rows.withColumns({"offset": before, "line": X.strip("piece")}).withColumn("heading", X.heading("line"))
+    return rows.withColumn("section", F.last("heading", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("piece")
 
 
 def packed_lines(lines):
-    """An array of lines packed to chunks (text, line: number of the first): up to TARGET characters each, whole trailing
-    lines of up to CARRY characters repeated at the head of the next chunk. A longer line is a chunk of its own."""
-    start = F.struct(
-        F.array().cast("array<struct<text:string,line:int>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("size"), F.lit(0).alias("line"), F.lit(0).alias("next"), F.lit(False).alias("fresh")
-    )
+    """An array of lines (offset, line) packed to chunks (text, start: offset of the first line): up to TARGET characters each, whole
+    trailing lines of up to CARRY characters repeated at the head of the next chunk. A longer line is a chunk of its own."""
+    start = F.struct(F.array().cast("array<struct<text:string,start:int>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("size"), F.lit(0).alias("start"))
 
-    def step(s, line):
-        size = F.length(line) + 1
+    def step(s, x):
+        size = F.length(x["line"]) + 1
         full = (s["size"] > 0) & (s["size"] + size > TARGET)
-        chunk = F.struct(F.array_join(s["open"], "\n").alias("text"), s["line"].alias("line"))
+        chunk = F.struct(F.array_join(s["open"], "\n").alias("text"), s["start"].alias("start"))
         # Trailing whole lines that together stay within CARRY.
         back = F.aggregate(
             F.reverse(s["open"]),
             F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("size"), F.lit(False).alias("stop")),
-            lambda b, x: F.when(b["stop"] | (b["size"] + F.length(x) + 1 > CARRY), F.struct(b["kept"].alias("kept"), b["size"].alias("size"), F.lit(True).alias("stop"))).otherwise(
-                F.struct(F.concat(F.array(x), b["kept"]).alias("kept"), (b["size"] + F.length(x) + 1).alias("size"), F.lit(False).alias("stop"))
+            lambda b, y: F.when(b["stop"] | (b["size"] + F.length(y) > CARRY), F.struct(b["kept"].alias("kept"), b["size"].alias("size"), F.lit(True).alias("stop"))).otherwise(
+                F.struct(F.concat(F.array(y), b["kept"]).alias("kept"), (b["size"] + F.length(y) + 1).alias("size"), F.lit(False).alias("stop"))
             ),
         )
-        closed = F.struct(
-            F.concat(s["done"], F.array(chunk)).alias("done"),
-            F.concat(back["kept"], F.array(line)).alias("open"),
-            (back["size"] + size).alias("size"),
-            (s["next"] - F.size(back["kept"])).alias("line"),
-            (s["next"] + 1).alias("next"),
-            F.lit(True).alias("fresh"),
-        )
-        more = F.struct(s["done"].alias("done"), F.concat(s["open"], F.array(line)).alias("open"), (s["size"] + size).alias("size"), s["line"].alias("line"), (s["next"] + 1).alias("next"), F.lit(True).alias("fresh"))
+        closed = F.struct(F.concat(s["done"], F.array(chunk)).alias("done"), F.concat(back["kept"], F.array(x["line"])).alias("open"), (back["size"] + size).alias("size"), (x["offset"] - back["size"]).alias("start"))
+        first = F.when(s["size"] > 0, s["start"]).otherwise(x["offset"])
+        more = F.struct(s["done"].alias("done"), F.concat(s["open"], F.array(x["line"])).alias("open"), (s["size"] + size).alias("size"), first.alias("start"))
         return F.when(full, closed).otherwise(more)
 
     def finish(s):
-        last = F.struct(F.array_join(s["open"], "\n").alias("text"), s["line"].alias("line"))
-        return F.when(s["fresh"], F.concat(s["done"], F.array(last))).otherwise(s["done"])
+        last = F.struct(F.array_join(s["open"], "\n").alias("text"), s["start"].alias("start"))
+        return F.when(s["size"] > 0, F.concat(s["done"], F.array(last))).otherwise(s["done"])
 
     return F.aggregate(lines, start, step, finish)
 
@@ -67,7 +64,7 @@ def packed_lines(lines):
 def packed_rows(rows):
     """A table's rows (arrays of cells) packed to texts of up to MOST characters; the header leads every one, and no row is
     cut. A table of a header alone is one text."""
-    lines = F.transform(rows, lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " | "))
+    lines = F.transform(rows, lambda r: F.array_join(F.transform(r, lambda c: X.strip(F.coalesce(c, F.lit("")))), " | "))
     head, body = F.element_at(lines, 1), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
     start = F.struct(F.array().cast("array<string>").alias("done"), head.alias("open"), F.lit(0).alias("n"))
 
@@ -94,33 +91,61 @@ def profile(pages: DataFrame, files: DataFrame) -> DataFrame:
 def chunks(pages: DataFrame, profiles: DataFrame) -> DataFrame:
     """All chunks of all pages: tables first, then prose lines that aren't rows of the page's tables.
 
-    Prose of fewer than LEAST_PROSE characters is dropped, tables never. Chunks of a page are numbered without gaps."""
-    key = ["deal", "document", "page"]
-    rows = pages.select(*key, F.posexplode("tables").alias("table", "rows"))
-    of_tables = rows.select(*key, F.posexplode(F.concat(F.array(F.lit(None).cast("string")), packed_rows("rows"))).alias("part", "text"), "table").filter("part > 0")
-    of_tables = of_tables.select(*key, F.lit("table").alias("chunk_type"), F.col("table").alias("a"), F.col("part").alias("b"), F.lit(None).cast("int").alias("line"), "text")
+    Prose of fewer than LEAST_PROSE characters is dropped, tables never. Chunks of a page are numbered without gaps. Scale and its
+    evidence are the page's, as a table seldom says in what its figures are stated; a chunk's section is the latest heading at or
+    before its first line, a table's at or before its first cell. method, mean_word_confidence and table_sources (one for each table) are
+    handed on where the pages have them."""
+    given = {"method": "string", "mean_word_confidence": "double", "table_sources": "array<string>"}
+    pages = pages.withColumns({c: F.lit(None).cast(t) for c, t in given.items() if c not in pages.columns})
     known = F.transform(F.flatten("tables"), X.normal_row)
-    kept = F.filter(F.split("text", BREAKS), lambda x: (F.trim(x) != "") & ~F.array_contains(known, F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))))
-    prose = pages.select(*key, F.posexplode(packed_lines(kept)).alias("b", "chunk")).select(*key, F.lit("prose").alias("chunk_type"), F.lit(0).alias("a"), "b", "chunk.line", "chunk.text")
-    prose = prose.filter(F.length(F.trim("text")) >= LEAST_PROSE)
-    both = of_tables.unionByName(prose)
-    order = Window.partitionBy(*key).orderBy(F.desc("chunk_type"), "a", "b")
+    whole = pages.select(*KEY, "text", "tables", "method", "mean_word_confidence", "table_sources", known.alias("known"), X.scale("text").alias("scale_factor"), X.scale_evidence("text").alias("scale_evidence"))
+    # A page's own lines, no more, come together again.
+    lines = sections(pages).groupBy(*KEY).agg(
+        F.array_sort(F.collect_list(F.when(F.col("heading").isNotNull(), F.struct("offset", "heading")))).alias("headings"),
+        F.array_sort(F.collect_list(F.when(F.col("line") != "", F.struct("offset", "line")))).alias("lines"),
+    )
+    whole = whole.join(lines, list(KEY), "left").withColumns({"headings": F.coalesce("headings", F.expr("array()")), "lines": F.coalesce("lines", F.expr("array()"))})
+    section = lambda at: F.try_element_at(F.filter("headings", lambda h: h["offset"] <= at), F.lit(-1))["heading"]
+    provenance = ["method", "mean_word_confidence", "scale_factor", "scale_evidence"]
+
+    rows = whole.select(*KEY, *provenance, "headings", "text", "table_sources", F.posexplode("tables").alias("a", "rows"))
+    cell = F.coalesce(F.try_element_at(F.filter(F.element_at("rows", 1), lambda c: X.strip(c) != ""), F.lit(1)), F.lit(""))
+    rows = rows.withColumn("section", section(F.greatest(F.when(cell != "", F.position(cell, F.col("text")) - 1).otherwise(0), F.lit(0))))
+    of_tables = rows.select(*KEY, *provenance, "section", F.get("table_sources", F.col("a")).alias("table_source"), "a", F.posexplode(packed_rows("rows")).alias("b", "body"))
+    of_tables = of_tables.select(*KEY, *provenance, "section", "table_source", F.lit("table").alias("chunk_type"), "a", "b", F.col("body").alias("text"))
+    kept = F.filter("lines", lambda x: ~F.array_contains("known", X.normal_row(F.array(x["line"]))))
+    prose = whole.select(*KEY, *provenance, "headings", F.posexplode(packed_lines(kept)).alias("b", "chunk"))
+    prose = prose.select(*KEY, *provenance, section(F.col("chunk.start")).alias("section"), F.lit(None).cast("string").alias("table_source"), F.lit("prose").alias("chunk_type"), F.lit(0).alias("a"), "b", "chunk.text")
+    both = of_tables.filter(X.strip("text") != "").unionByName(prose.filter(F.length(X.strip("text")) >= LEAST_PROSE))
+    order = Window.partitionBy(*KEY).orderBy(F.desc("chunk_type"), "a", "b")
     numbered = both.withColumn("chunk_index", F.row_number().over(order) - 1).drop("a", "b")
-    out = numbered.join(profiles, ["deal", "document"]).withColumn("scale_factor", X.scale("text"))
+    out = numbered.join(profiles, ["deal", "document"]).withColumnRenamed("method", "extraction_method")
     name = F.concat_ws("::", "deal", "document", F.format_string("p%03d", F.col("page").cast("int")), F.format_string("c%03d", "chunk_index"))
     head = F.concat_ws(
         " | ",
         "document",
         F.concat(F.lit("page "), F.col("page").cast("string")),
         F.regexp_replace("kind", "_", " "),
-        F.when(F.col("status") != "final", F.concat(F.lit("STATUS: "), F.upper("status"))),
+        "section",
+        F.when(F.col("status") != "final", F.upper("status")),
         F.when(F.col("scale_factor") != 1, F.concat(F.lit("figures in units of "), F.format_number("scale_factor", 0))),
     )
-    return out.withColumns({"chunk_id": name, "context_header": head, "char_count": F.length("text"), "word_count": F.size(F.split(F.trim("text"), r"\s+"))})
+    out = out.withColumns({"chunk_id": name, "context_header": head, "char_count": F.length("text"), "word_count": F.size(F.split(X.strip("text"), r"\s+"))})
+    return out.withColumn("embedding_text", F.concat_ws("\n", "context_header", "text"))
 
 
 def chunk_summary(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """Chunks by type, their sizes, and how many pages have none."""
-    bare = pages.join(found, ["deal", "document", "page"], "left_anti").agg(F.count("*").alias("pages_without_chunks"))
-    sizes = found.agg(F.count("*").alias("chunks"), F.count_if(F.col("chunk_type") == "table").alias("table_chunks"), F.avg("char_count").alias("mean_chars"), F.max("char_count").alias("max_chars"))
-    return sizes.crossJoin(bare)  # one row each
+    """Deals, pages, chunks by type, status and scale, their sizes, and how many pages have none."""
+    bare = pages.join(found, list(KEY), "left_anti").agg(F.count("*").alias("pages_without_chunks"))
+    whole = pages.agg(F.count_distinct("deal").alias("deals"), F.count("*").alias("pages"))
+    sizes = found.agg(
+        F.count("*").alias("chunks"),
+        F.count_if(F.col("chunk_type") == "prose").alias("prose_chunks"),
+        F.count_if(F.col("chunk_type") == "table").alias("table_chunks"),
+        F.count_if(F.col("status") == "draft").alias("draft_chunks"),
+        F.count_if(F.col("status") == "superseded").alias("superseded_chunks"),
+        F.count_if(F.col("scale_factor") != 1).alias("scaled_chunks"),
+        F.avg("char_count").alias("mean_chars"),
+        F.max("char_count").alias("max_chars"),
+    )
+    return whole.crossJoin(sizes).crossJoin(bare)  # one row each

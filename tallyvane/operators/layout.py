@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyvane.functions import text as X
+
 # Fixed values of the layout rules.
 TEXT_LAYER = 40
 OVERLAP = 0.4
@@ -19,7 +21,7 @@ LEAST_WORDS, LEAST_SCORE = 8, 20.0
 
 
 def has_text_layer(text):
-    return F.length(F.trim(F.coalesce(text, F.lit("")))) >= TEXT_LAYER
+    return F.length(X.strip(F.coalesce(text, F.lit("")))) >= TEXT_LAYER
 
 
 def clean_cell(cell):

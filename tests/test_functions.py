@@ -94,7 +94,7 @@ def pack(lines):
             out.append("\n".join(open_))
             carried, n = [], 0
             for x in reversed(open_):
-                if n + len(x) + 1 > chunking.CARRY:
+                if n + len(x) > chunking.CARRY:
                     break
                 carried.insert(0, x)
                 n += len(x) + 1
@@ -111,7 +111,7 @@ def test_chunks(spark):
     pages = spark.createDataFrame(rows, "deal string, document string, page int, text string, tables array<array<array<string>>>")
     files = spark.createDataFrame([("a.pdf", "financial_statements", "final", "bank")], "document string, kind string, status string, trust string")
     got = chunking.chunks(pages, chunking.profile(pages, files)).orderBy("chunk_id").collect()
-    kept = [x for x in prose if x.strip()]
+    kept = [x.strip() for x in prose if x.strip()]
     assert [r.text for r in got if r.chunk_type == "prose"] == [x for x in pack(kept) if len(x.strip()) >= chunking.LEAST_PROSE]
     tables = [r.text for r in got if r.chunk_type == "table" and r.document == "a.pdf"]
     assert len(tables) > 1 and all(t.startswith("Name | Owed\n") and len(t) <= chunking.MOST for t in tables)
@@ -134,7 +134,7 @@ def test_search_rules(spark):
     docs = spark.createDataFrame([("p", 1, "revenue total 5,000"), ("p", 2, "total total"), ("p", 3, "other words")], "part string, doc int, text string")
     queries = spark.createDataFrame([("q", "p", "what is revenue"), ("r", "p", "the of and"), ("s", "none", "revenue")], "query string, part string, text string")
     index = search.build(docs)
-    zeros = search.with_zeros(index, queries, search.bm25(index, queries)).collect()
+    zeros = search.with_zeros(index, queries, search.bm25(index, queries), 3).collect()
     assert {(r.query, r.doc): r.score > 0 for r in zeros} == {(q, d): (q, d) == ("q", 1) for q in "qr" for d in (1, 2, 3)}
     ranks = spark.createDataFrame([("a", 1), ("b", 4), ("c", None)], "query string, rank int")
     report = evaluate.recall_report(ranks).first()
