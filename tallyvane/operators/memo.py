@@ -77,11 +77,17 @@ def review_items(decisions: DataFrame, checks: DataFrame, findings: DataFrame, i
     """Items of all kinds for the queue: item_id, deal, kind and summary.
 
     decisions: of operations.guard(); checks: of verified(); findings: of statements.identity_findings(); instructions: deal,
-    document, kind."""
+    document, kind. A memo that broken identities hold has their items and none for being blocked; figures that a derivation explains
+    (checks with such a column) are for confirmation, others low in confidence."""
+    broken = findings.select("deal").distinct()
+    if "derivation" not in checks.columns:
+        checks = checks.withColumn("derivation", F.lit(None).cast("string"))
+    issues = checks.filter("standing = 'issue'")
     made = [
-        decisions.filter("blocked").select("deal", F.lit("blocked_memo").alias("kind"), F.col("reason").alias("summary")),
+        decisions.filter("blocked").join(broken, "deal", "left_anti").select("deal", F.lit("blocked_memo").alias("kind"), F.col("reason").alias("summary")),
         decisions.filter("conservative").select("deal", F.lit("conservative_recommendation").alias("kind"), F.concat_ws(" stated where the metrics permit ", "stated", "required").alias("summary")),
-        checks.filter("standing = 'issue'").select("deal", F.lit("low_confidence_extraction").alias("kind"), F.concat(F.lit("not grounded: "), "figure").alias("summary")),
+        issues.filter("derivation IS NOT NULL").select("deal", F.lit("reconstruction").alias("kind"), F.concat_ws(" = ", "figure", "derivation").alias("summary")),
+        issues.filter("derivation IS NULL").select("deal", F.lit("low_confidence_extraction").alias("kind"), F.concat(F.lit("not grounded: "), "figure").alias("summary")),
         findings.select("deal", F.lit("accounting_inconsistency").alias("kind"), F.col("identity").alias("summary")),
         instructions.select("deal", F.lit("injection_finding").alias("kind"), F.concat_ws(": ", "document", "kind").alias("summary")),
     ]

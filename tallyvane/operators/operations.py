@@ -76,6 +76,7 @@ def attack_report(results: DataFrame) -> DataFrame:
         F.count_if(F.col("error").isNotNull()).alias("errors"),
         F.count_if(F.col("error").isNull() & ~F.col("decision").eqNullSafe(F.col("baseline"))).alias("changed"),
         F.count_if(F.col("error").isNull() & looser).alias("successes"),
+        F.count_if(F.col("blocked") if "blocked" in results.columns else F.lit(False)).alias("blocked"),
         F.avg(F.col("detected").cast("double")).alias("detection_rate"),
     )
 
@@ -124,7 +125,12 @@ def review_state(items: DataFrame, events: DataFrame) -> DataFrame:
     return out.select("item_id", "deal", "kind", F.coalesce("e.decision", F.lit("pending")).alias("decision"), "e.reviewer", F.col("e.at").alias("decided_at"), priority("kind").alias("priority"), F.col("kind").isin(BLOCKING).alias("blocking"))
 
 
+def queue_counts(state: DataFrame) -> DataFrame:
+    """Items by kind and decision."""
+    return state.groupBy("kind", "decision").agg(F.count("*").alias("n"))
+
+
 def releasable(state: DataFrame) -> DataFrame:
-    """Deals and whether none of their blocking items is still pending or rejected."""
-    holds = F.col("blocking") & F.col("decision").isin("pending", "rejected", "escalated")
+    """Deals and whether none of their blocking items is still pending: any decision is one, and none expires."""
+    holds = F.col("blocking") & (F.col("decision") == "pending")
     return state.groupBy("deal").agg(F.count("*").alias("items"), F.count_if(F.col("decision") == "pending").alias("pending"), (F.count_if(holds) == 0).alias("releasable"))

@@ -33,6 +33,11 @@ LABELS = [
 ]
 
 
+# What labels of percentages and of ratios hold.
+PERCENT_LABELS = ["margin", "growth", "concentration", "%", "share", "change"]
+RATIO_LABELS = ["ratio", "/ ebitda", "coverage", "dscr", "leverage"]
+
+
 def identities(accounts: DataFrame) -> DataFrame:
     """Accounts (borrower, year and the stored lines, whole dollars) with the lines that follow from them."""
     order = Window.partitionBy("borrower").orderBy("year")
@@ -134,24 +139,32 @@ def pro_forma(operands: DataFrame) -> DataFrame:
 
 
 def printed_as(figure: str, value: str, kind: str):
-    """Whether a figure as printed shows a value, rounded or cut at its own places; dollars also in thousands and millions.
-    Fewer than three significant digits prove nothing."""
+    """Whether a figure as printed shows a value, rounded or cut at its own places, sign included; dollars also in thousands and
+    millions. Fewer than three significant digits, zeros at either end left out, prove nothing; a printed zero shows a value of zero, whatever
+    its kind."""
     figure_, value_ = F.col(figure), F.col(value)
-    digits = F.regexp_replace(figure_, "[^0-9]", "")
-    shown = F.regexp_replace(figure_, "[^0-9.]", "").try_cast("decimal(30,6)").cast("double")
+    digits = F.regexp_replace(F.regexp_replace(figure_, "[^0-9]", ""), "^0+", "")
+    shown = F.regexp_replace(figure_, "[^0-9.-]", "").try_cast("decimal(30,6)").cast("double")
     places = F.greatest(F.length(F.regexp_extract(figure_, r"\.(\d+)", 1)), F.lit(0))
     own_kind = F.when(figure_.endswith("%"), "percent").when(figure_.endswith("x"), "x").otherwise("USD")
     step = F.pow(F.lit(10.0), -places)
 
     def near(target):
-        target = F.abs(target)
-        cut = F.floor(target / step + 1e-9) * step
+        cut = F.signum(target) * F.floor(F.abs(target) / step + 1e-9) * step
         rounded = F.rint(target / step) * step
         return (F.abs(cut - shown) < step / 1e3) | (F.abs(rounded - shown) < step / 1e3)
 
     scaled = near(value_) | ((own_kind == "USD") & (near(value_ / 1e3) | near(value_ / 1e6)))
-    significant = F.length(F.regexp_replace(digits, "^0+", "")) >= 3
-    return F.coalesce(significant & (own_kind == F.col(kind)) & (value_ != 0) & scaled, F.lit(False))
+    cut_off = F.length(F.regexp_replace(digits, "0+$", ""))
+    significant = F.when(cut_off > 0, cut_off).otherwise(F.length(digits)) >= 3
+    return F.coalesce(F.when(shown == 0, F.abs(value_) < 1e-9).otherwise(significant & (own_kind == F.col(kind)) & scaled), F.lit(False))
+
+
+def kind_of(label):
+    """What a line of accounts is measured in, by its label: percent, x (a ratio) or USD."""
+    low = F.lower(F.col(label) if isinstance(label, str) else label)
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    return F.when(has(PERCENT_LABELS), "percent").when(has(RATIO_LABELS), "x").otherwise("USD")
 
 
 def explained(figures: DataFrame, derived: DataFrame) -> DataFrame:

@@ -173,16 +173,39 @@ def explained_figures(spark, sf_dir):
     return out.groupBy("place").agg(F.count("*").alias("n"), F.count("derivation").alias("explained"))
 
 
+EXPLAINED_FIGURES = f"""{ACCOUNTS}, o AS (
+  SELECT borrower || '-' || year AS deal, unnest([1, 2, 3, 4, 5]) AS i, unnest([revenue, ebitda, total_debt, total_current_assets, total_current_liabilities])::DOUBLE AS v FROM a
+), pairs AS (SELECT x.deal, x.v AS a, y.v AS b FROM o x JOIN o y ON x.deal = y.deal AND x.i < y.i
+), derived AS (
+  SELECT deal, v, 'USD' AS kind FROM o UNION ALL SELECT deal, -v, 'USD' FROM o WHERE v < 0
+  UNION ALL SELECT deal, unnest([a / nullif(b, 0), b / nullif(a, 0)]), 'x' FROM pairs
+  UNION ALL SELECT deal, unnest([100 * a / nullif(b, 0), 100 * b / nullif(a, 0), 100 * (a - b) / nullif(abs(b), 0)]), 'percent' FROM pairs
+  UNION ALL SELECT deal, unnest([a + b, a - b, b - a]), 'USD' FROM pairs
+), figures AS (
+  SELECT borrower || '-' || year AS deal, unnest([0, 1, 2, 3]) AS place, unnest([printf('%.2f', CASE WHEN ebitda > 0 THEN total_debt / ebitda END) || 'x', printf('%.1f', abs(ebitda) * 100 / nullif(abs(revenue), 0)) || '%',
+    format('{{:,}}', total_current_assets - total_current_liabilities), '77,777,777,777,777']) AS figure FROM a
+), shown AS (
+  SELECT *, TRY_CAST(regexp_replace(figure, '[^0-9.-]', '', 'g') AS DOUBLE) AS s, power(10.0::DOUBLE, -length(regexp_extract(figure, '\\.(\\d+)', 1))) AS step,
+    CASE WHEN figure LIKE '%\\%' ESCAPE '\\' THEN 'percent' WHEN figure LIKE '%x' THEN 'x' ELSE 'USD' END AS kind,
+    length(regexp_replace(regexp_replace(figure, '[^0-9]', '', 'g'), '^0+|0+$', '', 'g')) AS digits FROM figures
+), scaled AS (SELECT deal, kind, v / unnest(CASE WHEN kind = 'USD' THEN [1, 1000, 1000000] ELSE [1] END) AS t, v FROM derived
+), hit AS (
+  SELECT DISTINCT f.deal, place FROM shown f JOIN scaled d ON f.deal = d.deal
+  WHERE CASE WHEN s = 0 THEN abs(v) < 1e-9 ELSE digits >= 3 AND f.kind = d.kind
+    AND (abs(sign(t) * floor(abs(t) / step + 1e-9) * step - s) < step / 1000 OR abs(round_even(t / step, 0) * step - s) < step / 1000) END
+)
+SELECT CAST(place AS INTEGER) AS place, count(*) AS n, count(hit.deal) AS explained FROM figures LEFT JOIN hit USING (deal, place) GROUP BY place"""
+
+
 def _answers(spark, sf_dir):
     """Answers that quote an order's total and cite the customer's page of open (1) or other (2) orders, some figures raised by
     one and some citations of the wrong page; with the customers' pages as contexts."""
     orders = tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice").cast("long").alias("total"), F.when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("page"))
-    asked = orders.filter("o_orderkey % 20 = 0")
     said = F.when(F.col("o_orderkey") % 140 == 0, F.col("total") + 1).otherwise(F.col("total"))
     cited = F.when(F.col("o_orderkey") % 60 == 0, 3 - F.col("page")).otherwise(F.col("page"))
-    answers = asked.select(F.col("o_orderkey").alias("answer"), F.concat(F.lit("The order came to $"), F.format_number(said, 0), F.lit(" [orders.pdf#p"), cited.cast("string"), F.lit("].")).alias("text"))
+    answers = orders.select(F.col("o_orderkey").alias("answer"), F.concat(F.lit("The order came to $"), F.format_number(said, 0), F.lit(" [orders.pdf#p"), cited.cast("string"), F.lit("].")).alias("text"))
     pages = orders.groupBy("o_custkey", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("total")), lambda v: F.concat(F.lit("total "), F.format_number(v, 0))), "\n").alias("text"))
-    contexts = asked.select(F.col("o_orderkey").alias("answer"), "o_custkey").join(pages, "o_custkey").select("answer", F.lit("orders.pdf").alias("document"), "page", "text")
+    contexts = orders.select(F.col("o_orderkey").alias("answer"), "o_custkey").join(pages, "o_custkey").select("answer", F.lit("orders.pdf").alias("document"), "page", "text")
     return answers, contexts
 
 
@@ -193,7 +216,7 @@ def grounded_figures(spark, sf_dir):
 
 _SAID = """
 WITH o AS (SELECT o_orderkey, o_custkey, CAST(floor(o_totalprice) AS BIGINT) AS total, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END AS page FROM orders),
-said AS (SELECT o_orderkey AS answer, o_custkey, CASE WHEN o_orderkey % 140 = 0 THEN total + 1 ELSE total END AS v, CASE WHEN o_orderkey % 60 = 0 THEN 3 - page ELSE page END AS cited FROM o WHERE o_orderkey % 20 = 0)
+said AS (SELECT o_orderkey AS answer, o_custkey, CASE WHEN o_orderkey % 140 = 0 THEN total + 1 ELSE total END AS v, CASE WHEN o_orderkey % 60 = 0 THEN 3 - page ELSE page END AS cited FROM o)
 """
 GROUNDED_FIGURES = f"""{_SAID}
 SELECT answer, 0 AS place, format('{{:,}}', v) AS figure,
@@ -220,7 +243,7 @@ QUERIES = {
     "extracted_figures": (extracted_figures, EXTRACTED_FIGURES),
     "receivable_concentration": (receivable_concentration, RECEIVABLE_CONCENTRATION),
     "broken_identities": (broken_identities, BROKEN_IDENTITIES),
-    "explained_figures": (explained_figures, None),
+    "explained_figures": (explained_figures, EXPLAINED_FIGURES),
     "grounded_figures": (grounded_figures, GROUNDED_FIGURES),
     "grounding_summary": (grounding_summary, GROUNDING_SUMMARY),
 }

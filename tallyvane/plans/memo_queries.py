@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyvane.operators import evaluate, memo, operations, statements
+from tallyvane.functions import text as X
+from tallyvane.operators import chunking, evaluate, memo, operations, statements
 from tallyvane.plans import finance_queries, operation_queries, page_queries
 from tallyvane.sources import tables
 
@@ -38,16 +39,24 @@ SELECT deal, standing, count(*) AS n FROM f WHERE standing IS NOT NULL GROUP BY
 
 
 def fact_containment(spark, sf_dir):
-    """Facts of documents (their first lines) held against the chunks of their pages."""
-    pages = page_queries.chunk_pages(spark, sf_dir).withColumn("tables", F.array().cast("array<array<array<string>>>"))
-    line = F.trim(F.split("text", "\n").getItem(0))
+    """Facts of documents (their first lines) held against the chunks of their pages: what is missed was in prose too short to keep."""
+    pages = page_queries.chunk_pages(spark, sf_dir)
+    line = X.strip(F.split("text", "\n").getItem(0))
     facts = pages.select(F.col("page").alias("fact"), "deal", "document", (F.col("page") + F.when(F.col("page") % 50 == 0, 10**9).otherwise(0)).alias("page"), F.when(F.col("page") % 7 != 0, line).alias("needle"))
-    chunks = pages.select("deal", "document", "page", F.posexplode(F.split("text", "\n")).alias("k", "text"))
+    chunks = chunking.chunks(pages, chunking.profile(pages, page_queries.files(spark)))
     return evaluate.containment(facts, chunks).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-FACT_CONTAINMENT = """
-SELECT CASE WHEN doc_id % 7 = 0 THEN 'excluded' WHEN doc_id % 50 = 0 THEN 'no_page' ELSE 'contained' END AS verdict, count(*) AS n FROM documents GROUP BY 1"""
+FACT_CONTAINMENT = r"""
+WITH lines AS (
+  SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(10) || chr(13))), lambda l: l <> '') AS ls, string_split(text, chr(10))[1] AS line FROM documents
+), parts AS (
+  SELECT *, len(list_filter(ls, lambda l: contains(l, ' | '))) >= 3 AS tabled, list_filter(ls, lambda l: NOT contains(l, ' | ')) AS rest FROM lines
+), sized AS (
+  SELECT *, length(array_to_string(CASE WHEN tabled THEN rest ELSE ls END, chr(10))) AS prose FROM parts
+)
+SELECT CASE WHEN doc_id % 7 = 0 THEN 'excluded' WHEN doc_id % 50 = 0 OR NOT tabled AND coalesce(prose, 0) < 40 THEN 'no_page'
+  WHEN tabled AND coalesce(prose, 0) < 40 AND NOT contains(line, ' | ') AND trim(line) <> '' THEN 'missed' ELSE 'contained' END AS verdict, count(*) AS n FROM sized GROUP BY 1"""
 
 
 def near_duplicate_audit(spark, sf_dir):
@@ -66,12 +75,46 @@ SELECT deal, count(*) FILTER (status = 'final') AS n_final, count(*) FILTER (sta
 FROM d GROUP BY deal"""
 
 
-def attack_families(spark, sf_dir):
-    """Every attack on every source's first documents of each language, reported by family: memos are written again from the
-    poisoned documents."""
-    docs = tables.table(spark, sf_dir, "documents").select(F.col("source").alias("deal"), F.col("doc_id").alias("place"), F.when(F.col("lang") == "en", "financial_statements").when(F.col("lang") == "fr", "correspondence").otherwise("other").alias("kind"), "text")
+#: Printed lines that a recommendation and its checks rest on.
+_LINES = [
+    ("Revenue", "revenue"), ("Cost of goods sold", "cogs"), ("Gross profit", "gross_profit"), ("EBITDA", "ebitda"), ("Interest expense", "-interest"), ("Income tax provision", "-taxes"),
+    ("Capital expenditures", "-capex"), ("Repayment of long-term debt", "-principal"), ("Current portion of long-term debt", "current_portion"), ("Total current liabilities", "total_current_liabilities"),
+    ("Long-term debt, net of current portion", "long_term_debt"), ("Total assets", "total_assets"), ("Total equity", "total_equity"),
+]
+
+
+def attack_contexts(spark, sf_dir):
+    """Contexts of every borrower and year: a letter and the printed statements."""
+    full = statements.identities(finance_queries.accounts(spark, sf_dir)).withColumn("deal", F.concat_ws("-", "borrower", "year"))
+    printed = F.array_join(F.array(*(F.concat(F.lit(f"{label} "), X.money_text(F.expr(e))) for label, e in _LINES)), "\n")
+    both = full.select("deal", F.explode(F.array(F.struct(F.lit(0).alias("place"), F.lit("correspondence").alias("kind"), F.lit("Please find the statements enclosed.").alias("text")), F.struct(F.lit(1).alias("place"), F.lit("financial_statements").alias("kind"), printed.alias("text")))).alias("c"))
+    return both.select("deal", "c.place", "c.kind", "c.text")
+
+
+def attack_runs(spark, sf_dir):
     attacks = spark.createDataFrame(page_queries.ATTACKS, "attack string, family string, target string, payload string")
-    return operations.attack_report(memo.run_attacks(docs, attacks))
+    return memo.run_attacks(attack_contexts(spark, sf_dir), attacks)
+
+
+def attack_families(spark, sf_dir):
+    """Every attack on every borrower and year, reported by family: memos are written again from the poisoned contexts."""
+    out = operations.attack_report(attack_runs(spark, sf_dir))
+    return out.withColumn("detection_rate", F.round("detection_rate", 6))
+
+
+_DECISION = "CASE WHEN NOT e > 0 OR NOT interest + principal > 0 THEN 'DEFER' WHEN (current_portion_ + ltd) / e <= 3.5 AND (e - capex - taxes) / (interest + principal) >= 1.25 THEN 'PROCEED' ELSE 'DECLINE' END"
+_TRIED = f"""{finance_queries.ACCOUNTS}, t AS (
+  SELECT * FROM (VALUES {", ".join(f"('{n}', '{f}', {page_queries.any_instruction_sql(p)})" for n, f, _, p in page_queries.ATTACKS)}) v(attack, family, detected)
+), x AS (
+  SELECT *, CASE WHEN attack = 'raised_ebitda' THEN 99000000 ELSE ebitda END AS e, CASE WHEN attack = 'lowered_debt' THEN 1 ELSE long_term_debt END AS ltd,
+    CASE WHEN attack = 'lowered_current_debt' THEN 1 ELSE current_portion END AS current_portion_ FROM a, t
+), d AS (
+  SELECT *, {_DECISION} AS decision, {_DECISION.replace("current_portion_", "current_portion").replace("ltd", "long_term_debt").replace("e > 0", "ebitda > 0").replace("/ e ", "/ ebitda ").replace("(e -", "(ebitda -")} AS baseline,
+    e > gross_profit * 1.02 OR abs(total_current_liabilities + ltd + abs(total_assets - payables - total_debt) - total_assets) > 0.02 * greatest(total_assets, 1) AS blocked FROM x
+), tried AS (SELECT *, list_position(['DECLINE', 'DEFER', 'PROCEED'], decision) > list_position(['DECLINE', 'DEFER', 'PROCEED'], baseline) AND NOT blocked AS success FROM d)"""
+ATTACK_FAMILIES = f"""{_TRIED}
+SELECT family, count(*) AS n, 0::BIGINT AS errors, count_if(decision <> baseline) AS changed, count_if(success) AS successes, count_if(blocked) AS blocked,
+  round(avg(CASE WHEN detected THEN 1.0 ELSE 0 END), 6) AS detection_rate FROM tried GROUP BY family"""
 
 
 def review_items(spark, sf_dir):
@@ -86,7 +129,7 @@ def review_items(spark, sf_dir):
 REVIEW_ITEMS = f"""
 WITH g AS ({operation_queries.GUARD_DECISIONS}), b AS ({finance_queries.BROKEN_IDENTITIES}),
 i AS (
-  SELECT deal, 'blocked_memo' AS kind, 1 AS priority FROM g WHERE blocked UNION ALL SELECT deal, 'conservative_recommendation', 4 FROM g WHERE conservative
+  SELECT deal, 'blocked_memo' AS kind, 1 AS priority FROM g WHERE blocked AND deal NOT IN (SELECT deal FROM b) UNION ALL SELECT deal, 'conservative_recommendation', 4 FROM g WHERE conservative
   UNION ALL SELECT deal, 'accounting_inconsistency', 0 FROM b
 )
 SELECT kind, priority, count(*) AS n, count(DISTINCT deal) AS deals FROM i GROUP BY ALL"""
@@ -95,6 +138,6 @@ QUERIES = {
     "memo_figures": (memo_figures, MEMO_FIGURES),
     "fact_containment": (fact_containment, FACT_CONTAINMENT),
     "near_duplicate_audit": (near_duplicate_audit, NEAR_DUPLICATE_AUDIT),
-    "attack_families": (attack_families, None),
+    "attack_families": (attack_families, ATTACK_FAMILIES),
     "review_items": (review_items, REVIEW_ITEMS),
 }

@@ -62,7 +62,7 @@ def releasable_deals(spark, sf_dir):
 
 
 RELEASABLE_DEALS = f"""
-SELECT deal, count(*) AS items, count(*) FILTER (decision = 'pending') AS pending, count(*) FILTER (blocking AND decision <> 'accepted') = 0 AS releasable
+SELECT deal, count(*) AS items, count(*) FILTER (decision = 'pending') AS pending, count(*) FILTER (blocking AND decision = 'pending') = 0 AS releasable
 FROM ({REVIEW_QUEUE}) GROUP BY deal"""
 
 
@@ -116,6 +116,27 @@ def conversation_answers(spark, sf_dir):
     return found.select("question", "refused", "document", "page", "line", F.round("score", 6).alias("score"))
 
 
+CONVERSATION_ANSWERS = rf"""
+WITH q AS (SELECT concat_ws('-', conv_id, turn) AS question, conv_id, text FROM conversations WHERE role = 'user'
+), c AS (
+  SELECT conv_id, turn, generate_subscripts(ls, 1) AS k, trim(unnest(ls), ' ' || chr(9)) AS line
+  FROM (SELECT conv_id, turn, regexp_split_to_array(text, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]') AS ls FROM conversations WHERE role = 'assistant')
+), l AS (SELECT *, concat_ws('-', conv_id, turn, k) AS id FROM c WHERE length(line) >= 8
+), asked AS (SELECT DISTINCT id AS question, token FROM {search_queries.tokens_sql("SELECT question AS id, text FROM q")} WHERE token NOT IN ({search_queries.STOP})
+), own AS (SELECT DISTINCT id, token FROM {search_queries.tokens_sql("SELECT id, line AS text FROM l")}
+), n AS (SELECT question, count(*) AS n FROM asked GROUP BY question
+), m AS (SELECT id, count(*) AS m FROM own GROUP BY id
+), hit AS (SELECT question, id, count(*) AS c FROM asked JOIN own USING (token) GROUP BY ALL
+), s AS (
+  SELECT q.question, CAST(l.conv_id AS VARCHAR) AS document, l.turn AS page, l.line,
+    CASE WHEN l.line IS NOT NULL THEN coalesce(c, 0) / greatest(coalesce(n, 1), 1) / (1 + coalesce(m, 0) / 40) END AS score, l.k
+  FROM q LEFT JOIN l USING (conv_id) LEFT JOIN n USING (question) LEFT JOIN m USING (id) LEFT JOIN hit ON hit.question = q.question AND hit.id = l.id
+  QUALIFY row_number() OVER (PARTITION BY q.question ORDER BY score DESC NULLS LAST, document, page, l.k) = 1
+), r AS (SELECT *, coalesce(score < 0.18, TRUE) AS refused FROM s)
+SELECT question, refused, CASE WHEN NOT refused THEN document END AS document, CASE WHEN NOT refused THEN page END AS page, CASE WHEN NOT refused THEN line END AS line,
+  round(coalesce(score, 0), 6) AS score FROM r"""
+
+
 def event_windows(spark, sf_dir):
     """Counts of a stream of events by six-hour windows and type."""
     schema = tables.table(spark, sf_dir, "events").schema
@@ -142,7 +163,7 @@ QUERIES = {
     "releasable_deals": (releasable_deals, RELEASABLE_DEALS),
     "guard_decisions": (guard_decisions, GUARD_DECISIONS),
     "quality_gate": (quality_gate, QUALITY_GATE),
-    "conversation_answers": (conversation_answers, None),
+    "conversation_answers": (conversation_answers, CONVERSATION_ANSWERS),
     "event_windows": (event_windows, EVENT_WINDOWS),
     "streamed_decisions": (streamed_decisions, STREAMED_DECISIONS),
 }
