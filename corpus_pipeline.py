@@ -30,12 +30,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest doc_id."""
     own = F.struct(F.col("doc_id"), F.xxhash64("text").alias("digest"))
-    groups = jaccard_join.join(docs.select(own.alias("row"), "text"), key="row")
-    first = groups.filter("row = component_id").select("row.doc_id", "row.digest").distinct()
-    first = first.withColumnsRenamed({"doc_id": "first_doc", "digest": "first_digest"})
-    rows = docs.withColumn("first_digest", F.xxhash64("text"))
-    kept = rows.join(first, ["first_digest"]).filter(F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    return kept.dropDuplicates(["first_digest", "doc_id"]).select(docs.columns)
+    groups = jaccard_join.join(docs.select(own.alias("own"), "text"), key="own")
+    first = groups.filter("own = component_id").select("own").distinct()
+    rows = docs.select(own.alias("own"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    kept = rows.join(first.withColumnRenamed("own", "first"), F.col("own").eqNullSafe(F.col("first"))).dropDuplicates(["own"])
+    return kept.select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
