@@ -7,7 +7,8 @@ position of the pair at once and looks up only the pairs of the touched neighbou
 Results of words are kept, for a partition's later blocks, in a cache of bounded size, so that these only replay words they
 bring anew.
 
-Defined cases: a null text counts as empty and has no ids; equal texts give equal rows; a text of any length is one row.
+Defined cases: a null text counts as empty and has no ids, as an empty one; equal texts give equal rows; a text of any length is one row and a block of its
+own; of equal pairs side by side the left one merges first; rows that repeat stay rows of their own; only the named columns are read, so that others can't clash; empty tables give no rows.
 """
 
 from __future__ import annotations

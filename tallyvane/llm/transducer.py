@@ -13,7 +13,10 @@ may stand side by side in an encoding exactly if the merges of their joined byte
 token of every prefix unique; so the sum of a word's transitions is its number of tokens. Words are chunks whose entry
 state is the root; many chunks step through the transition table at once.
 
-Defined cases: a null or empty text has no bytes and no tokens; equal texts give equal rows.
+Compiled states are bounded: beyond MOST_STATES all but those that words are in are forgotten, wherever in a word that is.
+
+Defined cases: a null or empty text has no bytes and no tokens; equal texts give equal rows; very long texts, and words, step through byte by
+byte in bounded memory besides the block of texts itself; rows that repeat stay rows of their own; only the named columns are read, so that others can't clash; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -235,13 +238,24 @@ class Counter:
                 open_.append((child, last, tokens))
         token, gain = found
         new = (*((node, last, tokens - gain) for node, last, tokens in open_), (0, token, 0))
+        self.next[state, byte], self.gain[state, byte] = self.add(new), gain
+
+    def add(self, new: tuple) -> int:
+        """Number of a state, a new one if need be."""
         if new not in self.number:
             self.number[new] = len(self.states)
             self.states.append(new)
             if len(self.states) > len(self.next):
                 self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
                 self.gain = np.concatenate([self.gain, np.zeros_like(self.gain)])
-        self.next[state, byte], self.gain[state, byte] = self.number[new], gain
+        return self.number[new]
+
+    def restart(self, state: np.ndarray) -> np.ndarray:
+        """Forget all states but the given ones; these, numbered anew."""
+        kept, where = np.unique(state, return_inverse=True)
+        held = [self.states[k] for k in kept.tolist()]
+        self.reset()
+        return np.array([self.add(x) for x in held], np.int64)[where]
 
     def gains(self, data: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Change of the number of tokens at each byte; start: whether a word begins there."""
@@ -249,8 +263,6 @@ class Counter:
         out = np.zeros(n, np.int8)
         if not n:
             return out
-        if len(self.states) > MOST_STATES:
-            self.reset()
         # Chunks of about equal length that begin where words begin.
         begins = np.flatnonzero(start)
         cuts = np.unique(begins[np.minimum(np.searchsorted(begins, np.arange(0, n, max(64, n // LANES))), len(begins) - 1)])
@@ -273,6 +285,9 @@ class Counter:
                 to = self.next.ravel()[key]
             out[here] = self.gain.ravel()[key]
             state[:left] = to
+            # Words without end, as of scripts without spaces, make new states at every byte.
+            if len(self.states) > MOST_STATES:
+                state[:left] = self.restart(state[:left])
         return out
 
 

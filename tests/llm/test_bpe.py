@@ -69,3 +69,14 @@ def test_counts_against_the_library(docs):
 def test_empty_table(docs):
     assert bpe.encode_decode(docs.limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
     assert transducer.token_counts(docs.limit(0), FILE, limit=1).collect() == []
+
+
+def test_states_stay_bounded(monkeypatch):
+    """Words without end, as of scripts without spaces, in one block."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(transducer, "MOST_STATES", 300)
+    library, compiled = Tokenizer.from_file(FILE), transducer.Tokenizer(FILE)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5000)), "".join(rng.choices("中文字符没有空格的长句子", k=3000)), "some words, as ever"]
+    assert compiled.count(texts)[1].tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(compiled.counter.states) < 300 + transducer.LANES + 256
