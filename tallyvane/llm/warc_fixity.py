@@ -8,7 +8,9 @@ that differ are looked at, so an intact branch costs one comparison however many
 All of it is DataFrame operations: a level is one grouping by parent, whose groups hold FANOUT rows at most.
 
 Defined cases: null urls and bodies count as empty; records without an id come in a file of their own, -1; repeated ids stand one
-after the other, in the order of their digests; two empty archives have equal (null) roots and no damage.
+after the other, in the order of their digests, so that repeated rows are records of their own; a body of any length is one record, hashed
+where it is; columns other than those named are not read, so that none can clash; two empty archives have equal (null) roots and no
+damage.
 """
 
 from __future__ import annotations
@@ -126,7 +128,9 @@ def tree(archive: DataFrame, levels: tuple[int, int]) -> list[DataFrame]:
         else:
             up_scope, up = F.col("scope"), F.floor(F.col("place") / FANOUT)
         out.append(now.withColumns({"up_scope": up_scope, "up": up}))
-        now = out[-1].groupBy(F.col("up_scope").alias("scope"), F.col("up").alias("place")).agg(F.sha2(joined, 256).alias("hash"))
+        # Written once: a level is made of the one below, not of the records again.
+        if k < inner + outer:
+            now = shared.written(out[-1].groupBy(F.col("up_scope").alias("scope"), F.col("up").alias("place")).agg(F.sha2(joined, 256).alias("hash")), "fixity-level")
     return out
 
 
@@ -137,8 +141,8 @@ def root(archive: DataFrame) -> str | None:
 
 
 def damaged(good: DataFrame, other: DataFrame) -> DataFrame:
-    """Records of two replicas that differ: file, ordinal, and kind: changed (bytes or offset), missing (not in the other) or
-    extra (not in the good one)."""
+    """Records of two replicas that differ: file, ordinal, and kind: changed (its bytes), moved (the same bytes at another offset, as
+    after a record that lost some), missing (not in the other) or extra (not in the good one)."""
     levels = shape(good, other)
     left, right = tree(good, levels), tree(other, levels)
     differ = None
@@ -150,5 +154,8 @@ def damaged(good: DataFrame, other: DataFrame) -> DataFrame:
         differ = a.join(b, ["scope", "place"], "full_outer").filter(~F.col("x").eqNullSafe(F.col("y")))
         if a is not left[0]:
             differ = shared.written(differ, "fixity-branches")
-    kind = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "extra").otherwise("changed")
-    return differ.select(F.col("scope").alias("file"), F.col("place").alias("ordinal"), kind.alias("kind"))
+    found = differ.select(F.col("scope").alias("file"), F.col("place").alias("ordinal"), "x", "y")
+    for rows, name in ((good, "was"), (other, "is")):
+        found = found.join(rows.select("file", "ordinal", F.struct("length", "digest").alias(name)), ["file", "ordinal"], "left")
+    kind = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "extra").when(F.col("was") == F.col("is"), "moved").otherwise("changed")
+    return found.select("file", "ordinal", kind.alias("kind"))

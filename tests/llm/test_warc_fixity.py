@@ -66,12 +66,14 @@ def test_root_and_damage_against_brute_force(spark, pages):
         x = rng.random()
         if x < 0.02:
             other.append((r.file, r.ordinal, r.key, r.offset, r.length, "0" * 64))
-        elif x > 0.02 + 0.02:
+        elif x < 0.04:
+            other.append((r.file, r.ordinal, r.key, r.offset + 5, r.length, r.digest))
+        elif x > 0.06:
             other.append(tuple(r))
     other += [(3, 900, None, 1, 1, "f" * 64), (12, 0, None, 0, 1, "f" * 64)]
     replica = spark.createDataFrame(other, good.schema)
     a, b = {(r.file, r.ordinal): tuple(r)[3:] for r in rows}, {r[:2]: r[3:] for r in other}
-    expected = {(k, "missing" if k not in b else "extra" if k not in a else "changed") for k in {*a, *b} if a.get(k) != b.get(k)}
+    expected = {(k, "missing" if k not in b else "extra" if k not in a else "moved" if a[k][1:] == b[k][1:] else "changed") for k in {*a, *b} if a.get(k) != b.get(k)}
     assert {((r.file, r.ordinal), r.kind) for r in warc_fixity.damaged(good, replica).collect()} == expected
     nothing = good.limit(0)
     assert warc_fixity.root(nothing) is None
