@@ -44,8 +44,7 @@ from pyspark.sql import functions as F
 from tallyvane.llm import shared
 from tallyvane.llm.bpe import blocks
 from tallyvane.llm.components import components
-from tallyvane.llm.token_store import mixed
-from tallyvane.llm.words import SPACED, hash_of, utf8, windows, words
+from tallyvane.llm.words import SPACED, hash_of, mixed, utf8, windows, words
 
 SHINGLE = 5
 #: Nodes that hold a shingle of the rare class at most.

@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyvane.llm.bpe import blocks
-from tallyvane.llm.token_store import mixed
-from tallyvane.llm.words import SPACED, Words, utf8, windows, words
+from tallyvane.llm.words import SPACED, Words, mixed, utf8, windows, words
 from tallyvane.llm.words import _hashes as span_hashes
 
 #: Labelled documents that the field is trained on at most, and lines of each that training reads.

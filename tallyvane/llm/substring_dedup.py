@@ -29,8 +29,7 @@ from pyspark.sql import types as T
 
 from tallyvane.llm.bpe import blocks
 from tallyvane.llm.fm_index import FMIndex
-from tallyvane.llm.token_store import mixed
-from tallyvane.llm.words import SPACED, utf8, windows, words
+from tallyvane.llm.words import SPACED, mixed, utf8, windows, words
 
 #: Words of a window, of a shingle, and shingles of a window.
 WINDOW, SHINGLE = 20, 5

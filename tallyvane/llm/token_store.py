@@ -13,16 +13,19 @@ A key's hash is tried on the levels in turn; the first level whose bit is set at
 set bits before it. At each level about 60 per cent of the keys left find a bit of their own, so a look-up takes constant
 time and the index about 3.5 bits a key besides the slots. A stored fingerprint tells keys that aren't there.
 
-Defined cases: a null text counts as empty and has only the end id; rows without a key come first and are found by the null
-key; rows of equal key keep one slot, in the order of their texts; an empty table gives no shards and no rows.
+Distinct words are encoded by the library and known by a 64-bit hash from then on, so that a text is cut, looked up and written
+in whole arrays. Two words of equal hash are the only way to err.
+
+Defined cases: a null text counts as empty and has only the end id, an empty one likewise; rows without a key come first and are
+found by the null key; rows of equal key, repeated ones too, keep one slot a shard and follow one another by a hash of their texts, then
+by the texts, so that a key of many rows may go on in the next shard; very long texts are encoded in one piece, in memory that grows with the longest
+text alone; only the key and the text are read, so that other columns can't clash; an empty table gives no shards and no rows.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,21 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyvane.llm import shared
+from tallyvane.llm.bpe import blocks
+from tallyvane.llm.words import SPACED, _hashes, mixed, utf8, words
 
 MAGIC = b"TVSHARD1"
 #: Bits of a level for each key that is left.
 GAMMA = 2
-#: Distinct space-separated words whose ids a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 700_000
-
-
-def mixed(x: np.ndarray, seed: int) -> np.ndarray:
-    """Well-spread 64-bit values of 64-bit keys."""
-    with np.errstate(over="ignore"):
-        x = x.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (2**64 - 1))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Distinct words whose ids a worker keeps (beyond it the cache starts anew), bits of the table that finds the frequent ones at once.
+CACHE_WORDS, TABLE_BITS = 1_500_000, 22
+BLOCK_BYTES = 4 << 20
 
 
 def fingerprint(keys: np.ndarray) -> np.ndarray:
@@ -136,42 +133,116 @@ class ShardIndex:
         return np.where(there, row[:, 1].astype(np.int64) + repeat, -1)
 
 
-_encoders: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+def _bytes(*parts) -> np.ndarray:
+    found = np.zeros(256, bool)
+    for part in parts:
+        found[list(part)] = True
+    return found
 
 
-#: Marks between a letter or digit, ASCII or Latin-1, and white space.
-MARKS = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,!?;:$%&*#|]+)(?=[ \t-\r]|$)")
+#: Marks, and what may stand before marks at a word's end: letters and digits, and second bytes of Latin-1 letters.
+MARKS, ASCII_BEFORE = _bytes(b".,!?;:$%&*#|"), _bytes(range(0x61, 0x7B), range(0x30, 0x3A))
+LATIN_BEFORE = _bytes(range(0x80, 0x97), range(0x98, 0xB7), range(0xB8, 0xC0))
 
 
-def plain(text: bytes) -> bytes:
-    """The text in lower case, a space before marks that end a word; as it is where special strings could be in it."""
-    return text if b"<|" in text else MARKS.sub(rb" \1", text.lower())
+def pieces(texts: list[bytes]):
+    """Bytes of the texts in lower case, begin and end of each piece, and for each text the number of its first piece, and of all at
+    last. Pieces are words that white space ends, without marks at their ends where a letter or digit is before them, and those marks."""
+    w = words(texts, SPACED, lower=True, hashed=False)
+    at = np.arange(len(w.data), dtype=np.int64)
+    last = np.maximum.accumulate(np.where(MARKS[w.data], -1, at))[w.end - 1] if len(w.end) else w.end
+    before = w.data[np.maximum(last, 0)]
+    letter = ASCII_BEFORE[before] | (LATIN_BEFORE[before] & (last > w.begin) & (w.data[np.maximum(last - 1, 0)] == 0xC3))
+    parted = (last >= w.begin) & (last < w.end - 1) & letter
+    shift = np.concatenate([[0], np.cumsum(parted)])
+    place = np.arange(len(w.begin)) + shift[:-1]
+    begin, end = np.empty((2, len(w.begin) + int(shift[-1])), np.int64)
+    begin[place], end[place] = w.begin, np.where(parted, last + 1, w.end)
+    begin[place[parted] + 1], end[place[parted] + 1] = last[parted] + 1, w.end[parted]
+    return w.data, begin, end, w.first + shift[w.first]
 
 
-def encoded(texts: list[str | None], path: str, width: int, end: int) -> list[bytes]:
-    """Ids of each text by the tokenizers library, with the end id.
+class Encoder:
+    """Ids of texts by the tokenizers library, each with the end id.
 
-    The vocabulary file's own rules make white space a border that no token crosses, so that distinct words are encoded
-    once and their ids joined. The rules also lower-case and part letters or digits from marks after them, so that words
-    are looked up in lower case (A-Z) and without the marks at their ends, unless the text may hold a special string.
+    The vocabulary file's own rules make white space a border that no token crosses, lower-case, and part letters or digits from
+    marks after them; so pieces are encoded once and their ids joined. A text that may hold a special string ("<|") is encoded whole.
     """
-    if path not in _encoders:
+
+    def __init__(self, path: str, width: int, end: int):
         from tokenizers import Tokenizer
 
-        _encoders[path] = (Tokenizer.from_file(path), {})
-    library, cache = _encoders[path]
-    words = [plain(t.encode()).split() if t else [] for t in texts]
-    fresh = list({w for ws in words for w in ws if w not in cache})
-    if len(cache) + len(fresh) > CACHE_WORDS:
-        cache.clear()
-        fresh = list({w for ws in words for w in ws})
-    kind = "H" if width == 2 else "I"
-    for a in range(0, len(fresh), 4096):
-        part = fresh[a : a + 4096]
-        for word, found in zip(part, library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            cache[word] = array(kind, found.ids).tobytes()
-    last = array(kind, [end]).tobytes()
-    return [b"".join(map(cache.__getitem__, ws)) + last for ws in words]
+        self.library, self.kind, self.end = Tokenizer.from_file(path), f"<u{width}", end
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all pieces; the first entry is the end id."""
+        self.hash, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pool, self.begin, self.count = np.array([self.end], self.kind), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.near, self.near_entry = np.zeros(1 << TABLE_BITS, np.uint64), np.full(1 << TABLE_BITS, -1, np.int64)
+
+    def add(self, hashes: np.ndarray, fresh: list[str]) -> None:
+        ids = [f.ids for a in range(0, len(fresh), 4096) for f in self.library.encode_batch_fast(fresh[a : a + 4096], add_special_tokens=False)]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        begin = len(self.pool) + np.cumsum(count) - count
+        self.pool = np.concatenate([self.pool, *(np.array(x, self.kind) for x in ids)])
+        entry = len(self.begin) + np.arange(len(ids))
+        self.begin, self.count = np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
+        at = np.searchsorted(self.hash, hashes)
+        self.hash, self.entry = np.insert(self.hash, at, hashes), np.insert(self.entry, at, entry)
+
+    def entries(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, anew: bool = False) -> np.ndarray:
+        """The entry of each piece."""
+        hashes = _hashes(data, begin, end)
+        slot = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        out = np.where(self.near[slot] == hashes, self.near_entry[slot], -1)
+        left = np.flatnonzero(out < 0)
+        distinct, one, where = np.unique(hashes[left], return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hash, distinct)
+        new = np.flatnonzero(np.concatenate([self.hash, [np.uint64(0)]])[at] != distinct) if len(self.hash) else np.arange(len(distinct))
+        if len(new):
+            if len(self.hash) + len(new) > CACHE_WORDS and len(self.hash) and not anew:
+                self.clear()
+                return self.entries(data, begin, end, anew=True)
+            some = left[one[new]]
+            self.add(distinct[new], [data[a:b].tobytes().decode() for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)])
+        found = self.entry[np.searchsorted(self.hash, distinct)]
+        out[left] = found[where]
+        slot = (distinct >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        self.near[slot], self.near_entry[slot] = distinct, found
+        return out
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
+        whole = [k for k, t in enumerate(texts) if t and b"<|" in t]
+        entry, first = self._known([None if t and b"<|" in t else t for t in texts])
+        begin, count, pool = self.begin, self.count, self.pool
+        if whole:
+            ids = [np.array(self.library.encode(texts[k].decode(), add_special_tokens=False).ids, self.kind) for k in whole]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            entry = np.insert(entry, first[whole], len(begin) + np.arange(len(ids)))
+            first = first + np.concatenate([np.searchsorted(whole, np.arange(len(texts))), [len(whole)]])
+            begin, count = np.concatenate([begin, len(pool) + np.cumsum(sizes) - sizes]), np.concatenate([count, sizes])
+            pool = np.concatenate([pool, *ids])
+        entry = np.insert(entry, first[1:], 0)
+        n = count[entry]
+        before = np.cumsum(n) - n
+        flat = pool[np.repeat(begin[entry] - before, n) + np.arange(int(n.sum()))]
+        return flat, np.add.reduceat(n, first[:-1] + np.arange(len(texts))) if texts else n
+
+    def _known(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        data, begin, end, first = pieces(texts)
+        return self.entries(data, begin, end), first
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, width: int, end: int) -> Encoder:
+    """This worker's encoder."""
+    if (path, width, end) not in _encoders:
+        _encoders[path, width, end] = Encoder(path, width, end)
+    return _encoders[path, width, end]
 
 
 def _open(uri: str):
@@ -205,30 +276,27 @@ def write(docs: DataFrame, folder: str, path: str, *, end: int, key: str = "doc_
         stem = f"{folder}/{shard:06d}-{uuid.uuid4().hex}"
         out, hashes, lengths, last, seen = None, [], [], None, 0
         arrow = None
-        for batch in batches:
-            if not len(batch):
+        for table in blocks(batches, "text", BLOCK_BYTES):
+            if not len(table):
                 continue
             if out is None:
                 fs, name = _open(stem)
                 fs.create_dir(name.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(f"{name}.ids")
-                arrow = batch.schema.field("key").type
-            for part in (batch.slice(a, 1000) for a in range(0, len(batch), 1000)):
-                ids = encoded(part.column("text").to_pylist(), path, width, end)
-                out.write(b"".join(ids))
-                h = part.column("hash").to_numpy()
-                lengths.append(np.fromiter((len(x) // width for x in ids), np.int64, len(ids)))
-                # Which of the rows of its key each row is; a run may go on from the part before.
-                new = np.concatenate([[last is None or h[0] != last], h[1:] != h[:-1]])
-                order = np.arange(len(h))
-                begin = np.maximum.accumulate(np.where(new, order, -1))
-                repeat = np.where(begin < 0, order + seen, order - begin)
-                last, seen = h[-1], int(repeat[-1]) + 1
-                hashes.append(h)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array(h), pa.array(np.full(len(h), shard, np.int32)), pa.array([stem] * len(h)), pa.array(repeat), pa.nulls(len(h), pa.int64())],
-                    names=schema.names,
-                )
+                arrow = table.schema.field("key").type
+            ids, n = encoder(path, width, end).encode(utf8(table.column("text").combine_chunks()))
+            out.write(ids.tobytes())
+            lengths.append(n)
+            h = table.column("hash").to_numpy()
+            # Which of the rows of its key each row is; a run may go on from the block before.
+            new = np.concatenate([[last is None or h[0] != last], h[1:] != h[:-1]])
+            order = np.arange(len(h))
+            begin = np.maximum.accumulate(np.where(new, order, -1))
+            repeat = np.where(begin < 0, order + seen, order - begin)
+            last, seen = h[-1], int(repeat[-1]) + 1
+            hashes.append(h)
+            done = [table.column("key").combine_chunks(), pa.array(h), pa.array(np.full(len(h), shard, np.int32)), pa.array([stem] * len(h)), pa.array(repeat), pa.nulls(len(h), pa.int64())]
+            yield pa.RecordBatch.from_arrays(done, names=schema.names)
         if out is not None:
             out.close()
             offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
@@ -241,7 +309,7 @@ def write(docs: DataFrame, folder: str, path: str, *, end: int, key: str = "doc_
             )
 
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text")).withColumn("hash", F.xxhash64("key"))
-    sorted_rows = rows.repartitionByRange("key", F.xxhash64("text")).sortWithinPartitions("key", "text")
+    sorted_rows = rows.repartitionByRange("key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
     return shared.written(sorted_rows.mapInArrow(run, schema), "token-shards")
 
 

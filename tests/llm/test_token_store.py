@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -30,13 +31,27 @@ def test_round_trip_against_the_library(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, hash string, shard int").repartition(5)
     got = token_store.read(token_store.write(docs, shared.folder(spark, "t"), PATH, end=2)).collect()
     start, expected = 0, []
-    for key, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    hashed = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) AS h").distinct().collect()}
+    for key, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]])):
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
         expected.append((key, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == expected
 
 
+def test_words_against_the_library(monkeypatch):
+    """Random strings, with a cache that starts anew several times."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_store, "CACHE_WORDS", 300)
+    library, encoder, rng = Tokenizer.from_file(PATH), token_store.Encoder(PATH, 2, 2), random.Random(4)
+    parts = ["a", "B", "é", "É", "×", "÷", "1", ".", ",", "!", "|", "*", " ", "  ", "\t", "\n", "\x1c", "'s", "<|", "|>", "<|endoftext|>", "-", "́", "语", "word", "İ"]
+    for _ in range(40):
+        texts = [None if rng.random() < 0.05 else "".join(rng.choices(parts, k=rng.choice([0, 1, 3, 8, 60]))) for _ in range(rng.choice([1, 30]))]
+        ids, n = encoder.encode([None if t is None else t.encode() for t in texts])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_store.read(token_store.write(docs, shared.folder(spark, "t"), PATH, end=2)).collect() == []
