@@ -1,12 +1,13 @@
 """Quality rules by line labelling: a linear-chain conditional random field marks lines as content or boilerplate.
 
 The field is trained in numpy on a bounded sample of labelled documents, by gradient ascent on the likelihood of whole
-line sequences. Lines of documents labelled good are content unless they repeat an earlier line, have no words or read like
-licence or navigation lines; lines of documents labelled bad are boilerplate. Viterbi decoding finds the most likely
+line sequences. Only the documents' labels teach it: lines of good ones are content unless they repeat an earlier line or have no words,
+lines of bad ones are boilerplate. Viterbi decoding finds the most likely
 labels of all lines of a text; the share of words on content lines decides whether it is kept, after the plain base rules.
 
 Defined cases: a null text counts as empty: no words, so the base rules fail it; equal texts give equal rows; with no
-labelled sample the field has no weights and calls every line content, so that only the base rules decide.
+labelled sample the field has no weights and calls every line content, so that only the base rules decide; equally likely labels of a
+line are boilerplate; very long texts are labelled whole, all lines of a block of texts at a time; rows that repeat stay rows of their own; only the named columns are read, so that others can't clash; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -207,7 +208,7 @@ def trained(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: st
     features, labels_ = [], []
     if texts:
         found = lines(texts)
-        plain = ~found.repeated & (found.n_words > 0) & ~found.features[:, 16] & ~found.features[:, 14]
+        plain = ~found.repeated & (found.n_words > 0)
         for k in range(len(texts)):
             own = slice(int(found.first[k]), int(min(found.first[k + 1], found.first[k] + SAMPLE_LINES)))
             features.append(found.features[own])

@@ -101,3 +101,17 @@ def test_empty_line_at_the_border_of_a_segment(last):
     assert found.repeated.tolist()[:4] == [False, False, False, True]
     again = line_crf.lines([b"a" * (SEGMENT - 1), *([None, b""] * 3), b"abc\nabc"])
     assert again.repeated.tolist() == [False] * 8 + [True]
+
+
+def test_verdicts_on_documents_held_out(spark):
+    """Documents that the field hasn't seen: good ones that the base rules pass are kept, bad ones aren't."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").dropna(subset=["quality"])
+    seen = labels.filter("doc_id % 3 <> 0")
+    field = line_crf.trained(docs, seen)
+    rows = line_crf.score(docs.join(labels.filter("doc_id % 3 = 0"), "doc_id").select("doc_id", "text"), field).join(labels, "doc_id").collect()
+    good, bad = ([r for r in rows if r.quality == q] for q in (1, 0))
+    assert len(good) > 500
+    assert np.mean([r.kept for r in good if not r.base_failed]) > 0.97
+    assert np.mean([r.kept for r in good]) > 0.93
+    assert np.mean([r.kept for r in bad]) < 0.05
