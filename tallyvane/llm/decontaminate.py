@@ -8,7 +8,8 @@ the text that the shard's FM-index is built over. All windows are searched backw
 wavelet matrix, occurrences are located by sampled suffix positions, and overlapping ones merge to spans.
 
 Defined cases: null texts, null items and texts without words have no words, no hits and no windows; an item of null id
-counts for hits and is named by an empty string; equal texts give equal rows; with no items nothing is contaminated.
+counts for hits and is named by an empty string; items of equal text are all named; equal texts give equal rows; with no items nothing is contaminated; very
+long texts are a block, and so a shard, of their own; rows that repeat stay rows of their own; only the named columns are read, so that others can't clash; empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ removed if any of its rows stands earlier: in a smaller doc_id, or in the same d
 removed goes back to the texts as intervals of words.
 
 Defined cases: a null text has no words; a null doc_id comes before all others; rows of equal doc_id count as one document,
-so of two such rows a window is removed only where it starts later; the rows stay apart in the result.
+so of two such rows a window is removed only where it starts later; the rows, repeated ones too, stay apart in the result; a text without
+words, empty ones included, loses nothing; very long texts are cut into segments like all others; rows travel in a struct, so that no name of theirs
+clashes; an empty table gives no rows.
 """
 
 from __future__ import annotations
