@@ -9,7 +9,8 @@ A filter's responses to all pairs of bytes are tabulated before texts are scored
 look-ups; batches of windows go through together.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; so is every text if no labelled text exists; rows
-without a key are never learned from and not held out; equal texts get equal rows.
+without a key are never learned from and not held out; equal texts get equal rows; equal chances go to the language that comes first; very long
+texts are scored whole, in windows of fixed length, a block of texts at a time; rows that repeat stay rows of their own; only the named columns are read, so that others can't clash; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyvane.llm.bpe import blocks
-from tallyvane.llm.words import utf8
+from tallyvane.llm.words import mixed, utf8
 
-#: Labelled texts of each language, and windows of each text, that the network is trained on at most.
+#: Labelled texts of each language, and windows of each text, that the network is trained on at most: those that come first by a hash
+#: of key and place, wherever they are in the text.
 TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT = 250, 2
 #: Labelled texts in all: those of 200 languages.
 MOST_TEXTS = 50_000
@@ -178,20 +180,32 @@ def trained(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label:
     names = known.select(known[key].alias("key"), known[label].alias("label"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("key"), "key"))
     some = names.withColumn("rank", rank).filter(F.col("rank") <= TEXTS_PER_LANGUAGE).select("key").distinct()
-    some = F.broadcast(some.limit(MOST_TEXTS))
+    some = F.broadcast(some.orderBy(F.xxhash64("key"), "key").limit(MOST_TEXTS))
     rows = known.select(known[key].alias("key"), known[text].alias("text"), known[label].alias("label")).join(some, "key")
-    sample = rows.select(F.col("text").substr(1, 20 * LENGTH).alias("text"), "label", "key").orderBy("label", F.xxhash64("key"), "key", "text").limit(MOST_TEXTS).toArrow()
+
+    def choose(batches):
+        for table in blocks(batches, "text", BLOCK_BYTES):
+            windows, first, letters = cut(utf8(table.column("text").combine_chunks()))
+            some = np.flatnonzero(letters > LENGTH // 8)
+            owner = np.searchsorted(first, some, side="right") - 1
+            place = some - first[owner]
+            by = np.lexsort((mixed(table.column("hash").to_numpy()[owner].view(np.uint64) + place.astype(np.uint64), 3), owner))
+            some, owner, place = some[by], owner[by], place[by]
+            first_few = np.arange(len(owner)) - np.searchsorted(owner, owner) < WINDOWS_PER_TEXT
+            some, owner, place = some[first_few], owner[first_few], place[first_few]
+            rows = [table.column(c).combine_chunks().take(pa.array(owner)) for c in ("label", "hash")]
+            bytes_ = pa.array([w.tobytes() for w in windows[some].astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(place, pa.int64()), bytes_], names=["label", "hash", "place", "window"])
+
+    chosen = rows.select("text", "label", F.xxhash64("key").alias("hash")).mapInArrow(choose, "label string, hash long, place long, window binary")
+    sample = chosen.orderBy("label", "hash", "place", "window").limit(MOST_TEXTS * WINDOWS_PER_TEXT).toArrow()
     labels = sample.column("label").to_pylist()
     languages = sorted(set(labels))
     if not languages:
         return Network([], [], np.zeros((0, 0)), np.zeros(0))
-    windows, first, letters = cut(utf8(sample.column("text").combine_chunks()))
-    kept = np.flatnonzero(letters > LENGTH // 8)
-    owner = np.searchsorted(first, kept, side="right") - 1
-    place = np.arange(len(kept)) - np.searchsorted(owner, owner)
-    kept, owner = kept[place < WINDOWS_PER_TEXT], owner[place < WINDOWS_PER_TEXT]
+    windows = np.frombuffer(b"".join(sample.column("window").to_pylist()), np.uint8).reshape(-1, LENGTH).astype(np.int64)
     number = {name: k for k, name in enumerate(languages)}
-    return Network.train(windows[kept], np.array([number[labels[k]] for k in owner.tolist()], np.int64), languages)
+    return Network.train(windows, np.array([number[x] for x in labels], np.int64), languages)
 
 
 def identify(docs: DataFrame, network: Network, *, key: str = "doc_id", text: str = "text") -> DataFrame:
