@@ -1,18 +1,24 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-A text's terms are its lower-cased words and their beginnings of four to six bytes, so that stems count whatever follows
-them. The vocabulary is what a bounded sample of labelled texts ties to the label: terms that a chi-square test finds
-over-represented in toxic ones. Examples are vectors of (1 + ln tf) * idf over that vocabulary, of length one (idf counts
-the sampled texts that aren't toxic, so that terms of ordinary texts weigh little), in an inverted
-index cut into blocks of examples; each term keeps its greatest weight in every block. A query visits blocks by falling
-upper bound and stops when no block left can beat the k-th nearest found, so that the k nearest are exact.
-
-Votes are weighted by the square of the cosine and shrunk to the prior; a part of the sample, left out of the index, maps
-them to chances by isotonic regression, each class weighted by how it was sampled. The nearest examples are the evidence.
-
-Defined cases: a text without terms of the vocabulary, empty and null ones included, has no neighbours and the chance that
-such texts have; rows without a key or label are never learned from; a document labelled twice is toxic if any label says so;
-with no labels every score is 0; equal texts get equal rows.
+A text's terms are its lower-cased words and their beginnings of four and six bytes, so that stems count whatever follows
+them. The vocabulary is every term that two texts or more of a bounded sample of labelled texts hold. A vector's weights are (1 + ln tf) *
+idf * relevance, at length one: idf = ln((1 + N) / (1 + df)) counts the examples, relevance is 1 and grows with how far the label
+changes a term's share of texts (RELEVANCE times what the absolute log ratio has over 1, for terms of SUPPORT examples or
+more). With a relevance of 1 throughout, neighbours follow the subject of a text and say little of its tone (README has figures).
+
+Examples lie in an inverted index cut into blocks of BLOCK examples, those with the same frequent terms side by side; each term keeps its
+greatest weight in every block that has it. A query bounds each block by these, opens blocks by falling bound, and stops when no
+closed block can reach the k-th nearest found: postings of closed blocks are never touched, and the k nearest are exact.
+
+Votes are weighted by the square of the cosine and shrunk to the prior. A part of the sample, left out of the index, of idf and
+of relevance, maps the log odds of votes to chances by logistic regression, each class weighted by how it was sampled. The nearest examples
+are the evidence.
+
+Defined cases: null texts, empty ones and those without a term of the vocabulary have no neighbours and no evidence; their score is the
+chance of a vote at the prior. Rows without a key or label are never learned from; a document labelled twice is toxic if any label says so;
+with no labels every score is 0; equal cosines (to 12 digits) go by the example's key; equal texts get equal rows; very long texts
+are scored whole, a block of texts at a time; columns other than key and text are not read, so that none can clash; empty tables
+give no rows.
 """
 
 from __future__ import annotations
@@ -26,22 +32,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyvane.llm.bpe import blocks
-from tallyvane.llm.words import ALNUM, _hashes, utf8, words
+from tallyvane.llm.words import ALNUM, _hashes, hash_of, utf8, words
 
 #: Labelled texts that are learned from at most: toxic ones and others.
-TOXIC_EXAMPLES, OTHER_EXAMPLES = 1500, 3000
+TOXIC_EXAMPLES, OTHER_EXAMPLES = 1000, 1500
 #: One of so many sampled texts calibrates the votes and isn't in the index.
 CALIBRATE = 4
-#: Terms of the vocabulary at most, and bytes of the beginnings that are terms.
-TERMS, STEMS = 4000, (4, 5, 6)
-#: Least chi-square of a term, toxic texts that must hold it, and how much more often toxic texts must hold it than others.
-CHI_SQUARE, SUPPORT, LIFT = 7.0, 3, 3
+#: Bytes of the beginnings that are terms.
+STEMS = (4, 6)
+#: Growth of a term's relevance, and examples that must hold a term whose relevance isn't 1.
+RELEVANCE, SUPPORT = 2.0, 5
 #: Neighbours that vote, examples of a block, and weight of the prior.
-NEIGHBOURS, BLOCK, SHRINK = 15, 32, 0.3
-#: Blocks that a query opens before it prunes.
-FIRST_BLOCKS = 12
+NEIGHBOURS, BLOCK, SHRINK = 15, 16, 0.02
+#: Blocks that a query opens first, and how many times as many are open after each later step at most.
+FIRST_BLOCKS, GROWTH = 16, 4
+#: The most frequent terms, whose postings lie as a row of weights for each example.
+ROW_TERMS = 256
+#: Frequent terms whose presence orders the examples.
+ORDER_TERMS = 24
 #: Distinct vectors whose result a worker keeps.
-CACHE = 50_000
+CACHE = 20_000
+#: Bits of the table that finds terms by their hashes.
+TABLE_BITS = 21
 BLOCK_BYTES = 4 << 20
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("example", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("toxic", T.IntegerType())]))
 
@@ -58,21 +70,27 @@ def terms(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owner), np.concatenate(name)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps of the rising function of x nearest to y: where each begins, and its value."""
-    order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []
-    for a, b, c in zip(x[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
-        if pools and pools[-1][0] == a:
-            pools[-1][1] += b * c
-            pools[-1][2] += c
-        else:
-            pools.append([a, b * c, c])
-        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
-            last = pools.pop()
-            pools[-1][1] += last[1]
-            pools[-1][2] += last[2]
-    return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
+def spans(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (count[0] of them), begin[1], ..."""
+    before = np.cumsum(count) - count
+    return np.repeat(begin - before, count) + np.arange(int(count.sum()))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope (not negative) of the chance of y by x; a little is added to either class, so that both stay finite."""
+    x, y = np.concatenate([x, [x.mean(), x.mean()]]), np.concatenate([y, [0.0, 1.0]])
+    weight = np.concatenate([weight / weight.mean(), [0.5, 0.5]])
+    a, b = 0.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
+        v = weight * np.maximum(p * (1 - p), 1e-9)
+        gradient = np.array([(weight * (y - p)).sum(), (weight * (y - p) * x).sum() - 1e-3 * b])
+        step = np.linalg.solve(np.array([[v.sum(), (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + 1e-3]]), gradient)
+        step *= min(1.0, 4 / np.abs(step).max()) if step.any() else 1.0
+        a, b = a + step[0], b + step[1]
+        if np.abs(step).max() < 1e-10:
+            break
+    return float(a), float(max(b, 0.0))
 
 
 @dataclass
@@ -80,53 +98,90 @@ class Neighbours:
     """The vocabulary and the examples' block-max inverted index."""
 
     vocabulary: np.ndarray  # hashes of the terms, ascending
-    idf: np.ndarray
+    value: np.ndarray  # idf * relevance of each
     keys: np.ndarray
     toxic: np.ndarray
     prior: float
-    steps: tuple[np.ndarray, np.ndarray]
+    line: tuple[float, float] = (-np.inf, 0.0)
+
+    def __post_init__(self):
+        slot = (self.vocabulary >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        self.table = np.full(1 << TABLE_BITS, -1, np.int32)
+        self.table[slot] = np.arange(len(slot))
+        self.crowded = np.bincount(slot, minlength=1 << TABLE_BITS) > 1
+        self.opened = 0  # postings looked at, but for rows
 
     def build(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        """Index the examples' vectors; postings lie by term, then by example, so by block."""
         by = np.lexsort((example, term))
-        self.example, self.weight = example[by], weight[by]
-        self.bounds = np.searchsorted(term[by], np.arange(len(self.vocabulary) + 1))
+        self.example, self.weight, term = example[by], weight[by], term[by]
         self.blocks = -(-max(1, len(self.keys)) // BLOCK)
-        self.most = np.zeros((len(self.vocabulary), self.blocks), np.float32)
-        np.maximum.at(self.most, (term, example // BLOCK), weight.astype(np.float32))
-        self.maybe = np.zeros(1 << 18, bool)
-        self.maybe[(self.vocabulary & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+        group = term * self.blocks + self.example // BLOCK
+        self.begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+        self.count = np.diff(np.append(self.begin, len(group)))
+        self.block = group[self.begin] % self.blocks
+        self.most = np.maximum.reduceat(self.weight, self.begin) if len(group) else np.zeros(0)
+        self.groups = np.searchsorted(group[self.begin] // self.blocks, np.arange(len(self.vocabulary) + 1))
+        # The lists of the most frequent terms are rows; bounds of their blocks stay as those of all others.
+        often = np.argsort(-np.bincount(term, minlength=len(self.vocabulary)), kind="stable")[:ROW_TERMS]
+        self.column = np.full(len(self.vocabulary), -1)
+        self.column[often] = np.arange(len(often))
+        self.rows = np.zeros((self.blocks, BLOCK, len(often)))
+        at = self.column[term]
+        some = at >= 0
+        self.rows[self.example[some] // BLOCK, self.example[some] % BLOCK, at[some]] = self.weight[some]
+        self.count[some[self.begin]] = 0
 
     def vectors(self, owner: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, term and weight of the texts' unit vectors, by text."""
+        """Text, term and weight of the texts' unit vectors, by text, then by term."""
         if not len(self.vocabulary):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        some = np.flatnonzero(self.maybe[(name & np.uint64((1 << 18) - 1)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.vocabulary, name[some]), len(self.vocabulary) - 1)
-        there = self.vocabulary[at] == name[some]
-        pair, tf = np.unique(owner[some[there]] * len(self.vocabulary) + at[there], return_counts=True)
+        slot = (name >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        at = self.table[slot]
+        there = (at >= 0) & (self.vocabulary[at] == name)
+        rest = np.flatnonzero(~there & self.crowded[slot])
+        at[rest] = np.minimum(np.searchsorted(self.vocabulary, name[rest]), len(self.vocabulary) - 1)
+        there[rest] = self.vocabulary[at[rest]] == name[rest]
+        pair, tf = np.unique(owner[there] * len(self.vocabulary) + at[there], return_counts=True)
         text, term = np.divmod(pair, len(self.vocabulary))
-        weight = (1 + np.log(tf)) * self.idf[term]
+        weight = (1 + np.log(tf)) * self.value[term]
+        some = weight > 0
+        text, term, weight = text[some], term[some], weight[some]
         norm = np.sqrt(np.bincount(text, weight**2))
         return text, term, weight / norm[text] if len(text) else weight
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest positive cosine, and their cosines; equal ones as the search meets them."""
-        bound = weight @ self.most[term] * (1 + 1e-6)  # the greatest weights are kept in single precision
+        """The k examples of greatest positive cosine, and their cosines; equal ones by key."""
+        n = self.groups[term + 1] - self.groups[term]
+        group, q = spans(self.groups[term], n), np.repeat(weight, n)
+        block = self.block[group]
+        bound = np.bincount(block, q * self.most[group], self.blocks) * (1 + 1e-9)
         order = np.argsort(-bound, kind="stable")
-        spans = [(self.example[a:b], q * self.weight[a:b]) for a, b, q in zip(self.bounds[term].tolist(), self.bounds[term + 1].tolist(), weight.tolist(), strict=True)]
-        ids, gain = np.concatenate([x for x, _ in spans]), np.concatenate([x for _, x in spans])
-        block = ids // BLOCK
+        falling = -bound[order]
+        often = self.column[term] >= 0
+        row = np.zeros(self.rows.shape[2])
+        row[self.column[term[often]]] = weight[often]
+        sparse = self.count[group] > 0
+        group, block, q = group[sparse], block[sparse], q[sparse]
         found, cosine, done = np.zeros(0, np.int64), np.zeros(0), 0
-        while done < len(order) and bound[order[done]] > (cosine[-1] if len(cosine) == k else 0):
-            # The next blocks by bound: a few, and then all that can still beat the k-th nearest.
-            stop = FIRST_BLOCKS if not done else done + int((bound[order[done:]] > (cosine[-1] if len(cosine) == k else 0)).sum())
+        while True:
+            least = cosine[-1] if len(cosine) == k else 0.0
+            stop = int(np.searchsorted(falling, -least, side="right" if least else "left"))
+            stop = min(stop, max(FIRST_BLOCKS, GROWTH * done))
+            if stop <= done:
+                break
             open_ = np.zeros(self.blocks, bool)
             open_[order[done:stop]] = True
-            own = open_[block]
-            score = np.bincount(ids[own], gain[own])
+            own = np.flatnonzero(open_[block])
+            n = self.count[group[own]]
+            posting = spans(self.begin[group[own]], n)
+            self.opened += len(posting)
+            score = np.bincount(self.example[posting], np.repeat(q[own], n) * self.weight[posting], self.blocks * BLOCK).astype(float).reshape(self.blocks, BLOCK)
+            score[open_] += self.rows[open_] @ row
+            score = np.round(score.ravel(), 12)
             hit = np.flatnonzero(score > 0)
             found, cosine = np.concatenate([found, hit]), np.concatenate([cosine, score[hit]])
-            best = np.argsort(-cosine, kind="stable")[:k]
+            best = np.lexsort((self.keys[found], -cosine))[:k]
             found, cosine, done = found[best], cosine[best], stop
         return found, cosine
 
@@ -135,8 +190,11 @@ class Neighbours:
         return float((weight @ self.toxic[found] + SHRINK * self.prior) / (weight.sum() + SHRINK))
 
     def chance(self, vote: float) -> float:
-        at = int(np.searchsorted(self.steps[0], vote, side="right")) - 1
-        return float(np.clip(self.steps[1][max(at, 0)], 0, 1)) if len(self.steps[0]) else 0.0
+        """Chance by the log odds of a vote."""
+        if not len(self.keys):
+            return 0.0
+        vote = min(max(vote, 1e-6), 1 - 1e-6)
+        return float(1 / (1 + np.exp(-np.clip(self.line[0] + self.line[1] * np.log(vote / (1 - vote)), -700, 700))))
 
     def score(self, texts: list[bytes | None], cache: dict):
         """Chance and evidence of each text."""
@@ -148,7 +206,7 @@ class Neighbours:
             cache.clear()
         for k in np.unique(text).tolist():
             own = slice(cut[k], cut[k + 1])
-            key = term[own].tobytes() + weight[own].tobytes()
+            key = hash_of(np.concatenate([term[own].view(np.uint64), weight[own].view(np.uint64)]))
             if key not in cache:
                 found, cosine = self.nearest(term[own], weight[own])
                 told = [{"example": e, "cosine": c, "toxic": y} for e, c, y in zip(self.keys[found[:3]].tolist(), cosine[:3].tolist(), self.toxic[found[:3]].tolist(), strict=True)]
@@ -157,31 +215,51 @@ class Neighbours:
         return chances, evidence
 
 
+def counted(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of every occurrence of a term that may be in the vocabulary, some texts at a time."""
+    out, first, size = [], 0, 0
+    for k, t in enumerate([*texts, None]):
+        size += len(t or b"")
+        if k == len(texts) or size > BLOCK_BYTES:
+            owner, name = terms(texts[first : k + 1])
+            out.append((owner.astype(np.int32) + np.int32(first), name))
+            first, size = k + 1, 0
+    return np.concatenate([x for x, _ in out]).astype(np.int64), np.concatenate([x for _, x in out])
+
+
 def learned(texts: list[bytes | None], keys: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> Neighbours:
     """From sampled texts; weight: how many texts of its class each stands for."""
-    owner, name = terms(texts)
+    aside = np.arange(len(texts)) % CALIBRATE == CALIBRATE - 1
+    examples, others = np.flatnonzero(~aside), np.flatnonzero(aside)
+    owner, name = counted([texts[k] for k in examples])
     vocabulary, at = np.unique(name, return_inverse=True)
-    doc, at = np.divmod(np.unique(owner * max(1, len(vocabulary)) + at), max(1, len(vocabulary)))
-    y = toxic[doc] == 1
-    held, in_toxic = np.bincount(at, minlength=len(vocabulary)), np.bincount(at, y, minlength=len(vocabulary))
-    n, n_toxic = len(texts), int(toxic.sum())
-    expected = held * n_toxic / max(n, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = (in_toxic - expected) ** 2 * n / (expected * (n - n_toxic) * (1 - held / n))
-    good = np.flatnonzero((in_toxic > expected) & (in_toxic >= SUPPORT) & (in_toxic >= LIFT * (held - in_toxic) * n_toxic / max(1, n - n_toxic)) & (chi >= CHI_SQUARE))
-    good = np.sort(good[np.argsort(-chi[good], kind="stable")[:TERMS]])
-    aside = np.arange(n) % CALIBRATE == CALIBRATE - 1
+    pair = np.unique(owner * max(1, len(vocabulary)) + at)
+    doc, at = np.divmod(pair, max(1, len(vocabulary)))
+    y, n = toxic[examples], len(examples)
+    df, in_toxic = np.bincount(at, minlength=len(vocabulary)), np.bincount(at, y[doc], minlength=len(vocabulary))
+    n_toxic = int(y.sum())
+    ratio = np.log((in_toxic + 0.5) / (n_toxic + 1)) - np.log((df - in_toxic + 0.5) / (n - n_toxic + 1))
+    relevance = 1 + RELEVANCE * np.where(df >= SUPPORT, (np.abs(ratio) - 1).clip(0), 0)
+    # Examples with the same frequent terms lie side by side, so that blocks differ in what they can reach.
+    often = np.argsort(-df, kind="stable")[:ORDER_TERMS]
+    place = np.full(len(vocabulary), -1)
+    place[often] = np.arange(len(often))
+    bits = np.zeros(n, np.int64)
+    some = place[at] >= 0
+    np.bitwise_or.at(bits, doc[some], np.int64(1) << (ORDER_TERMS - 1 - place[at[some]]))
+    by = np.lexsort((keys[examples], bits, y))
+    number = np.empty(n, np.int64)
+    number[by] = np.arange(n)
+    kept = df >= 2
     prior = float((weight * toxic).sum() / max(weight.sum(), 1e-9))
-    self = Neighbours(vocabulary[good], np.log((2 + n - n_toxic) / (1 + held[good] - in_toxic[good])), keys[~aside], toxic[~aside], prior, (np.zeros(0), np.zeros(0)))
-    self.build(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    self = Neighbours(vocabulary[kept], (np.log((1 + n) / (1 + df)) * relevance)[kept], keys[examples][by], y[by], prior)
     text, term, value = self.vectors(owner, name)
-    number = np.cumsum(~aside) - 1
-    inside = ~aside[text]
-    self.build(number[text[inside]], term[inside], value[inside])
-    cut = np.searchsorted(text, np.arange(n + 1))
-    rows = np.flatnonzero(aside)
-    votes = np.array([self.vote(*self.nearest(term[cut[k] : cut[k + 1]], value[cut[k] : cut[k + 1]])) if cut[k] < cut[k + 1] else self.vote(np.zeros(0, np.int64), np.zeros(0)) for k in rows.tolist()])
-    self.steps = isotonic(votes, toxic[rows].astype(float), weight[rows])
+    self.build(number[text], term, value)
+    if len(others):
+        text, term, value = self.vectors(*counted([texts[k] for k in others]))
+        cut = np.searchsorted(text, np.arange(len(others) + 1)).tolist()
+        votes = np.array([self.vote(*self.nearest(term[a:b], value[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]).clip(1e-6, 1 - 1e-6)
+        self.line = logistic(np.log(votes / (1 - votes)), toxic[others].astype(float), weight[others])
     return self
 
 
