@@ -40,6 +40,21 @@ def op5_near_duplicates(spark, sf_dir):
     return jaccard_join.join(documents(spark, sf_dir))
 
 
+#: All pairs of documents that share a shingle, and what their links reach.
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), t AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS k FROM d WHERE len(w) > 0)
+), z AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id
+), common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (SELECT a, b FROM common JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), reached AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id FROM d LEFT JOIN z USING (doc_id) JOIN reached ON a = doc_id GROUP BY doc_id
+"""
+
+
 def op6_fixity_audit(spark, sf_dir):
     """Pages as an archive against a replica where some bodies have lost their last characters and some files their ends."""
     from tallyvane.llm import shared, warc_fixity
@@ -71,7 +86,7 @@ WITH sized AS (
   FROM sized WINDOW w AS (PARTITION BY file ORDER BY page_id)
 )
 SELECT file, ordinal, page_id, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length,
-  CASE WHEN cut THEN 'missing' ELSE 'changed' END AS kind
+  CASE WHEN cut THEN 'missing' WHEN worn THEN 'changed' ELSE 'moved' END AS kind
 FROM placed WHERE cut OR moved
 """
 
@@ -92,6 +107,27 @@ def op7_benchmark_hits(spark, sf_dir):
     )
 
 
+#: The same windows as strings of words, joined.
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), i AS (
+  SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS s
+  FROM (SELECT item, w, least(10, len(w)) AS n, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS k FROM b WHERE len(w) > 0)
+), x AS (
+  SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)
+), h AS (SELECT doc_id, item, n, k FROM x JOIN i USING (n, s)
+), covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM h) GROUP BY doc_id
+), items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def op8_language(spark, sf_dir):
     from tallyvane.llm import byte_cnn
 
@@ -106,6 +142,22 @@ def op9_repeated_passages(spark, sf_dir):
     return substring_dedup.digests(documents(spark, sf_dir))
 
 
+#: The same windows as strings of words, the first of each string kept.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), x AS (
+  SELECT doc_id, k, row_number() OVER (PARTITION BY array_to_string(w[k:k + 19], ' ') ORDER BY doc_id, k) AS r
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS k FROM d WHERE len(w) >= 20)
+), removed AS (SELECT DISTINCT doc_id, unnest(generate_series(k, k + 19)) AS p FROM x WHERE r > 1
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d) ANTI JOIN removed USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op10_token_counts(spark, sf_dir):
     from tallyvane.llm import transducer
 
@@ -143,4 +195,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_fixity_audit": OP6_SQL}
+    return {"op5_near_duplicates": OP5_SQL, "op6_fixity_audit": OP6_SQL, "op7_benchmark_hits": OP7_SQL, "op9_repeated_passages": OP9_SQL}

@@ -1,0 +1,87 @@
+"""Every registered query of the operators, on a small table, against SQL, the tokenizers' libraries or brute force."""
+
+import base64
+import hashlib
+import importlib.util
+import zlib
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from tallyvane.llm import queries
+from tokenizers import Tokenizer
+
+SF = "/root/testdata/sf0.001"
+
+
+def load(name):
+    """A module beside this one."""
+    spec = importlib.util.spec_from_file_location(name, Path(__file__).with_name(f"{name}.py"))
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return module
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text or "" for r in queries.documents(spark, SF).collect()}
+
+
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    found = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, SF)
+    columns = sorted(got.columns)
+    assert columns == sorted(found.columns)
+    at = [found.columns.index(c) for c in columns]
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(tuple(r[k] for k in at) for r in found.fetchall())
+
+
+def test_op1_against_the_library(spark, texts):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op1_token_shards(spark, SF).collect()}
+    start, expected = 0, {}
+    for key in sorted(texts):
+        ids = [*library.encode(texts[key], add_special_tokens=False).ids, 2]
+        expected[key] = start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+    assert got == expected
+
+
+def test_op4_against_the_library(spark, texts):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in queries.op4_byte_bpe_round_trip(spark, SF).collect():
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_op10_against_the_library(spark, texts):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in queries.op10_token_counts(spark, SF).collect():
+        n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
+
+
+def test_op3_base_rules(spark, texts):
+    base = load("test_line_crf").base
+    for r in queries.op3_line_quality(spark, SF).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(texts[r.doc_id])
+        assert not (r.kept and r.base_failed)
+
+
+def test_op8_columns(spark, texts):
+    langs = {r.lang for r in queries.documents(spark, SF).select("lang").distinct().collect()} | {"und"}
+    rows = queries.op8_language(spark, SF).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    for r in rows:
+        assert r.lang_pred in langs
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert 0 <= r.score <= 1
