@@ -219,6 +219,19 @@ def stated_recommendation(text) -> Column:
     return F.array_min(F.filter(places, lambda p: p["at"] > 0))["word"]
 
 
+def judgement(reply) -> Column:
+    """faithfulness, relevance (0 where they can't be read) and rationale of a judge's JSON reply, whatever stands around it."""
+    body = F.regexp_extract(_c(reply), r"(?s)\{.*\}", 0)
+    read = F.from_json(body, "faithfulness double, relevance double, rationale string")
+    scores = (F.coalesce(read[c], F.lit(0.0)).alias(c) for c in ("faithfulness", "relevance"))
+    return F.struct(*scores, F.coalesce(read["rationale"], F.lit("")).alias("rationale"))
+
+
+def untrusted(text) -> Column:
+    """A document's text for a prompt: whatever reads as an instruction replaced, between marks that say what it is."""
+    return F.concat(F.lit("<untrusted_document>\n"), neutralised(text), F.lit("\n</untrusted_document>"))
+
+
 def token_estimate(text) -> Column:
     """About how many model tokens a text has: a quarter of its characters, one at least."""
     return F.greatest(F.lit(1), F.floor(F.length(_c(text)) / 4).cast("int"))

@@ -91,6 +91,49 @@ def extract_figures(contexts: DataFrame) -> DataFrame:
     return rows.select("deal", "key", F.element_at("series", -1).alias("value"), F.try_element_at("series", F.lit(-2)).alias("prior"), "series", "document", "page")
 
 
+#: Calculations of the log: name, unit, the figures that go in, and the value over columns of these.
+CALCULATIONS = [
+    ("total debt", "USD", ("current_portion_ltd", "ltd_noncurrent"), lambda a, b: M.total_debt(a, b)),
+    ("leverage", "x", ("current_portion_ltd", "ltd_noncurrent", "ebitda"), lambda a, b, e: M.leverage(a + b, e)),
+    ("debt service coverage", "x", ("ebitda", "capex", "taxes", "interest", "principal"), lambda e, *r: M.dscr(e, *(F.abs(x) for x in r))),
+    ("current ratio", "x", ("current_assets", "current_liabilities"), lambda a, b: M.current_ratio(a, b)),
+    ("gross margin", "percent", ("gross_profit", "revenue"), lambda a, b: M.margin(a, b)),
+    ("EBITDA margin", "percent", ("ebitda", "revenue"), lambda a, b: M.margin(a, b)),
+    ("net margin", "percent", ("net_income", "revenue"), lambda a, b: M.margin(a, b)),
+    ("interest coverage", "x", ("ebitda", "interest"), lambda a, b: M.interest_coverage(a, b)),
+]
+
+
+def calculation_log(figures: DataFrame) -> DataFrame:
+    """Every calculation that a deal's figures (of extract_figures()) support: deal, name, unit, value, inputs (key, value, document,
+    page), the forms that it may be printed in, and a line for the audit trail. What lacks an input or is undefined has no row."""
+    held = figures.groupBy("deal").agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("value", "document", "page")))).alias("m"))  # one per key
+    made = []
+    for name, unit, keys, value in CALCULATIONS:
+        inputs = F.array(*(F.struct(F.lit(k).alias("key"), F.col("m")[k]["value"].alias("value"), F.col("m")[k]["document"].alias("document"), F.col("m")[k]["page"].alias("page")) for k in keys))
+        result = value(*(F.col("m")[k]["value"] for k in keys)).cast("double")
+        made.append(F.when(result.isNotNull(), F.struct(F.lit(name).alias("name"), F.lit(unit).alias("unit"), result.alias("value"), inputs.alias("inputs"))))
+    rows = held.select("deal", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("c")).select("deal", "c.*")
+    source = F.transform("inputs", lambda i: F.concat(i["key"], F.lit(" "), F.format_number(i["value"], 0), F.lit(" ["), i["document"], F.lit("#p"), i["page"].cast("string"), F.lit("]")))
+    audit = F.concat("name", F.lit(" = "), M.formatted("value", "unit"), F.lit(" from "), F.array_join(source, "; "))
+    return rows.withColumns({"forms": derived_forms("value", "unit"), "audit": audit})
+
+
+def derived_forms(value, unit):
+    """All forms in which a computed value may be printed: as formatted and with fewer places or marks; a percentage's size, too."""
+    value, unit = F.col(value), F.col(unit)
+    shown = M.formatted(value, unit)
+    size = F.abs(value)
+    percent = [F.format_string(f, v) for v in (value, size) for f in ("%.1f", "%.0f")]
+    more = (
+        F.when(unit == "USD", F.array(F.format_number(value, 0), F.format_string("%d", value.cast("long"))))
+        .when(unit == "percent", F.array(*percent, *(F.concat(p, F.lit("%")) for p in percent)))
+        .when(unit == "x", F.array(F.concat(F.format_string("%.1f", value), F.lit("x")), F.format_string("%.2f", value), F.format_string("%.1f", value)))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    return F.array_distinct(F.concat(F.array(shown, F.regexp_replace(shown, r"^\\$", "")), more))
+
+
 def receivables(rows: DataFrame, top: int = 5) -> DataFrame:
     """Per deal: total owed, the largest customer's share, and the largest few's. rows: deal, customer, balance."""
     owed = rows.groupBy("deal", "customer").agg(F.sum("balance").alias("balance"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyvane.functions import text as X
-from tallyvane.operators import chunking, evaluate, memo, operations, statements
-from tallyvane.plans import finance_queries, operation_queries, page_queries
+from tallyvane.operators import answering, chunking, evaluate, memo, operations, statements
+from tallyvane.plans import finance_queries, operation_queries, page_queries, search_queries
 from tallyvane.sources import tables
 
 
@@ -134,10 +134,127 @@ i AS (
 )
 SELECT kind, priority, count(*) AS n, count(DISTINCT deal) AS deals FROM i GROUP BY ALL"""
 
+#: What is asked of every borrower and year: number, words, and the printed line that answers; nothing answers the last one.
+_ASKED = [
+    (0, "What was the revenue?", "Revenue", "revenue"), (1, "What was the cost of goods sold?", "Cost of goods sold", "cogs"), (2, "State the gross profit.", "Gross profit", "gross_profit"),
+    (3, "How much EBITDA is reported?", "EBITDA", "ebitda"), (4, "What were total assets?", "Total assets", "total_assets"), (5, "What is the total equity?", "Total equity", "total_equity"),
+    (6, "Who holds the mining concession in Ruritania?", None, None),
+]
+
+
+def _package(spark, sf_dir):
+    """Chunks, questions and facts of every borrower and year: a letter and printed statements."""
+    kind = {"correspondence": "08_correspondence.pdf", "financial_statements": "02_financial_statements.pdf"}
+    document = F.create_map(*(F.lit(x) for pair in kind.items() for x in pair))[F.col("kind")]
+    pages = attack_contexts(spark, sf_dir).select("deal", document.alias("document"), F.lit(1).alias("page"), F.concat("text", F.lit("\nAll amounts are in whole dollars of the year stated.")).alias("text"), F.array().cast("array<array<array<string>>>").alias("tables"))
+    files = spark.createDataFrame([(d, k, "final", "borrower_prepared") for k, d in kind.items()], "document string, kind string, status string, trust string")
+    chunks = chunking.chunks(pages, chunking.profile(pages, files))
+    full = statements.identities(finance_queries.accounts(spark, sf_dir)).withColumn("deal", F.concat_ws("-", "borrower", "year"))
+    said = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(q).alias("text"), (X.money_text(F.expr(e)) if e else F.lit(None).cast("string")).alias("value")) for n, q, _, e in _ASKED))
+    asked = full.select("deal", F.explode(said).alias("q")).select("deal", F.concat_ws("#", "deal", "q.n").alias("question"), "q.text", "q.value", (F.col("q.n") < len(_ASKED) - 1).alias("answerable"))
+    facts = asked.select("question", F.when(F.col("answerable"), kind["financial_statements"]).alias("document"), F.when(F.col("answerable"), 1).alias("page"), "value", "answerable")
+    return pages, chunks, asked.select("question", "deal", "text"), facts
+
+
+def _evaluated(spark, sf_dir):
+    pages, chunks, asked, facts = _package(spark, sf_dir)
+    contexts = answering.retrieved(chunks, asked)
+    return answering.evaluated(asked, contexts, answering.answered(asked, contexts), facts)
+
+
+def package_answers(spark, sf_dir):
+    """Every question about every borrower and year answered from the chunks found for it, and checked: right page, right figure, right
+    refusal."""
+    rows = _evaluated(spark, sf_dir)
+    return rows.select("question", "refused", "citation_correct", "answer_correct", "refusal_correct", F.round("grounding_rate", 6).alias("grounding_rate"), "hallucinated", "invented")
+
+
+_PRINTED = ", ".join(f"'{label} ' || CASE WHEN {e} < 0 THEN format('({{:,}})', -({e})) ELSE format('{{:,}}', {e}) END" for label, e in _LINES)
+#: The lines of both documents as rows, each scored by the question's words, as chunks hold them whole.
+PACKAGE_ANSWERS = f"""{finance_queries.ACCOUNTS}, e AS (
+  SELECT *, borrower || '-' || year AS deal, total_assets - payables - total_debt AS total_equity FROM a
+), l AS (
+  SELECT deal, '08_correspondence.pdf' AS document, unnest([1, 2]) AS k, unnest(['Please find the statements enclosed.', 'All amounts are in whole dollars of the year stated.']) AS line FROM e UNION ALL
+  SELECT deal, '02_financial_statements.pdf', unnest(generate_series(1, {len(_LINES) + 1})), unnest([{_PRINTED}, 'All amounts are in whole dollars of the year stated.']) FROM e
+), q AS (
+  SELECT deal, deal || '#' || n AS question, text, value, n < {len(_ASKED) - 1} AS answerable FROM (
+    SELECT deal, unnest({[n for n, *_ in _ASKED]}) AS n, unnest({[q for _, q, *_ in _ASKED]}) AS text,
+      unnest([{", ".join(f"CASE WHEN {e} < 0 THEN format('({{:,}})', -({e})) ELSE format('{{:,}}', {e}) END" if e else "NULL" for *_, e in _ASKED)}]) AS value FROM e)
+), li AS (SELECT *, deal || document || k AS id FROM l
+), asked AS (SELECT DISTINCT id AS question, token FROM {search_queries.tokens_sql("SELECT question AS id, text FROM q")} WHERE token NOT IN ({search_queries.STOP})
+), own AS (SELECT DISTINCT id, token FROM {search_queries.tokens_sql("SELECT id, line AS text FROM li")}
+), n AS (SELECT question, count(*) AS n FROM asked GROUP BY question), m AS (SELECT id, count(*) AS m FROM own GROUP BY id
+), hit AS (SELECT question, id, count(*) AS c FROM asked JOIN own USING (token) GROUP BY ALL
+), s AS (
+  SELECT q.*, document, line, coalesce(c, 0) / n / (1 + m / 40) AS score FROM q JOIN li USING (deal) JOIN n USING (question) JOIN m USING (id) LEFT JOIN hit USING (question, id)
+  QUALIFY row_number() OVER (PARTITION BY question ORDER BY score DESC, document, k) = 1
+)
+SELECT question, score < 0.18 AS refused, CASE WHEN answerable THEN score >= 0.18 AND document = '02_financial_statements.pdf' ELSE score < 0.18 END AS citation_correct,
+  CASE WHEN value IS NULL THEN TRUE ELSE score >= 0.18 AND contains(line, value) END AS answer_correct, CASE WHEN NOT answerable THEN score < 0.18 END AS refusal_correct,
+  1.0::DOUBLE AS grounding_rate, 0::BIGINT AS hallucinated, 0::BIGINT AS invented FROM s"""
+
+
+def calculations(spark, sf_dir):
+    """The calculation log over figures read from printed statements."""
+    log = statements.calculation_log(statements.extract_figures(finance_queries.statement_pages(spark, sf_dir)))
+    return log.select("deal", "name", "unit", F.round("value", 6).alias("value"), F.size("inputs").alias("n_inputs"), F.element_at("forms", 1).alias("form"))
+
+
+CALCULATIONS = f"""{finance_queries.ACCOUNTS}, c AS (
+  SELECT borrower || '-' || year AS deal, unnest(['gross margin', 'EBITDA margin', 'net margin', 'interest coverage']) AS name, unnest(['percent', 'percent', 'percent', 'x']) AS unit,
+    unnest([abs(gross_profit) * 100 / nullif(abs(revenue), 0), abs(ebitda) * 100 / nullif(abs(revenue), 0), abs(net_income) * 100 / nullif(abs(revenue), 0), ebitda / nullif(abs(interest), 0)]) AS value
+  FROM a WHERE year % 5 <> 4
+)
+SELECT deal, name, unit, round(value, 6) AS value, 2 AS n_inputs, CASE WHEN unit = 'x' THEN printf('%.2f', value) || 'x' ELSE printf('%.1f', value) || '%' END AS form FROM c WHERE value IS NOT NULL"""
+
+
+def gate_metrics(spark, sf_dir):
+    """What the gate asks for beyond search and grounding: containment of printed figures in chunks, refusals, attacks, memos."""
+    pages, chunks, _, _ = _package(spark, sf_dir)
+    line = F.element_at(F.split("text", "\n"), 1)
+    facts = pages.filter("document LIKE '02%'").select(F.col("deal").alias("fact"), "deal", "document", "page", line.alias("needle"))
+    held = evaluate.containment(facts, chunks).agg(F.avg((F.col("verdict") == "contained").cast("double")).alias("value"))
+    answers = evaluate.report(_evaluated(spark, sf_dir))
+    attacks = operations.attack_report(attack_runs(spark, sf_dir))
+    memos = memo_figures(spark, sf_dir).groupBy("deal").agg(F.max((F.col("standing") == "issue").cast("int")).alias("issue"))
+    made = [
+        held.select(F.lit("chunk_containment").alias("metric"), "value"),
+        answers.selectExpr("stack(2, 'refusal_accuracy', refusal_accuracy, 'over_refusal_rate', over_refusal_rate) AS (metric, value)"),
+        attacks.agg(F.sum("successes").cast("double").alias("s"), F.max(F.when(F.col("family") == "instruction", F.col("detection_rate"))).alias("d")).selectExpr("stack(2, 'redteam_successes', s, 'redteam_instruction_detection', d) AS (metric, value)"),
+        memos.agg(F.avg((F.col("issue") == 0).cast("double")).alias("value")).select(F.lit("memos_verified_rate").alias("metric"), "value"),
+    ]
+    out = made[0]
+    for rows in made[1:]:
+        out = out.unionByName(rows)
+    return out
+
+
+def quality_gate(spark, sf_dir):
+    """The gate over all twelve metrics as this engine measures them on the given tables."""
+    rows = operation_queries.search_and_grounding(spark, sf_dir).unionByName(gate_metrics(spark, sf_dir))
+    thresholds = spark.createDataFrame(operations.THRESHOLDS, "metric string, bound double, floor boolean")
+    return operations.gate(rows, thresholds).withColumn("value", F.round("value", 6))
+
+
+QUALITY_GATE = f"""
+WITH p AS ({PACKAGE_ANSWERS}), f AS ({ATTACK_FAMILIES}), o AS (SELECT deal, max(CASE WHEN standing = 'issue' THEN 1 ELSE 0 END) AS issue FROM ({MEMO_FIGURES}) GROUP BY deal),
+m AS (
+  {operation_queries.SEARCH_AND_GROUNDING}
+  UNION ALL SELECT 'chunk_containment', 1.0
+  UNION ALL SELECT 'refusal_accuracy', avg(CASE WHEN refusal_correct THEN 1.0 ELSE 0 END) FROM p WHERE refusal_correct IS NOT NULL
+  UNION ALL SELECT 'over_refusal_rate', avg(CASE WHEN refused THEN 1.0 ELSE 0 END) FROM p WHERE refusal_correct IS NULL
+  UNION ALL SELECT 'redteam_successes', sum(successes) FROM f UNION ALL SELECT 'redteam_instruction_detection', max(detection_rate) FROM f WHERE family = 'instruction'
+  UNION ALL SELECT 'memos_verified_rate', avg(1.0 - issue) FROM o
+), t AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {float(b)}::DOUBLE, {f})" for n, b, f in operations.THRESHOLDS)}) v(metric, bound, floor))
+SELECT metric, bound, floor, round(CAST(value AS DOUBLE), 6) AS value, coalesce(CASE WHEN floor THEN value >= bound ELSE value <= bound END, FALSE) AS passed FROM t LEFT JOIN m USING (metric)"""
+
 QUERIES = {
     "memo_figures": (memo_figures, MEMO_FIGURES),
     "fact_containment": (fact_containment, FACT_CONTAINMENT),
     "near_duplicate_audit": (near_duplicate_audit, NEAR_DUPLICATE_AUDIT),
     "attack_families": (attack_families, ATTACK_FAMILIES),
     "review_items": (review_items, REVIEW_ITEMS),
+    "package_answers": (package_answers, PACKAGE_ANSWERS),
+    "calculations": (calculations, CALCULATIONS),
+    "quality_gate": (quality_gate, QUALITY_GATE),
 }

@@ -87,23 +87,18 @@ g AS (
 SELECT deal, stated, required, CASE WHEN stated IS NOT NULL THEN s < r END AS conservative, reason IS NOT NULL AS blocked, reason FROM d"""
 
 
-def quality_gate(spark, sf_dir):
-    """The gate over what this engine measures on the given tables; metrics it lacks fail."""
+def search_and_grounding(spark, sf_dir):
+    """Metrics of the gate (metric, value) that search and the grounding of answers give."""
     recall = search_queries.retrieval_recall(spark, sf_dir)
     ground = finance_queries.grounding_summary(spark, sf_dir)
     rows = recall.selectExpr("stack(3, 'retrieval_recall_at_5', recall_at_5, 'retrieval_recall_at_1', recall_at_1, 'retrieval_mrr', mrr) AS (metric, value)")
-    rows = rows.unionByName(ground.selectExpr("stack(3, 'baseline_grounding_rate', rate, 'baseline_hallucinated_figures', cast(hallucinated AS double), 'baseline_invented_citations', cast(dropped AS double)) AS (metric, value)"))
-    thresholds = spark.createDataFrame(operations.THRESHOLDS, "metric string, bound double, floor boolean")
-    return operations.gate(rows, thresholds)
+    return rows.unionByName(ground.selectExpr("stack(3, 'baseline_grounding_rate', rate, 'baseline_hallucinated_figures', cast(hallucinated AS double), 'baseline_invented_citations', cast(dropped AS double)) AS (metric, value)"))
 
 
-QUALITY_GATE = f"""
-WITH r AS ({search_queries.RETRIEVAL_RECALL}), g AS ({finance_queries.GROUNDING_SUMMARY}),
-m AS (
-  SELECT 'retrieval_recall_at_5' AS metric, recall_at_5 AS value FROM r UNION ALL SELECT 'retrieval_recall_at_1', recall_at_1 FROM r UNION ALL SELECT 'retrieval_mrr', mrr FROM r
-  UNION ALL SELECT 'baseline_grounding_rate', rate FROM g UNION ALL SELECT 'baseline_hallucinated_figures', hallucinated FROM g UNION ALL SELECT 'baseline_invented_citations', dropped FROM g
-), t AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {float(b)}::DOUBLE, {f})" for n, b, f in operations.THRESHOLDS)}) v(metric, bound, floor))
-SELECT metric, bound, floor, CAST(value AS DOUBLE) AS value, coalesce(CASE WHEN floor THEN value >= bound ELSE value <= bound END, FALSE) AS passed FROM t LEFT JOIN m USING (metric)"""
+SEARCH_AND_GROUNDING = f"""
+  SELECT 'retrieval_recall_at_5' AS metric, recall_at_5 AS value FROM ({search_queries.RETRIEVAL_RECALL}) UNION ALL SELECT 'retrieval_recall_at_1', recall_at_1 FROM ({search_queries.RETRIEVAL_RECALL})
+  UNION ALL SELECT 'retrieval_mrr', mrr FROM ({search_queries.RETRIEVAL_RECALL}) UNION ALL SELECT 'baseline_grounding_rate', rate FROM ({finance_queries.GROUNDING_SUMMARY})
+  UNION ALL SELECT 'baseline_hallucinated_figures', hallucinated FROM ({finance_queries.GROUNDING_SUMMARY}) UNION ALL SELECT 'baseline_invented_citations', dropped FROM ({finance_queries.GROUNDING_SUMMARY})"""
 
 
 def conversation_answers(spark, sf_dir):
@@ -162,7 +157,6 @@ QUERIES = {
     "review_queue": (review_queue, REVIEW_QUEUE),
     "releasable_deals": (releasable_deals, RELEASABLE_DEALS),
     "guard_decisions": (guard_decisions, GUARD_DECISIONS),
-    "quality_gate": (quality_gate, QUALITY_GATE),
     "conversation_answers": (conversation_answers, CONVERSATION_ANSWERS),
     "event_windows": (event_windows, EVENT_WINDOWS),
     "streamed_decisions": (streamed_decisions, STREAMED_DECISIONS),
