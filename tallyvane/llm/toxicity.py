@@ -35,7 +35,7 @@ from tallyvane.llm.bpe import blocks
 from tallyvane.llm.words import ALNUM, _hashes, hash_of, utf8, words
 
 #: Labelled texts that are learned from at most: toxic ones and others.
-TOXIC_EXAMPLES, OTHER_EXAMPLES = 1000, 1500
+TOXIC_EXAMPLES, OTHER_EXAMPLES = 600, 1000
 #: One of so many sampled texts calibrates the votes and isn't in the index.
 CALIBRATE = 4
 #: Bytes of the beginnings that are terms.
@@ -46,7 +46,7 @@ RELEVANCE, SUPPORT = 2.0, 5
 NEIGHBOURS, BLOCK, SHRINK = 15, 16, 0.02
 #: Blocks that a query opens first, and how many times as many are open after each later step at most.
 FIRST_BLOCKS, GROWTH = 16, 4
-#: The most frequent terms, whose postings lie as a row of weights for each example.
+#: The most frequent terms, whose postings lie as rows of weights of all examples of each block.
 ROW_TERMS = 256
 #: Frequent terms whose presence orders the examples.
 ORDER_TERMS = 24
@@ -126,10 +126,10 @@ class Neighbours:
         often = np.argsort(-np.bincount(term, minlength=len(self.vocabulary)), kind="stable")[:ROW_TERMS]
         self.column = np.full(len(self.vocabulary), -1)
         self.column[often] = np.arange(len(often))
-        self.rows = np.zeros((self.blocks, BLOCK, len(often)))
+        self.rows = np.zeros((len(often), self.blocks, BLOCK))
         at = self.column[term]
         some = at >= 0
-        self.rows[self.example[some] // BLOCK, self.example[some] % BLOCK, at[some]] = self.weight[some]
+        self.rows[at[some], self.example[some] // BLOCK, self.example[some] % BLOCK] = self.weight[some]
         self.count[some[self.begin]] = 0
 
     def vectors(self, owner: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,8 +159,7 @@ class Neighbours:
         order = np.argsort(-bound, kind="stable")
         falling = -bound[order]
         often = self.column[term] >= 0
-        row = np.zeros(self.rows.shape[2])
-        row[self.column[term[often]]] = weight[often]
+        column, row = self.column[term[often]], weight[often]
         sparse = self.count[group] > 0
         group, block, q = group[sparse], block[sparse], q[sparse]
         found, cosine, done = np.zeros(0, np.int64), np.zeros(0), 0
@@ -177,11 +176,15 @@ class Neighbours:
             posting = spans(self.begin[group[own]], n)
             self.opened += len(posting)
             score = np.bincount(self.example[posting], np.repeat(q[own], n) * self.weight[posting], self.blocks * BLOCK).astype(float).reshape(self.blocks, BLOCK)
-            score[open_] += self.rows[open_] @ row
-            score = np.round(score.ravel(), 12)
-            hit = np.flatnonzero(score > 0)
-            found, cosine = np.concatenate([found, hit]), np.concatenate([cosine, score[hit]])
-            best = np.lexsort((self.keys[found], -cosine))[:k]
+            some = order[done:stop]
+            if len(row):
+                score[some] += (row @ self.rows[np.ix_(column, some)].reshape(len(row), -1)).reshape(-1, BLOCK)
+            score = score.ravel()
+            floor = max(cosine[-1] if len(cosine) == k else 0.0, np.partition(score, -k)[-k] if len(score) > k else 0.0)
+            hit = np.flatnonzero((score > 0) & (score >= floor - 1e-12))
+            found, cosine = np.concatenate([found, hit]), np.concatenate([cosine, np.round(score[hit], 12)])
+            some = np.flatnonzero(cosine > 0)
+            best = some[np.lexsort((self.keys[found[some]], -cosine[some]))[:k]]
             found, cosine, done = found[best], cosine[best], stop
         return found, cosine
 
