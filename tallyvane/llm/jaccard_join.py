@@ -297,6 +297,17 @@ def tokens_of(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
     return docs.select(docs[text].alias("text")).mapInArrow(load, "node long, tokens array<long>")
 
 
+def possible(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those that a quarter of the hash range leaves possible: what two sets have in common there, and all of the smaller
+    rest, must suffice. Only quarters of sets meet here; most pairs need no more."""
+    quarter = F.filter("tokens", lambda x: (x >= 0) & (x < 1 << 62))
+    part = tokens.select("node", quarter.alias("part"), F.size("tokens").alias("n")).dropDuplicates(["node"])  # copies in several partitions each bring their set
+    right = pairs.join(part.select(F.col("node").alias("b"), F.col("part").alias("right"), "n"), "b")
+    both = right.join(part.select(F.col("node").alias("a"), F.col("part").alias("left"), F.col("n").alias("m")), "a")
+    rest = F.least(F.col("m") - F.size("left"), F.col("n") - F.size("right"))
+    return both.filter((F.size(F.array_intersect("left", "right")) + rest) * 9 >= (F.col("m") + F.col("n")) * 4).select("a", "b")
+
+
 def verified(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar, by their whole sets: tokens of each node."""
     right = pairs.join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b")
@@ -399,10 +410,12 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     heads = heads.filter("used and low <> high").select("block", F.col("h.node").alias("a"), F.col("h.n").alias("m"))
     stars = heads.join(many.withColumnRenamed("node", "b"), "block").filter(F.col("a") != F.col("b")).filter(similar_sizes("n", "m"))
     pairs = shared.written(few.select(a, b).unionByName(stars.select(a, b)).distinct(), "jaccard-stars")
-    tokens = tokens_of(docs, text, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    links = verified(tokens.dropDuplicates(["node"]), pairs)  # copies in several partitions each bring their set
+    ends = lambda rows: rows.select(F.col("a").alias("node")).unionByName(rows.select(F.col("b").alias("node"))).distinct()
+    tokens = shared.written(tokens_of(docs, text, ends(pairs)), "jaccard-wanted")
+    likely = shared.written(possible(tokens, pairs), "jaccard-likely")
+    links = verified(tokens.join(ends(likely), "node", "left_semi").dropDuplicates(["node"]), likely)
+    shared.remove(tokens, pairs, likely)
     label = components(links)
-    shared.remove(pairs)
 
     # Then those of a block that aren't in one component yet: with the centre of what they share, and at last all that may be similar.
     known = labelled(many, label)

@@ -9,6 +9,10 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether a statement's shuffle files go when it ends; Spark keeps them until the driver collects garbage otherwise.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @lru_cache(maxsize=1)
 def _own() -> str:
     """This process's own folder, for sessions that name none."""
@@ -30,10 +34,15 @@ def folder(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as a table in the shared folder and read from there: what made them isn't run again, and an
-    executor that is lost takes nothing with it."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    executor that is lost takes nothing with it. Shuffle files of the steps that made them are deleted once they are written."""
+    spark, path = df.sparkSession, folder(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(*tables: DataFrame) -> None:
