@@ -22,6 +22,7 @@ it its it's their they them his her
 can could will would shall should may might must
 please tell show give list state confirm describe
 """.split()
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 FIGURE = r"\$?\d[\d,]*\.?\d*%?x?"
 FILE_NAME = r"(?i)[\w.\-]+\.pdf"
 CITATION = r"\[([^\]\s#]+\.pdf)#p(\d+)\]"
@@ -85,7 +86,7 @@ def _c(x) -> Column:
 
 def strip(text) -> Column:
     """Without white space, in the Unicode sense, and separators at both ends."""
-    return F.regexp_replace(_c(text), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    return F.btrim(_c(text), F.lit(WHITE))
 
 
 def tokens(text) -> Column:
