@@ -38,6 +38,8 @@ WINDOW, SHINGLE = 20, 5
 SHINGLES = WINDOW - SHINGLE + 1
 #: Bytes of text whose segments are put together before they are sent.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text for each shard at most, about.
+SHARD_BYTES = 64 << 20
 #: The place of a null doc_id in the order of documents.
 NULL_DOC = -(2**63)
 
@@ -243,7 +245,9 @@ def partly(bodies: list[bytes], first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Intervals of words to remove: doc (the key's place in the order of documents), digest (hash of the text) and
     gone, an array of (begin, end); they may overlap."""
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A shard is one group of a task: their number follows the texts' bytes, so that it keeps its size.
+    size = docs.agg(F.sum(F.octet_length(docs[text]).cast("long")).alias("n")).first().n or 0
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
     rows = docs.filter(docs[text].isNotNull()).select(
         F.coalesce(docs[key].cast("long"), F.lit(NULL_DOC)).alias("doc"), F.xxhash64(docs[text]).alias("digest"), docs[text].alias("text")
     )
