@@ -91,10 +91,9 @@ def strip(text) -> Column:
 
 def tokens(text) -> Column:
     """Lower-cased words and whole figures; a figure comes a second time as its digits alone where that differs."""
-    raw = F.regexp_extract_all(_c(text), F.lit(TOKEN), F.lit(0))
+    raw = F.transform(F.regexp_extract_all(_c(text), F.lit(TOKEN), F.lit(0)), F.lower)
 
     def forms(token):
-        token = F.lower(token)
         plain = F.regexp_replace(token, r"^\$+", "")
         bare = F.regexp_replace(token, "[^0-9]", "")
         # Words, which begin with a letter, are left as they are unless they hold digits.
