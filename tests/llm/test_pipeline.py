@@ -86,3 +86,24 @@ def test_stages_against_brute_force(spark, folder):
     last = corpus_pipeline.run(spark, top).collect()
     assert sorted(((r.doc_id, bytes(r.decoded).decode()) for r in last), key=repr) == out["benchmark decontamination"]
     assert all(r.n_tokens == len(np.frombuffer(r.ids, "<u4")) for r in last)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_clashing_names_and_empty_tables(spark, folder, tmp_path, empty):
+    """Columns named as the stages' own, and a table without rows."""
+    top, _ = folder
+    names = ["own", "row", "first", "first_digest", "gone", "digest", "spans", "node"]
+    docs = spark.read.parquet(f"{top}/documents.parquet").filter("doc_id < 20")
+    for name in names:
+        docs = docs.withColumn(name, docs.doc_id)
+    docs = docs.limit(0) if empty else docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        columns = docs.columns
+        out = stage(spark, docs, top)
+        assert out.columns == columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    rows = docs.collect()
+    assert bool(rows) is not empty
+    assert all(r[name] == r.doc_id for r in rows for name in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, top).count() == len(rows)
