@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyvane.functions import text as X
 from tallyvane.operators import evaluate, search
+from tallyvane.sources import storage
 
 REFUSAL = "The documents do not contain the answer."
 
@@ -14,12 +15,15 @@ REFUSAL = "The documents do not contain the answer."
 def retrieved(chunks: DataFrame, questions: DataFrame, k: int = 5, options: search.Options = search.Options(dense=False)) -> DataFrame:  # noqa: B008
     """Contexts of every question (question, deal, text): the k best chunks of its deal, found by header and text, with their rank.
 
-    chunks: of chunking.chunks(), once or more with vector; questions may have one, too. Without vectors only words are searched."""
+    chunks: of chunking.chunks(), with vectors or without; questions may have one, too. Without vectors only words are searched. Chunks
+    and contexts are written to the shared folder, as both are read several times."""
+    chunks = storage.written(chunks, "chunks")
     docs = chunks.select(F.col("deal").alias("part"), F.col("chunk_id").alias("doc"), F.col("embedding_text").alias("text"), "status", _vector(chunks))
     asked = questions.select(F.col("question").alias("query"), F.col("deal").alias("part"), "text", _vector(questions))
     hits = search.hybrid(search.build(docs), docs, asked, k, options)
     own = chunks.select(F.col("chunk_id").alias("doc"), "document", "page", "text", "context_header", "status", "scale_factor")
-    return hits.select(F.col("query").alias("question"), "rank", "doc").join(own, "doc").withColumnRenamed("doc", "chunk_id")
+    found = hits.select(F.col("query").alias("question"), "rank", "doc").join(own, "doc").withColumnRenamed("doc", "chunk_id")
+    return storage.written(found, "contexts")
 
 
 def _vector(rows: DataFrame):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyvane.functions import text as X
 from tallyvane.operators import answering, chunking, evaluate, memo, operations, statements
 from tallyvane.plans import finance_queries, operation_queries, page_queries, search_queries
-from tallyvane.sources import tables
+from tallyvane.sources import storage, tables
 
 
 def _metrics(spark, sf_dir):
@@ -147,6 +147,7 @@ def _package(spark, sf_dir):
     kind = {"correspondence": "08_correspondence.pdf", "financial_statements": "02_financial_statements.pdf"}
     document = F.create_map(*(F.lit(x) for pair in kind.items() for x in pair))[F.col("kind")]
     pages = attack_contexts(spark, sf_dir).select("deal", document.alias("document"), F.lit(1).alias("page"), F.concat("text", F.lit("\nAll amounts are in whole dollars of the year stated.")).alias("text"), F.array().cast("array<array<array<string>>>").alias("tables"))
+    pages = storage.written(pages, "pages")  # read for the profile, the chunks and the facts
     files = spark.createDataFrame([(d, k, "final", "borrower_prepared") for k, d in kind.items()], "document string, kind string, status string, trust string")
     chunks = chunking.chunks(pages, chunking.profile(pages, files))
     full = statements.identities(finance_queries.accounts(spark, sf_dir)).withColumn("deal", F.concat_ws("-", "borrower", "year"))
@@ -159,7 +160,8 @@ def _package(spark, sf_dir):
 def _evaluated(spark, sf_dir):
     pages, chunks, asked, facts = _package(spark, sf_dir)
     contexts = answering.retrieved(chunks, asked)
-    return answering.evaluated(asked, contexts, answering.answered(asked, contexts), facts)
+    asked, facts = storage.written(asked, "questions"), storage.written(facts, "facts")
+    return answering.evaluated(asked, contexts, storage.written(answering.answered(asked, contexts), "answers"), facts)
 
 
 def package_answers(spark, sf_dir):

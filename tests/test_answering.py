@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyvane.functions import text as X
-from tallyvane.operators import answering, chunking, evaluate, memo, operations, statements
+from tallyvane.operators import answering, chunking, evaluate, memo, operations, search, statements
 
 PAGES = "deal string, document string, page int, text string, tables array<array<array<string>>>, method string, mean_word_confidence double, table_sources array<string>"
 
@@ -116,7 +116,8 @@ def test_review_rules(spark):
 
 def test_search_has_no_cartesian_product(spark, chunks):
     asked = spark.createDataFrame([("q", "d", "revenue")], "question string, deal string, text string")
-    plan = answering.retrieved(chunks, asked)._jdf.queryExecution().executedPlan().toString()
+    docs = chunks.select(F.col("deal").alias("part"), F.col("chunk_id").alias("doc"), "text", "status", F.array(F.lit(1.0)).alias("vector"))
+    asked = asked.select(F.col("question").alias("query"), F.col("deal").alias("part"), "text", F.array(F.lit(1.0)).alias("vector"))
+    plan = search.hybrid(search.build(docs), docs, asked, 3)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
-    assert asked.select(F.lit(1)).count() == 1
