@@ -172,6 +172,13 @@ def op1_token_shards(spark, sf_dir):
     return token_store.read(table)
 
 
+def op12_text_likelihood(spark, sf_dir):
+    from tallyvane.llm import ppm
+
+    found = ppm.scored(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
+    return found.withColumn("held_out", ~F.col("learns")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -191,6 +198,7 @@ def queries() -> dict:
         "op1_token_shards": op1_token_shards,
         "op10_token_counts": op10_token_counts,
         "op4_byte_bpe_round_trip": op4_byte_bpe_round_trip,
+        "op12_text_likelihood": op12_text_likelihood,
     }
 
 
