@@ -8,6 +8,7 @@ the answers go to the block's rows. A key that every text holds is asked for onc
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -18,30 +19,55 @@ from tallyvane.llm import shared
 from tallyvane.llm.bpe import blocks
 
 
-def numbered(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[tuple[int, pa.Table]]:
-    """Tables whose `column` has about `size` bytes each, and a number that no other table of any task has."""
-    task = TaskContext.get().partitionId()
-    for k, table in enumerate(blocks(batches, column, size)):
-        yield task << 32 | k, table
+def dealt(rows: DataFrame, column: str, piece: int, size: int) -> DataFrame:
+    """The rows in blocks, written: block, and rows in a compressed Arrow stream. Rows that stand together make a piece, one row of the
+    result, with about `piece` bytes in `column`, and pieces a block with about `size`. A block is of one task, so its size
+    doesn't depend on any key."""
 
+    def run(batches):
+        task = TaskContext.get().partitionId()
+        number = have = 0
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for table in blocks(batches, column, piece):
+            if have >= size:
+                number, have = number + 1, 0
+            have += max(table.column(column).nbytes, 1)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=options) as stream:
+                stream.write_table(table.combine_chunks())
+            yield pa.record_batch([pa.array([task << 32 | number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
 
-def dealt(rows: DataFrame, column: str, size: int) -> DataFrame:
-    """The rows with a column `block`, written: rows that stand together make a block until `column` has `size` bytes. Each block is
-    of one task, so its size doesn't depend on any key."""
-    schema = T.StructType([T.StructField("block", T.LongType()), *rows.schema.fields])
+    return shared.written(rows.mapInArrow(run, T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.BinaryType())])), "blocks")
+
+
+def unpacked(rows: bytes) -> pa.Table:
+    """The rows of a piece."""
+    return pa.ipc.open_stream(rows).read_all()
 
-    def run(batches):
-        for number, table in numbered(batches, column, size):
-            table = table.add_column(0, "block", pa.array([number], pa.int64()).take(pa.array([0] * len(table), pa.int32())))
-            yield from table.to_batches(max_chunksize=10_000)
 
-    return shared.written(rows.mapInArrow(run, schema), "blocks")
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """block and rows of every piece of a task's batches of blocks."""
+    for batch in batches:
+        for block, rows in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
+            yield block, unpacked(rows.as_buffer())
 
 
-def answered(rows: DataFrame, answers: DataFrame, function: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType) -> DataFrame:
-    """function(rows of a block, answers of that block), for every block; both have the column `block`. The partitions follow the
-    number of blocks, so that more data are more tasks and no larger ones."""
+def answered(rows: DataFrame, answers: DataFrame, prepare: Callable[[pa.Table], Any], function: Callable[[pa.Table, Any], pa.Table], schema: T.StructType) -> DataFrame:
+    """function(rows of a piece, what prepare() made of its block's answers) for every piece; rows are of dealt(), answers have the column
+    `block`. The partitions follow the number of blocks, so that more data are more tasks and no larger ones."""
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.select("block").distinct().count())
     left, right = (x.repartition(n, "block").groupBy("block") for x in (rows, answers))
-    return left.cogroup(right).applyInArrow(function, schema)
 
+    def run(own: pa.Table, told: pa.Table) -> pa.Table:
+        made = prepare(told)
+        done = [function(unpacked(x.as_buffer()), made) for x in own.column("rows")]
+        return pa.concat_tables(done) if done else schema_table(schema)
+
+    return left.cogroup(right).applyInArrow(run, schema)
+
+
+def schema_table(schema: T.StructType) -> pa.Table:
+    """A table without rows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema).empty_table()

@@ -32,8 +32,8 @@ from tallyvane.llm.words import SPACED, utf8, words
 ORDER = 5
 #: The byte before and after every text.
 EDGE = 0xFF
-#: Bytes of text that a block has, and that are scored in one go.
-BLOCK_BYTES, PIECE_BYTES = 32 << 20, 2 << 20
+#: Bytes of text that are scored in one go, and that a block has.
+PIECE_BYTES, BLOCK_BYTES = 2 << 20, 24 << 20
 #: Kinds of keys that blocks hold: sequences, nodes, words.
 SEQUENCE, NODE, WORD = 0, 1, 2
 
@@ -74,16 +74,6 @@ def shortened(keys: np.ndarray, length: int) -> np.ndarray:
     return keys & ((1 << 8 * length) - 1) | (1 << 8 * length)
 
 
-def pieces(texts: list[bytes | None], size: int = PIECE_BYTES):
-    """Ranges of texts of about `size` bytes together."""
-    begin = have = 0
-    for k, t in enumerate(texts):
-        have += len(t or b"")
-        if have >= size or k == len(texts) - 1:
-            yield begin, k + 1
-            begin, have = k + 1, 0
-
-
 class Trie:
     """Nodes as arrays: pairs (context and follower, sorted), their counts; of each context total, followers and what the followers
     count in the context without its first byte."""
@@ -135,57 +125,42 @@ def held(blocks: DataFrame, order: int) -> DataFrame:
     its texts pass. Written; a block that two tasks read has a row for each."""
     schema = "block bigint, kind tinyint, key bigint, n bigint"
 
+    def counted(table):
+        texts, learns = utf8(table.column("text").combine_chunks()), table.column("learns").to_numpy()
+        data, starts = lowered(texts, order)
+        keys = sequences(data, order)
+        learn = np.repeat(learns, np.diff(np.append(starts, len(data))))[order:]
+        good = predicted(starts, len(keys), order)
+        found, at = np.unique(keys[good], return_inverse=True)
+        cut = words(texts, SPACED, lower=True)
+        word, of = np.unique(cut.hash.view(np.int64), return_inverse=True)
+        return (found, np.bincount(at, learn[good], len(found)).astype(np.int64)), (word, np.bincount(of, learns[cut.text_of], len(word)).astype(np.int64))
+
+    def told(block, parts):
+        (found, times), (word, n) = (summed(side) for side in zip(*parts, strict=True))
+        nodes, passed = found >> 8, []
+        for k in range(order, -1, -1):
+            nodes = np.unique(shortened(nodes, k))
+            passed.append(nodes)
+        passed = np.concatenate(passed)
+        taught = times > 0
+        for kind, keys, counts in ((SEQUENCE, found[taught], times[taught]), (NODE, passed, np.zeros(len(passed), np.int64)), (WORD, word, n)):
+            for c in range(0, len(keys), 1 << 18):
+                part = keys[c : c + (1 << 18)]
+                yield pa.record_batch([np.full(len(part), block), np.full(len(part), kind, np.int8), part, counts[c : c + (1 << 18)]], ["block", "kind", "key", "n"])
+
     def run(batches):
-        for block, learns, texts in grouped(batches):
-            counts: dict[int, list] = {SEQUENCE: [], NODE: [], WORD: []}
-            for a, b in pieces(texts):
-                data, starts = lowered(texts[a:b], order)
-                keys = sequences(data, order)
-                sizes = np.diff(np.append(starts, len(data)))
-                learn = np.repeat(learns[a:b], sizes)[order:]
-                good = predicted(starts, len(keys), order)
-                found, at = np.unique(keys[good], return_inverse=True)
-                counts[SEQUENCE].append((found, np.bincount(at, learn[good], len(found)).astype(np.int64)))
-                cut = words(texts[a:b], SPACED, lower=True)
-                found, at = np.unique(cut.hash.view(np.int64), return_inverse=True)
-                counts[WORD].append((found, np.bincount(at, learns[a:b][cut.text_of], len(found)).astype(np.int64)))
-            merged = {kind: summed(parts) for kind, parts in counts.items() if parts}
-            nodes = merged[SEQUENCE][0]
-            passed = []
-            for k in range(order, -1, -1):
-                nodes = np.unique(shortened(nodes >> 8 if k == order else nodes, k))
-                passed.append(nodes)
-            passed = np.concatenate(passed)
-            taught = merged[SEQUENCE][1] > 0
-            for kind, keys, n in ((SEQUENCE, *(x[taught] for x in merged[SEQUENCE])), (NODE, passed, np.zeros(len(passed), np.int64)), (WORD, *merged[WORD])):
-                for c in range(0, len(keys), 1 << 18):
-                    part = keys[c : c + (1 << 18)]
-                    yield pa.record_batch([np.full(len(part), block), np.full(len(part), kind, np.int8), part, n[c : c + (1 << 18)]], ["block", "kind", "key", "n"])
-
-    return shared.written(blocks.select("block", "learns", "text").mapInArrow(run, schema), "held")
-
-
-def grouped(batches):
-    """(block, learns, texts) of rows that stand block by block."""
-    now, rows = None, []
-    for batch in batches:
-        numbers = batch.column("block").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a == b:
-                continue
-            if rows and numbers[a] != now:
-                yield now, *_columns(rows)
-                rows = []
-            now = int(numbers[a])
-            rows.append(batch.slice(a, b - a))
-    if rows:
-        yield now, *_columns(rows)
-
-
-def _columns(rows):
-    learns = np.concatenate([r.column("learns").to_numpy(zero_copy_only=False) for r in rows])
-    return learns, [t for r in rows for t in utf8(r.column("text"))]
+        now, parts = None, []
+        for block, table in lookup.pieces(batches):
+            if parts and block != now:
+                yield from told(now, parts)
+                parts = []
+            now = block
+            parts.append(counted(table))
+        if parts:
+            yield from told(now, parts)
+
+    return shared.written(blocks.mapInArrow(run, schema), "held")
 
 
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -211,21 +186,21 @@ def scored(docs: DataFrame, learns, *, key: str = "doc_id", text: str = "text",
     counts of words) and score (log10 of the probability of the text, lower-cased, as its bytes).
     """
     rows = docs.select(docs[key].alias("key"), F.coalesce(learns, F.lit(True)).alias("learns"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    blocks = lookup.dealt(rows, "text", BLOCK_BYTES)
+    blocks = lookup.dealt(rows, "text", PIECE_BYTES, BLOCK_BYTES)
     holding = held(blocks, order)
     counted = holding.filter(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0")
-    ends = blocks.agg(F.count_if("learns")).first()[0]
+    ends = rows.agg(F.count_if("learns")).first()[0]
     known, total = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     distinct, total = known + (ends > 0), total + ends
     of_word = F.array(F.struct(F.lit(0).cast("short").alias("byte"), "n"))
-    told = trie(holding, order).withColumn("kind", F.lit(NODE).cast("byte")).unionByName(counted.select("key", of_word.alias("followers"), F.lit(WORD).cast("byte").alias("kind")))
+    told = shared.written(trie(holding, order).withColumn("kind", F.lit(NODE).cast("byte")).unionByName(counted.select("key", of_word.alias("followers"), F.lit(WORD).cast("byte").alias("kind"))), "trie")
     answers = holding.filter(F.col("kind") != SEQUENCE).select("block", "kind", "key").join(told, ["kind", "key"])
     kind = docs.schema[key].dataType
     fields = [("key", kind), ("learns", T.BooleanType()), *((c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
     schema = T.StructType([T.StructField(*f) for f in fields])
     whole = total + distinct + 1  # N + 1 * (V + 1)
 
-    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+    def prepare(told: pa.Table):
         followers = told.column("followers").combine_chunks()
         sizes = np.diff(followers.offsets.to_numpy()) if len(told) else np.empty(0, np.int64)
         flat = followers.flatten()
@@ -234,28 +209,27 @@ def scored(docs: DataFrame, learns, *, key: str = "doc_id", text: str = "text",
         is_node = told.column("kind").to_numpy() == NODE
         spread = np.repeat(is_node, sizes)
         pairs, first = np.unique(np.repeat(keys, sizes)[spread] << 8 | byte[spread], return_index=True)
-        nodes = Trie(pairs, n[spread][first], order)
-        word, first = np.unique(keys[~is_node], return_index=True)
-        times = n[~spread][first]
-        raw = [t for c in texts.column("text").chunks for t in utf8(c)]
-        tokens, seen = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
-        base, score = np.zeros(len(raw)), np.zeros(len(raw))
-        for a, b in pieces(raw):
-            data, starts = lowered(raw[a:b], order)
-            every = sequences(data, order)
-            good = predicted(starts, len(every), order)
-            found, at = np.unique(every, return_inverse=True)
-            costs = np.where(good, nodes.cost(found)[at], 0.0)
-            score[a:b] = np.add.reduceat(costs, starts)
-            cut = words(raw[a:b], SPACED, lower=True)
-            at = np.searchsorted(word, cut.hash.view(np.int64))
-            hit = at < len(word)
-            hit[hit] = word[at[hit]] == cut.hash.view(np.int64)[hit]
-            c = np.where(hit, times[np.where(hit, at, 0)] if len(times) else 0, 0)
-            text = cut.text_of
-            tokens[a:b] = np.bincount(text, minlength=b - a) + 1
-            seen[a:b] = np.bincount(text, hit, b - a).astype(np.int64) + (ends > 0)
-            base[a:b] = np.bincount(text, np.log10((c + 1) / whole), b - a) + np.log10((ends + 1) / whole)
-        return pa.table([texts.column("key"), texts.column("learns"), tokens, seen, np.full(len(raw), total), base, score], names=schema.names)
-
-    return lookup.answered(blocks, answers, run, schema).withColumnRenamed("key", key)
+        word, of = np.unique(keys[~is_node], return_index=True)
+        return Trie(pairs, n[spread][first], order), word, n[~spread][of]
+
+    def run(table: pa.Table, made) -> pa.Table:
+        nodes, word, times = made
+        texts = utf8(table.column("text").combine_chunks())
+        data, starts = lowered(texts, order)
+        every = sequences(data, order)
+        found, at = np.unique(every, return_inverse=True)
+        costs = np.where(predicted(starts, len(every), order), nodes.cost(found)[at], 0.0)
+        cut = words(texts, SPACED, lower=True)
+        own = cut.hash.view(np.int64)
+        at = np.searchsorted(word, own)
+        hit = at < len(word)
+        hit[hit] = word[at[hit]] == own[hit]
+        c = np.zeros(len(own), np.int64)
+        c[hit] = times[at[hit]]
+        n, of = len(texts), cut.text_of
+        tokens = np.bincount(of, minlength=n) + 1
+        seen = np.bincount(of, hit, n).astype(np.int64) + (ends > 0)
+        base = np.bincount(of, np.log10((c + 1) / whole), n) + np.log10((ends + 1) / whole)
+        return pa.table([table.column("key"), table.column("learns"), tokens, seen, np.full(n, total), base, np.add.reduceat(costs, starts)], names=schema.names)
+
+    return lookup.answered(blocks, answers, prepare, run, schema).withColumnRenamed("key", key)

@@ -179,6 +179,14 @@ def op12_text_likelihood(spark, sf_dir):
     return found.withColumn("held_out", ~F.col("learns")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_token_alignment(spark, sf_dir):
+    from tallyvane.llm import alignment
+
+    paths = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.summarised(documents(spark, sf_dir), *paths)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -199,6 +207,7 @@ def queries() -> dict:
         "op10_token_counts": op10_token_counts,
         "op4_byte_bpe_round_trip": op4_byte_bpe_round_trip,
         "op12_text_likelihood": op12_text_likelihood,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
