@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from itertools import chain
 
 import numpy as np
@@ -33,6 +34,10 @@ from tallyvane.llm.transducer import readable_bytes
 BATCH_BYTES = 1 << 20
 #: Bytes of packed pairs that a piece and a block of documents have.
 PIECE_BYTES, BLOCK_BYTES = 1 << 20, 6 << 20
+#: Parts of texts whose tokens a worker keeps. Bounds memory, never results.
+MOST_PARTS = 300_000
+#: Where a text of parts can't be split at every space; and the spaces at which it still can.
+UNEVEN, CUT = re.compile(r"\s | \s| $"), re.compile(r"(?<=\S)(?= +\S)")
 #: A group with more links than this is counted by distinct ids.
 LONG_GROUP = 1 << 16
 #: A pair of ids is one integer: the first id, and the second in this many bits.
@@ -60,18 +65,62 @@ class Tokenizers:
         self.names = [np.array([f"{k}," for k in range(len(side))] + [f"{k}{end}" for k in range(len(side))], object) for side, end in ((self.first_bytes, "|"), (self.second_bytes, ";"))]
         self.sizes = [np.array([len(x) for x in side], np.int64) for side in (self.first_bytes, self.second_bytes)]
 
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both sides; none where either doesn't spell a space and the text."""
-        full = [k for k, t in enumerate(texts) if t]
-        spaced = [" " + texts[k] for k in full]
-        a, b = [[] for _ in texts], [[] for _ in texts]
-        ones = [e.ids for e in self.first.encode_batch(spaced, add_special_tokens=False)]
-        twos = self.second.encode([texts[k] for k in full], num_threads=1) if full else []
-        for k, text, x, y in zip(full, spaced, ones, twos, strict=True):
-            raw = text.encode()
-            if b"".join(map(self.first_bytes.__getitem__, x)) == raw == b"".join(map(self.second_bytes.__getitem__, y)):
-                a[k], b[k] = x, y
-        return a, b
+        # A space after something else begins a piece on both sides, so what stands between such spaces can be encoded by itself.
+        self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.forget()
+
+    def forget(self) -> None:
+        """known: the number of each part; of each number whether both sides spell it; ids of both sides, one part after another."""
+        self.known: dict[str, int] = {}
+        self.spelled = np.empty(0, bool)
+        self.ids = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in range(2)]
+
+    def parts(self, text: str) -> list[str]:
+        """The text cut at spaces after which encoding starts afresh, these left out."""
+        if not self.cuts:
+            return [text]
+        if UNEVEN.search(f" {text}"):
+            return [x[1:] for x in CUT.split(f" {text}")]
+        return text.split(" ")
+
+    def learn(self, parts: list[str]) -> None:
+        """Encode parts, each with a space before it, and see whether both sides spell them."""
+        ones = [e.ids for e in self.first.encode_batch([f" {p}" for p in parts], add_special_tokens=False)]
+        twos = self.second.encode(parts, num_threads=1)
+        same = [
+            b"".join(map(self.first_bytes.__getitem__, x)) == b"".join(map(self.second_bytes.__getitem__, y)) == f" {p}".encode()
+            for p, x, y in zip(parts, ones, twos, strict=True)
+        ]
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
+        self.spelled = np.concatenate([self.spelled, same])
+        for side, ids in enumerate((ones, twos)):
+            flat, n = self.ids[side]
+            self.ids[side] = np.concatenate([flat, np.fromiter(chain.from_iterable(ids), np.int64)]), np.concatenate([n, np.fromiter(map(len, ids), np.int64)])
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For both sides ids of all texts, and how many each text has; none where either side doesn't spell a space and the text."""
+        parts = [self.parts(t) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, parts), np.int64, len(texts))
+        flat = list(chain.from_iterable(parts))
+        every = set(flat)
+        new = every - self.known.keys()
+        if len(self.known) + len(new) > MOST_PARTS:
+            self.forget()
+            new = every
+        if new:
+            self.learn(list(new))
+        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        text = np.repeat(np.arange(len(texts)), sizes)
+        bad = np.bincount(text, ~self.spelled[at], len(texts)) > 0
+        keep = ~bad[text]
+        at, text = at[keep], text[keep]
+        out = []
+        for ids, n in self.ids:
+            each = n[at]
+            first = (np.cumsum(n) - n)[at]
+            places = np.arange(each.sum()) + np.repeat(first - (np.cumsum(each) - each), each)
+            out.append((ids[places], np.bincount(text, each, len(texts)).astype(np.int64)))
+        return out
 
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
@@ -84,16 +133,12 @@ def loaded(first: str, second: str) -> Tokenizers:
     return _loaded[first, second]
 
 
-def placed(ids: list[list[int]], sizes: np.ndarray) -> pd.DataFrame:
-    """doc, id and begin of all tokens in order: begin is the byte of the document where the token begins."""
-    n = np.fromiter(map(len, ids), np.int64, len(ids))
-    doc = np.repeat(np.arange(len(ids)), n)
-    flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
-    length = sizes[flat]
-    after = np.cumsum(length)
-    base = np.concatenate([[0], after])[np.cumsum(n) - n]
-    begin = after - length
-    return pd.DataFrame({"doc": doc, "id": flat, "begin": begin - base[doc], "at": begin, "end": after - base[doc]})
+def placed(flat: np.ndarray, n: np.ndarray, sizes: np.ndarray) -> pd.DataFrame:
+    """doc, id, at, end and base of all tokens in order: at and end count bytes through all documents, base is where the document begins."""
+    doc = np.repeat(np.arange(len(n)), n)
+    end = np.cumsum(sizes[flat])
+    base = np.concatenate([[0], end])[np.cumsum(n) - n]
+    return pd.DataFrame({"doc": doc, "id": flat, "at": end - sizes[flat], "end": end, "base": base[doc]}, copy=False)
 
 
 def covering(starts: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
@@ -166,8 +211,8 @@ def spelled(ids: tuple[np.ndarray, np.ndarray], groups: tuple[np.ndarray, np.nda
 def _of_docs(texts, both):
     """One batch of documents: columns of aligned() without the key."""
     ids = both.encode(texts)
-    a, b = (placed(x, s) for x, s in zip(ids, both.sizes, strict=True))
-    n = [np.fromiter(map(len, x), np.int64, len(texts)) for x in ids]
+    n = [k for _, k in ids]
+    a, b = (placed(*x, s) for x, s in zip(ids, both.sizes, strict=True))
     groups, links, kinds, overlaps = np.zeros((4, len(texts)), np.int64)
     digest, pairs, times = [""] * len(texts), [b""] * len(texts), [b""] * len(texts)
     if len(a):
@@ -221,14 +266,15 @@ def overlaps(docs: DataFrame, first: str, second: str, *, key: str = "doc_id", t
         both = loaded(first, second)
         for table in blocks(batches, "text", BATCH_BYTES):
             ids = both.encode(table.column("text").to_pylist())
-            a, b = (placed(x, s) for x, s in zip(ids, both.sizes, strict=True))
+            a, b = (placed(*x, s) for x, s in zip(ids, both.sizes, strict=True))
             if not len(a):
                 continue
             x, y, group, _ = overlapping(a, b)
             doc = a["doc"].to_numpy()[x]
             before = [np.searchsorted(side["doc"].to_numpy(), doc) for side in (a, b)]
-            begin = np.maximum(a["begin"].to_numpy()[x], b["begin"].to_numpy()[y])
-            end = np.minimum(a["end"].to_numpy()[x], b["end"].to_numpy()[y])
+            base = a["base"].to_numpy()[x]
+            begin = np.maximum(a["at"].to_numpy()[x], b["at"].to_numpy()[y]) - base
+            end = np.minimum(a["end"].to_numpy()[x], b["end"].to_numpy()[y]) - base
             columns = [x - before[0], y - before[1], a["id"].to_numpy()[x], b["id"].to_numpy()[y], begin, end, group[x] - group[before[0]]]
             done = pa.Table.from_arrays([table.column("key").take(pa.array(doc)), *map(pa.array, columns)], names=schema.names)
             yield from done.combine_chunks().to_batches(max_chunksize=10_000)
