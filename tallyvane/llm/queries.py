@@ -172,6 +172,39 @@ def op1_token_shards(spark, sf_dir):
     return token_store.read(table)
 
 
+def op11_conversation_trie(spark, sf_dir):
+    from tallyvane.llm import prefix_trie
+
+    placed, spans = prefix_trie.numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie.trie(*prefix_trie.rebuilt(placed, spans))
+
+
+#: Prefixes as joined digests; a node's ancestors are the shorter prefixes of its smallest member. CRC-32 bit by bit.
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k,
+    md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) AS m, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (SELECT c, list(m ORDER BY k) AS s, list(w ORDER BY k) AS ws FROM t GROUP BY c
+), x AS (
+  SELECT c, s, ws, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT)),
+    lambda r, b: list_reduce(list_prepend(xor(r, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda y, z: xor(y >> 1, 3988292384::UBIGINT * (y & 1))))) % 4 AS h
+  FROM o
+), b AS (
+  SELECT x.c, list_concat(coalesce(o.s, [])[1:h], x.s[h + 1:]) AS s, list_concat(coalesce(o.ws, [])[1:h], x.ws[h + 1:]) AS ws
+  FROM x LEFT JOIN o ON o.c = x.c - x.c % 20
+), n AS (SELECT c, d, len(s) AS l, array_to_string(s[1:d], ',') AS p, array_to_string(s[1:d - 1], ',') AS q, ws[d] AS w FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM b)
+), g AS (
+  SELECT d, p, any_value(q) AS q, coalesce(any_value(w), 0) AS w, min(c) AS c, count(*) AS n, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = l) AS ends FROM n GROUP BY d, p
+), k AS (SELECT d - 1 AS d, q AS p, count(*) AS n_children FROM g WHERE d > 0 GROUP BY ALL
+), own AS (SELECT c, d, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf, (n - 1) * w AS saved FROM g LEFT JOIN k USING (d, p)
+), below AS (SELECT n.d, n.p, sum(leaf) AS leaves, sum(saved) AS saved FROM own JOIN n ON own.c = n.c AND n.d <= own.d GROUP BY ALL)
+SELECT g.c AS conv_id, g.d AS depth, up.c AS parent_conv_id, g.n AS n_convs, coalesce(n_children, 0) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(g.ends, '')) AS ends_sha256
+FROM g JOIN below USING (d, p) LEFT JOIN k USING (d, p) LEFT JOIN g up ON up.d = g.d - 1 AND up.p = g.q
+"""
+
+
 def op12_text_likelihood(spark, sf_dir):
     from tallyvane.llm import ppm
 
@@ -206,10 +239,11 @@ def queries() -> dict:
         "op1_token_shards": op1_token_shards,
         "op10_token_counts": op10_token_counts,
         "op4_byte_bpe_round_trip": op4_byte_bpe_round_trip,
+        "op11_conversation_trie": op11_conversation_trie,
         "op12_text_likelihood": op12_text_likelihood,
         "op13_token_alignment": op13_token_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_duplicates": OP5_SQL, "op6_fixity_audit": OP6_SQL, "op7_benchmark_hits": OP7_SQL, "op9_repeated_passages": OP9_SQL}
+    return {"op5_near_duplicates": OP5_SQL, "op11_conversation_trie": OP11_SQL, "op6_fixity_audit": OP6_SQL, "op7_benchmark_hits": OP7_SQL, "op9_repeated_passages": OP9_SQL}
