@@ -33,7 +33,7 @@ ORDER = 5
 #: The byte before and after every text.
 EDGE = 0xFF
 #: Bytes of text that are scored in one go, and that a block has.
-PIECE_BYTES, BLOCK_BYTES = 2 << 20, 24 << 20
+PIECE_BYTES, BLOCK_BYTES = 2 << 20, 32 << 20
 #: Kinds of keys that blocks hold: sequences, nodes, words.
 SEQUENCE, NODE, WORD = 0, 1, 2
 
@@ -170,12 +170,12 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def trie(holding: DataFrame, order: int) -> DataFrame:
-    """key and followers (byte, n) of every node that learning texts have: a table that grows with them."""
+    """key and followers (256 n + byte) of every node that learning texts have: a table that grows with them."""
     most = holding.filter(F.col("kind") == SEQUENCE).groupBy("key").agg(F.sum("n").alias("n"))
     mask = [(1 << 8 * k) - 1 for k in range(1, order + 2)]
     tails = F.array(*(F.col("key").bitwiseAND(F.lit(m).cast("long")).bitwiseOR(F.lit(m + 1).cast("long")) for m in mask))
     pairs = most.select(F.explode(tails).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
-    follower = F.struct(F.col("pair").bitwiseAND(F.lit(255).cast("long")).cast("short").alias("byte"), "n")
+    follower = F.shiftleft("n", 8).bitwiseOR(F.col("pair").bitwiseAND(F.lit(255).cast("long")))
     return pairs.groupBy(F.shiftright("pair", 8).alias("key")).agg(F.collect_list(follower).alias("followers"))  # 256 at most
 
 
@@ -192,7 +192,7 @@ def scored(docs: DataFrame, learns, *, key: str = "doc_id", text: str = "text",
     ends = rows.agg(F.count_if("learns")).first()[0]
     known, total = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     distinct, total = known + (ends > 0), total + ends
-    of_word = F.array(F.struct(F.lit(0).cast("short").alias("byte"), "n"))
+    of_word = F.array(F.shiftleft("n", 8))
     told = shared.written(trie(holding, order).withColumn("kind", F.lit(NODE).cast("byte")).unionByName(counted.select("key", of_word.alias("followers"), F.lit(WORD).cast("byte").alias("kind"))), "trie")
     answers = holding.filter(F.col("kind") != SEQUENCE).select("block", "kind", "key").join(told, ["kind", "key"])
     kind = docs.schema[key].dataType
@@ -203,8 +203,8 @@ def scored(docs: DataFrame, learns, *, key: str = "doc_id", text: str = "text",
     def prepare(told: pa.Table):
         followers = told.column("followers").combine_chunks()
         sizes = np.diff(followers.offsets.to_numpy()) if len(told) else np.empty(0, np.int64)
-        flat = followers.flatten()
-        byte, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("byte", "n"))
+        flat = followers.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        byte, n = flat & 255, flat >> 8
         keys = told.column("key").to_numpy().astype(np.int64)
         is_node = told.column("kind").to_numpy() == NODE
         spread = np.repeat(is_node, sizes)
