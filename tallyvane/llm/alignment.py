@@ -35,7 +35,7 @@ BATCH_BYTES = 1 << 20
 #: Bytes of packed pairs that a piece and a block of documents have.
 PIECE_BYTES, BLOCK_BYTES = 1 << 20, 6 << 20
 #: Parts of texts whose tokens a worker keeps. Bounds memory, never results.
-MOST_PARTS = 300_000
+MOST_PARTS = 200_000
 #: Where a text of parts can't be split at every space; and the spaces at which it still can.
 UNEVEN, CUT = re.compile(r"\s | \s| $"), re.compile(r"(?<=\S)(?= +\S)")
 #: A group with more links than this is counted by distinct ids.
@@ -85,17 +85,30 @@ class Tokenizers:
 
     def learn(self, parts: list[str]) -> None:
         """Encode parts, each with a space before it, and see whether both sides spell them."""
-        ones = [e.ids for e in self.first.encode_batch([f" {p}" for p in parts], add_special_tokens=False)]
+        spaced = [f" {p}" for p in parts]
+        raw = [s.encode() for s in spaced]
+        ones = self.apart(spaced, np.fromiter(map(len, raw), np.int64, len(raw)))
         twos = self.second.encode(parts, num_threads=1)
-        same = [
-            b"".join(map(self.first_bytes.__getitem__, x)) == b"".join(map(self.second_bytes.__getitem__, y)) == f" {p}".encode()
-            for p, x, y in zip(parts, ones, twos, strict=True)
-        ]
+        both = ones, (np.fromiter(chain.from_iterable(twos), np.int64), np.fromiter(map(len, twos), np.int64, len(twos)))
+        same = np.ones(len(parts), bool)
+        for (flat, n), bytes_ in zip(both, (self.first_bytes, self.second_bytes), strict=True):
+            tokens = list(map(bytes_.__getitem__, flat.tolist()))
+            ends = np.cumsum(n).tolist()
+            same &= [b"".join(tokens[i:j]) == r for i, j, r in zip([0, *ends[:-1]], ends, raw, strict=True)]
         self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
         self.spelled = np.concatenate([self.spelled, same])
-        for side, ids in enumerate((ones, twos)):
-            flat, n = self.ids[side]
-            self.ids[side] = np.concatenate([flat, np.fromiter(chain.from_iterable(ids), np.int64)]), np.concatenate([n, np.fromiter(map(len, ids), np.int64)])
+        self.ids = [tuple(np.concatenate(pair) for pair in zip(old, new, strict=True)) for old, new in zip(self.ids, both, strict=True)]
+
+    def apart(self, spaced: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first side's ids of parts, and how many each has. Parts are encoded many at a time, as they don't meet in a token, and told apart
+        by their bytes; if these don't add up, one by one."""
+        flat = np.concatenate([e.ids for e in self.first.encode_batch(["".join(spaced[k : k + 500]) for k in range(0, len(spaced), 500)], add_special_tokens=False)]).astype(np.int64)
+        ends, wanted = np.cumsum(self.sizes[0][flat]), np.cumsum(size)
+        last = np.searchsorted(ends, wanted)
+        if len(ends) and ends[-1] == wanted[-1] and (ends[last] == wanted).all():
+            return flat, np.diff(last + 1, prepend=0)
+        one = [e.ids for e in self.first.encode_batch(spaced, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(one), np.int64), np.fromiter(map(len, one), np.int64, len(one))
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For both sides ids of all texts, and how many each text has; none where either side doesn't spell a space and the text."""
@@ -238,21 +251,28 @@ def _of_docs(texts, both):
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_overlaps", "groups_sha256", "n_pairs", "pairs", "times"]
 
 
-def aligned(docs: DataFrame, first: str, second: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, tokens of each side, groups, links, overlaps and the groups' digest; pairs: the n_pairs distinct pairs of linked ids, sorted, and
-    times: links of each, both packed(). Each partition by itself."""
-    kind = docs.schema[key].dataType
+def _rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, T.StructType]:
     kinds = [T.LongType()] * 5 + [T.StringType(), T.LongType(), T.BinaryType(), T.BinaryType()]
-    schema = T.StructType([T.StructField("key", kind), *(T.StructField(c, k) for c, k in zip(COLUMNS, kinds, strict=True))])
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *(T.StructField(c, k) for c, k in zip(COLUMNS, kinds, strict=True))])
+    return docs.select(docs[key].alias("key"), docs[text].alias("text")), schema
+
 
+def _run(first: str, second: str, names: list[str]):
     def run(batches):
         both = loaded(first, second)
         for table in blocks(batches, "text", BATCH_BYTES):
             columns = _of_docs(table.column("text").to_pylist(), both)
-            done = pa.Table.from_arrays([table.column("key"), *map(pa.array, columns)], names=schema.names)
+            done = pa.Table.from_arrays([table.column("key"), *map(pa.array, columns)], names=names)
             yield from done.combine_chunks().to_batches(max_chunksize=1000)
 
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, schema)
+    return run
+
+
+def aligned(docs: DataFrame, first: str, second: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, tokens of each side, groups, links, overlaps and the groups' digest; pairs: the n_pairs distinct pairs of linked ids, sorted, and
+    times: links of each, both packed(). Each partition by itself."""
+    rows, schema = _rows(docs, key, text)
+    return rows.mapInArrow(_run(first, second, schema.names), schema).withColumnRenamed("key", key)
 
 
 def overlaps(docs: DataFrame, first: str, second: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -315,11 +335,11 @@ def counted(holding: DataFrame) -> DataFrame:
 def summarised(docs: DataFrame, first: str, second: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """aligned() without pairs, and of its links n_best, whose pair is the commonest of its first id, and count_sum, of their pairs'
     counts."""
-    rows = aligned(docs, first, second, key=key, text=text)
-    blocked = lookup.dealt(rows, "pairs", PIECE_BYTES, BLOCK_BYTES)
+    rows, aligned_as = _rows(docs, key, text)
+    blocked = lookup.dealt(rows, "pairs", PIECE_BYTES, BLOCK_BYTES, made=_run(first, second, aligned_as.names))
     holding = held(blocked)
     answers = holding.select("block", "pair").join(shared.written(counted(holding), "pairs"), "pair")
-    kinds = [rows.schema[c] for c in ["key", *COLUMNS[:6]]]
+    kinds = [aligned_as[c] for c in ["key", *COLUMNS[:6]]]
     schema = T.StructType([*kinds, T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())])
 
     def prepare(told: pa.Table):

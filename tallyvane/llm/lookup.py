@@ -19,8 +19,8 @@ from tallyvane.llm import shared
 from tallyvane.llm.bpe import blocks
 
 
-def dealt(rows: DataFrame, column: str, piece: int, size: int) -> DataFrame:
-    """The rows in blocks, written: block, and rows in a compressed Arrow stream. Rows that stand together make a piece, one row of the
+def dealt(rows: DataFrame, column: str, piece: int, size: int, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter) -> DataFrame:
+    """The rows, or what `made` makes of them in the same worker, in blocks, written: block, and rows in a compressed Arrow stream. Rows that stand together make a piece, one row of the
     result, with about `piece` bytes in `column`, and pieces a block with about `size`. A block is of one task, so its size
     doesn't depend on any key."""
 
@@ -28,7 +28,7 @@ def dealt(rows: DataFrame, column: str, piece: int, size: int) -> DataFrame:
         task = TaskContext.get().partitionId()
         number = have = 0
         options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for table in blocks(batches, column, piece):
+        for table in blocks(made(batches), column, piece):
             if have >= size:
                 number, have = number + 1, 0
             have += max(table.column(column).nbytes, 1)
