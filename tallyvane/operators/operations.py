@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyvane.functions import finance as M
 from tallyvane.functions import text as X
@@ -81,15 +82,75 @@ def attack_report(results: DataFrame) -> DataFrame:
     )
 
 
-def ledger(calls: DataFrame, prices: DataFrame, budget: float, *by: str) -> DataFrame:
-    """Calls (ord, model, input_tokens, output_tokens) priced, with what was spent before each, and whether it was affordable.
-    A model without a price is an error, not free."""
-    priced = calls.join(prices, "model", "left")
+def attack_outcomes(results: DataFrame) -> DataFrame:
+    """Per attack of memo.attacked(): whether its payload is detected, runs, errors, decisions changed and grown stricter, those looser
+    than the baseline's whatever the guard says (unguarded), blocks beyond the baseline's, and successes: looser and not blocked."""
+    decided, change = F.col("error").isNull(), M.permissiveness("decision") - M.permissiveness("baseline")
+    return results.groupBy("attack", "family").agg(
+        F.max("detected").alias("detected"),
+        F.count("*").alias("n"),
+        F.count_if(~decided).alias("errors"),
+        F.count_if(decided & (change != 0)).alias("changed"),
+        F.count_if(decided & (change < 0)).alias("conservative"),
+        F.count_if(F.col("unguarded")).alias("unguarded"),
+        F.count_if(F.col("blocked")).alias("blocked"),
+        F.count_if(F.col("unguarded") & ~F.col("held")).alias("successes"),
+    )
+
+
+def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """Calls (model, input_tokens, output_tokens) with their cost. A model without a price is an error, not free."""
+    both = calls.join(prices, "model", "left")
     price = F.when(F.col("input_price").isNull(), F.raise_error(F.concat(F.lit("no price recorded for "), F.col("model")))).otherwise(F.col("input_price"))
-    cost = (F.col("input_tokens") * price + F.col("output_tokens") * F.col("output_price")) / 1_000_000
-    order = Window.partitionBy(*by).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    out = priced.withColumn("cost", cost).withColumn("spent", F.coalesce(F.sum("cost").over(order), F.lit(0.0)))
-    return out.withColumns({"affordable": F.col("spent") + F.col("cost") <= budget, "remaining": F.greatest(F.lit(0.0), budget - F.col("spent"))})
+    return both.withColumn("cost", (F.col("input_tokens") * price + F.col("output_tokens") * F.col("output_price")) / 1_000_000)
+
+
+def afforded(costs, spent: float, budget: float) -> list[tuple[float, bool, float]]:
+    """For costs in order: what was spent before each, whether it is made, and what was left before it. A call that would exceed the budget is
+    refused, and spends nothing, so that a smaller one after it may be made; one without a cost is refused, too."""
+    out = []
+    for cost in costs:
+        made = cost is not None and cost == cost and spent + cost <= budget
+        out.append((spent, made, max(0.0, budget - spent)))
+        spent += cost if made else 0.0
+    return out
+
+
+def ledger(calls: DataFrame, prices: DataFrame, budget: float, *by: str) -> DataFrame:
+    """Calls (ord, model, input_tokens, output_tokens) priced, with what was spent before each, whether it was affordable, and what remained.
+
+    What a call may spend depends on every decision before it, so it is a fold over each group's calls in order, which Spark sorts;
+    the fold holds one number and streams over any number of them. Without groups all calls are one ledger."""
+    import pyarrow as pa
+
+    rows = priced(calls, prices)
+    keys = list(by) or ["_all"]
+    held = rows.columns
+    ordered = (rows if by else rows.withColumn("_all", F.lit(0))).repartition(*keys).sortWithinPartitions(*keys, "ord")
+    schema = T.StructType([*rows.schema.fields, T.StructField("spent", T.DoubleType()), T.StructField("affordable", T.BooleanType()), T.StructField("remaining", T.DoubleType())])
+    names = schema.names
+
+    def run(batches):
+        now, spent = None, 0.0
+        for batch in batches:
+            owners = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            costs = batch.column("cost").to_pylist()
+            told, k = [], 0
+            while k < len(costs):
+                end = k
+                while end < len(costs) and owners[end] == owners[k]:
+                    end += 1
+                if owners[k] != now:
+                    now, spent = owners[k], 0.0
+                told += afforded(costs[k:end], spent, budget)
+                last, made, _ = told[-1]
+                spent = last + costs[end - 1] if made else last
+                k = end
+            if told:
+                columns = [pa.array(c) for c in zip(*told, strict=True)]
+                yield pa.record_batch([*(batch.column(c) for c in held), *columns], names)
+
+    return ordered.mapInArrow(run, schema)
 
 
 def routes(tasks: DataFrame, tiers: dict[str, str], overrides: dict[str, str] | None = None) -> DataFrame:
@@ -125,6 +186,20 @@ def review_state(items: DataFrame, events: DataFrame) -> DataFrame:
     return out.select("item_id", "deal", "kind", F.coalesce("e.decision", F.lit("pending")).alias("decision"), "e.reviewer", F.col("e.at").alias("decided_at"), priority("kind").alias("priority"), F.col("kind").isin(BLOCKING).alias("blocking"))
 
 
+def judged_events(events: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Review events (event_id, item_id, at, ord, decision, reviewer), each once, as those that count and those that don't, with a reason:
+    decisions on an unknown item, back to pending, of another name, or without a reviewer are kept apart, not lost."""
+    rows = events.dropDuplicates(["event_id"]).join(items.select("item_id", F.lit(True).alias("known")), "item_id", "left")
+    reason = (
+        F.when(F.col("known").isNull(), "unknown item")
+        .when(F.col("decision") == "pending", "back to pending")
+        .when(~F.coalesce(F.col("decision").isin("accepted", "rejected", "escalated"), F.lit(False)), "unknown decision")
+        .when(F.col("reviewer").isNull(), "no reviewer")
+    )
+    rows = rows.withColumn("reason", reason).drop("known")
+    return rows.filter("reason IS NULL").drop("reason"), rows.filter("reason IS NOT NULL")
+
+
 def queue_counts(state: DataFrame) -> DataFrame:
     """Items by kind and decision."""
     return state.groupBy("kind", "decision").agg(F.count("*").alias("n"))

@@ -76,21 +76,62 @@ def metrics(accounts: DataFrame) -> DataFrame:
     return out.withColumn("required", M.required_recommendation("leverage", "dscr"))
 
 
-def extract_figures(contexts: DataFrame) -> DataFrame:
-    """Figures of statement rows: per deal and key the first context, in order, with such a row of a final document.
+def figure_rows(contexts: DataFrame) -> DataFrame:
+    """Every row of a final document's context that a known label leads: deal, key, place and at (where it stands), series (its numeric
+    cells, times the page's scale), document and page.
 
-    contexts: deal, place, status, scale, document, page, rows (array of arrays of cells). The value is the row's last
-    numeric cell, times the page's scale; series holds all of them."""
+    contexts: deal, place, status, scale, document, page, rows (array of arrays of cells)."""
     labels = F.create_map(*(F.lit(x) for pair in LABELS for x in pair))
     rows = contexts.filter("status = 'final'").select("deal", "place", "scale", "document", "page", F.posexplode("rows").alias("at", "cells"))
     rows = rows.withColumn("key", labels[F.lower(F.trim(F.element_at("cells", 1)))]).filter("key IS NOT NULL")
     numbers = F.filter(F.transform(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), lambda c: X.money(c)), lambda v: v.isNotNull())
-    rows = rows.withColumn("series", F.transform(numbers, lambda v: v * F.col("scale"))).filter(F.size("series") > 0)
-    first = Window.partitionBy("deal", "key").orderBy("place", "at")
-    rows = rows.withColumn("r", F.row_number().over(first)).filter("r = 1")
+    return rows.withColumn("series", F.transform(numbers, lambda v: v * F.col("scale"))).filter(F.size("series") > 0).drop("cells", "scale")
+
+
+def first_figures(rows: DataFrame) -> DataFrame:
+    """Of figure_rows() per deal and key the first, in order. The value is the row's last numeric cell, prior the one before."""
+    order = Window.partitionBy("deal", "key").orderBy("place", "at")
+    rows = rows.withColumn("r", F.row_number().over(order)).filter("r = 1")
     return rows.select("deal", "key", F.element_at("series", -1).alias("value"), F.try_element_at("series", F.lit(-2)).alias("prior"), "series", "document", "page")
 
 
+def extract_figures(contexts: DataFrame) -> DataFrame:
+    """Figures of statement rows: per deal and key the first context, in order, with such a row of a final document."""
+    return first_figures(figure_rows(contexts))
+
+
+def with_priors(figures: DataFrame) -> DataFrame:
+    """Figures, and as figures of their own what their rows say of earlier years: revenue and EBITDA of the year before, cash of the
+    earliest year."""
+    earlier = figures.filter("key IN ('revenue', 'ebitda') AND prior IS NOT NULL").select("deal", F.concat("key", F.lit(", prior year")).alias("key"), F.col("prior").alias("value"), "document", "page")
+    cash = figures.filter("key = 'cash' AND prior IS NOT NULL").select("deal", F.lit("cash, earliest year").alias("key"), F.element_at("series", 1).alias("value"), "document", "page")
+    return figures.select(earlier.columns).unionByName(earlier).unionByName(cash)
+
+
+def receivables_book(contexts: DataFrame, top: int = 5) -> DataFrame:
+    """Figures of receivables pages (deal, key, value, document, page): total receivables, over 90 days, largest customer, top five customers.
+
+    Rows are told apart by what leads them, over all contexts of final documents named for ageing, as buckets and customers stand in
+    tables, and so in chunks, of their own: totals and buckets by their words, customers by a share in the third cell."""
+    named = F.lower("document").rlike("aging|ageing")
+    own = contexts.filter((F.col("status") == "final") & named)
+    rows = own.select("deal", "place", F.posexplode("rows").alias("at", "cells")).filter(F.size("cells") >= 2)
+    head = F.lower(X.strip(F.element_at("cells", 1)))
+    role = (
+        F.when(head.startswith("total accounts receivable"), "total receivables")
+        .when(head.startswith("over 90"), "over 90 days")
+        .when(head.isin("current", "bucket", "customer") | head.rlike("^(31|61) ?-"), None)
+        .when((F.size("cells") >= 3) & F.get("cells", F.lit(2)).endswith("%"), "customer")
+    )
+    rows = rows.select("deal", role.alias("role"), "place", "at", X.money(F.element_at("cells", 2)).alias("value")).filter("role IS NOT NULL AND value IS NOT NULL")
+    stated = rows.filter("role <> 'customer'").groupBy("deal", F.col("role").alias("key")).agg(F.max_by("value", F.struct("place", "at")).alias("value"))
+    ranked = rows.filter("role = 'customer'").withColumn("r", F.row_number().over(Window.partitionBy("deal").orderBy(F.desc("value"), "place", "at"))).filter(F.col("r") <= top)
+    sums = ranked.groupBy("deal").agg(F.max("value").alias("a"), F.sum("value").alias("b"))
+    owed = sums.selectExpr("deal", "stack(2, 'largest customer', a, 'top five customers', b) AS (key, value)")
+    where = own.groupBy("deal").agg(F.min_by(F.struct("document", "page"), "place").alias("w"))
+    return stated.unionByName(owed).join(where, "deal").select("deal", "key", "value", "w.document", "w.page")
+
+
 #: Calculations of the log: name, unit, the figures that go in, and the value over columns of these.
 CALCULATIONS = [
     ("total debt", "USD", ("current_portion_ltd", "ltd_noncurrent"), lambda a, b: M.total_debt(a, b)),
@@ -101,12 +142,20 @@ CALCULATIONS = [
     ("EBITDA margin", "percent", ("ebitda", "revenue"), lambda a, b: M.margin(a, b)),
     ("net margin", "percent", ("net_income", "revenue"), lambda a, b: M.margin(a, b)),
     ("interest coverage", "x", ("ebitda", "interest"), lambda a, b: M.interest_coverage(a, b)),
+    ("revenue growth", "percent", ("revenue", "revenue, prior year"), lambda a, b: M.change(a, b)),
+    ("EBITDA growth", "percent", ("ebitda", "ebitda, prior year"), lambda a, b: M.change(a, b)),
+    ("cash change over the period", "percent", ("cash", "cash, earliest year"), lambda a, b: M.change(a, b)),
+    ("receivables over 90 days", "percent", ("over 90 days", "total receivables"), lambda a, b: M.share_of(a, b)),
+    ("customer concentration", "percent", ("largest customer", "total receivables"), lambda a, b: M.concentration(a, b)),
+    ("top five customer balances", "USD", ("top five customers",), lambda a: M.total(a)),
+    ("top five customer concentration", "percent", ("top five customers", "total receivables"), lambda a, b: M.share_of(a, b)),
 ]
 
 
 def calculation_log(figures: DataFrame) -> DataFrame:
-    """Every calculation that a deal's figures (of extract_figures()) support: deal, name, unit, value, inputs (key, value, document,
-    page), the forms that it may be printed in, and a line for the audit trail. What lacks an input or is undefined has no row."""
+    """Every calculation that a deal's figures (of extract_figures(), with_priors(), receivables_book()) support: deal, name, unit, value,
+    inputs (key, value, document, page), the forms that it may be printed in, its inputs' distinct citations, and a line for the audit
+    trail. What lacks an input or is undefined has no row."""
     held = figures.groupBy("deal").agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("value", "document", "page")))).alias("m"))  # one per key
     made = []
     for name, unit, keys, value in CALCULATIONS:
@@ -116,7 +165,8 @@ def calculation_log(figures: DataFrame) -> DataFrame:
     rows = held.select("deal", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("c")).select("deal", "c.*")
     source = F.transform("inputs", lambda i: F.concat(i["key"], F.lit(" "), F.format_number(i["value"], 0), F.lit(" ["), i["document"], F.lit("#p"), i["page"].cast("string"), F.lit("]")))
     audit = F.concat("name", F.lit(" = "), M.formatted("value", "unit"), F.lit(" from "), F.array_join(source, "; "))
-    return rows.withColumns({"forms": derived_forms("value", "unit"), "audit": audit})
+    cited = F.array_distinct(F.transform("inputs", lambda i: F.concat(F.lit("["), i["document"], F.lit("#p"), i["page"].cast("string"), F.lit("]"))))
+    return rows.withColumns({"forms": derived_forms("value", "unit"), "citations": cited, "audit": audit})
 
 
 def derived_forms(value, unit):
@@ -131,7 +181,7 @@ def derived_forms(value, unit):
         .when(unit == "x", F.array(F.concat(F.format_string("%.1f", value), F.lit("x")), F.format_string("%.2f", value), F.format_string("%.1f", value)))
         .otherwise(F.array().cast("array<string>"))
     )
-    return F.array_distinct(F.concat(F.array(shown, F.regexp_replace(shown, r"^\\$", "")), more))
+    return F.array_distinct(F.concat(F.array(shown, F.regexp_replace(shown, r"^\$", "")), more))
 
 
 def receivables(rows: DataFrame, top: int = 5) -> DataFrame:
@@ -203,6 +253,37 @@ def printed_as(figure: str, value: str, kind: str):
     return F.coalesce(F.when(shown == 0, F.abs(value_) < 1e-9).otherwise(significant & (own_kind == F.col(kind)) & scaled), F.lit(False))
 
 
+#: Decimal places that a printed figure is read to.
+PLACES = 6
+
+
+def printed_keys(figures: DataFrame) -> DataFrame:
+    """Figures with what a value that they show must equal: kind (by their mark: percent, x or USD; zero for a printed zero), places and n
+    (the figure in units of its last place). Fewer than three significant digits, zeros at either end left out, prove nothing: such
+    figures are left out."""
+    f = F.col("figure")
+    digits = F.regexp_replace(F.regexp_replace(f, "[^0-9]", ""), "^0+", "")
+    shown = F.regexp_replace(f, "[^0-9.-]", "").try_cast(f"decimal(30,{PLACES})").cast("double")
+    places = F.least(F.length(F.regexp_extract(f, r"\.(\d+)", 1)), F.lit(PLACES))
+    kind = F.when(shown == 0, "zero").when(f.endswith("%"), "percent").when(f.endswith("x"), "x").otherwise("USD")
+    cut_off = F.length(F.regexp_replace(digits, "0+$", ""))
+    significant = F.when(cut_off > 0, cut_off).otherwise(F.length(digits)) >= 3
+    rows = figures.withColumns({"kind": kind, "places": F.when(shown == 0, 0).otherwise(places), "significant": significant | (shown == 0)})
+    return rows.withColumn("n", F.rint(shown * F.pow(F.lit(10.0), F.col("places")))).filter("significant AND n IS NOT NULL").drop("significant")
+
+
+def shown_keys(derived: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Values (deal, kind, value and more) with every n that a figure of `wanted` (deal, kind, places) can show them by: rounded, or cut, at
+    those places, sign included; dollars also in thousands and millions. Values of zero are of kind zero besides."""
+    rows = derived.join(wanted, ["deal", "kind"])
+    unit = F.pow(F.lit(10.0), F.col("places"))
+    of = lambda t: [F.rint(t * unit), F.signum(t) * F.floor(F.abs(t) * unit + 1e-9)]
+    plain, scaled = of(F.col("value")), [x for by in (1e3, 1e6) for x in of(F.col("value") / by)]
+    n = F.when(F.col("kind") == "USD", F.array(*plain, *scaled)).otherwise(F.array(*plain))
+    nothing = derived.filter(F.abs("value") < 1e-9).withColumns({"kind": F.lit("zero"), "places": F.lit(0), "n": F.lit(0.0)})
+    return rows.withColumn("n", F.explode(F.array_distinct(n))).unionByName(nothing)
+
+
 def kind_of(label):
     """What a line of accounts is measured in, by its label: percent, x (a ratio) or USD."""
     low = F.lower(F.col(label) if isinstance(label, str) else label)
@@ -211,7 +292,10 @@ def kind_of(label):
 
 
 def explained(figures: DataFrame, derived: DataFrame) -> DataFrame:
-    """Each figure (deal, place, figure) with the first derivation that prints as it does, or null."""
-    hits = figures.join(derived, "deal").filter(printed_as("figure", "value", "kind"))
+    """Each figure (deal, place, figure) with the first derivation that prints as it does, or null. Figures and values meet by equality of
+    what is printed, so a deal's figures aren't held against all of its values."""
+    keys = printed_keys(figures.select("deal", "place", "figure"))
+    values = shown_keys(derived.select("deal", "i", "j", "label", "value", "kind"), keys.select("deal", "kind", "places").distinct())
+    hits = keys.join(values, ["deal", "kind", "places", "n"])
     first = hits.groupBy("deal", "place").agg(F.min_by("label", F.struct("i", "j", "label")).alias("derivation"))
     return figures.join(first, ["deal", "place"], "left")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyvane.operators import evaluate, operations, statements
 from tallyvane.plans import finance_queries, search_queries
-from tallyvane.sources import tables
+from tallyvane.sources import storage, tables
 from tallyvane.streaming import logs
 
 BUDGET = 0.5
@@ -22,12 +22,16 @@ def call_ledger(spark, sf_dir):
     return spent.groupBy("user_id").agg(F.count("*").alias("calls"), F.round(F.sum("cost"), 6).alias("cost"), F.count_if(~F.col("affordable")).alias("refused"), F.round(F.min("remaining"), 6).alias("least_remaining"))
 
 
+#: The same fold, call by call, by recursion: a refused call spends nothing.
 CALL_LEDGER = f"""
-WITH c AS (
+WITH RECURSIVE c AS (
   SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN 15.0 WHEN event_type IN ('error', 'signup') THEN 3.0 ELSE 1.0 END AS i, event_id % 5000 + 100 AS a, CAST(floor(value * 10) AS BIGINT) AS b FROM events
-), p AS (SELECT *, (a * CAST(i AS DOUBLE) + b * CAST(i AS DOUBLE) * 5) / 1000000 AS cost FROM c),
-s AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM p)
-SELECT user_id, count(*) AS calls, round(sum(cost), 6) AS cost, count(*) FILTER (NOT spent + cost <= {BUDGET}) AS refused, round(min(greatest(0, {BUDGET} - spent)), 6) AS least_remaining FROM s GROUP BY user_id"""
+), p AS MATERIALIZED (SELECT user_id, (a * CAST(i AS DOUBLE) + b * (CAST(i AS DOUBLE) * 5)) / 1000000 AS cost, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM c
+), s AS (
+  SELECT user_id, k, cost, 0.0::DOUBLE AS spent, cost <= {BUDGET} AS made FROM p WHERE k = 1
+  UNION ALL SELECT p.user_id, p.k, p.cost, CASE WHEN s.made THEN s.spent + s.cost ELSE s.spent END, CASE WHEN s.made THEN s.spent + s.cost ELSE s.spent END + p.cost <= {BUDGET} FROM s JOIN p ON p.user_id = s.user_id AND p.k = s.k + 1
+)
+SELECT user_id, count(*) AS calls, round(sum(cost), 6) AS cost, count(*) FILTER (NOT made) AS refused, round(min(greatest(0, {BUDGET} - spent)), 6) AS least_remaining FROM s GROUP BY user_id"""
 
 _KINDS = list(operations.PRIORITY)
 
@@ -152,7 +156,38 @@ def streamed_decisions(spark, sf_dir):
 
 STREAMED_DECISIONS = "SELECT user_id AS item_id, arg_max(event_type, (ts, event_id)) AS decision, count(*) AS n FROM events GROUP BY user_id"
 
+def review_log(spark, sf_dir):
+    """Review items after their events came in by a stream that was started twice over the same files: what counts, and what was kept
+    apart for what reason."""
+    own = tables.table(spark, sf_dir, "events")
+    found = own.select(F.col("user_id").alias("item_id"), (F.col("user_id") % 20).alias("deal"), F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("user_id") % 6 + 1).cast("int")).alias("kind")).filter("item_id % 11 <> 5").distinct()
+    queue = found.filter("item_id % 2 = 0")
+    items = queue.unionByName(operations.new_items(queue, found))
+    decision = F.when(F.col("event_type").isin("click", "signup"), "accepted").when(F.col("event_type") == "error", "rejected").when(F.col("event_type") == "purchase", "escalated").when(F.col("event_id") % 3 == 0, "maybe").otherwise("pending")
+    reviewer = F.when(F.col("value") >= 5, F.lit("analyst"))
+    path = storage.folder(spark, "review-log")
+    for _ in range(2):
+        stream = logs.read_log(spark, sf_dir, "events.parquet", own.schema)
+        log = logs.appended(stream.select("event_id", F.col("user_id").alias("item_id"), F.col("ts").alias("at"), F.col("event_id").alias("ord"), decision.alias("decision"), reviewer.alias("reviewer")), path)
+    good, bad = operations.judged_events(log, items)
+    state = operations.review_state(items, good).select("item_id", "deal", "kind", "decision")
+    counts = good.groupBy("item_id").agg(F.count("*").alias("counted"))
+    apart = bad.groupBy("item_id").pivot("reason", ["back to pending", "unknown decision", "no reviewer", "unknown item"]).count()
+    apart = apart.withColumnsRenamed({"back to pending": "back_to_pending", "unknown decision": "unknown_decision", "no reviewer": "no_reviewer", "unknown item": "unknown_item"})
+    return state.join(counts, "item_id", "full").join(apart, "item_id", "full").fillna(0, ["counted", "back_to_pending", "unknown_decision", "no_reviewer", "unknown_item"])
+
+
+REVIEW_LOG = f"""
+WITH e AS (
+  SELECT *, CASE WHEN event_type IN ('click', 'signup') THEN 'accepted' WHEN event_type = 'error' THEN 'rejected' WHEN event_type = 'purchase' THEN 'escalated' WHEN event_id % 3 = 0 THEN 'maybe' ELSE 'pending' END AS decision,
+    user_id % 11 <> 5 AS known FROM events
+), r AS (SELECT *, CASE WHEN NOT known THEN 'unknown_item' WHEN decision = 'pending' THEN 'back_to_pending' WHEN decision = 'maybe' THEN 'unknown_decision' WHEN NOT coalesce(value >= 5, FALSE) THEN 'no_reviewer' END AS reason FROM e)
+SELECT user_id AS item_id, CASE WHEN bool_and(known) THEN user_id % 20 END AS deal, CASE WHEN bool_and(known) THEN [{", ".join(f"'{k}'" for k in _KINDS)}][user_id % 6 + 1] END AS kind,
+  CASE WHEN bool_and(known) THEN coalesce(arg_max(decision, (ts, event_id)) FILTER (reason IS NULL), 'pending') END AS decision, count(*) FILTER (reason IS NULL) AS counted,
+  {", ".join(f"count(*) FILTER (reason = '{n}') AS {n}" for n in ("back_to_pending", "unknown_decision", "no_reviewer", "unknown_item"))} FROM r GROUP BY user_id"""
+
 QUERIES = {
+    "review_log": (review_log, REVIEW_LOG),
     "call_ledger": (call_ledger, CALL_LEDGER),
     "review_queue": (review_queue, REVIEW_QUEUE),
     "releasable_deals": (releasable_deals, RELEASABLE_DEALS),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyvane.plans import finance_queries, memo_queries, operation_queries, page_queries, search_queries
+from tallyvane.plans import deal_queries, finance_queries, memo_queries, operation_queries, page_queries, search_queries
 
-_MODULES = [search_queries, page_queries, finance_queries, operation_queries, memo_queries]
+_MODULES = [search_queries, page_queries, finance_queries, operation_queries, memo_queries, deal_queries]
 
 
 def flagship(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyvane.operators import operations
 from tallyvane.sources import storage
 
 
@@ -37,3 +38,36 @@ def windowed_counts(events: DataFrame, width: str = "6 hours", late: str = "1 da
 def latest_decisions(log: DataFrame) -> DataFrame:
     """item_id and the decision of its latest event, as a stream's state."""
     return log.groupBy("item_id").agg(F.max_by("decision", F.struct("at", "ord")).alias("decision"), F.max("at").alias("at"), F.count("*").alias("n"))
+
+
+def appended(stream: DataFrame, path: str, state: str | None = None) -> DataFrame:
+    """Run a stream over all that is there and append it to the log at `path`, a folder for each batch: a batch that runs again after a
+    failure replaces its own. A stream that starts anew appends its events again; readers keep each event once. state: where it notes what
+    it has read, if it is to go on from there."""
+    spark = stream.sparkSession
+    state = state or storage.folder(spark, "log-state")
+    run = state.rstrip("/").rpartition("/")[2]
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
+
+    stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def budgeted(calls: DataFrame, budget: float, by: str) -> DataFrame:
+    """Priced calls (by, ord, cost) as a stream, with what operations.ledger() tells of them: what a user has spent is the stream's state. Calls of a
+    batch stand in order; batches follow each other."""
+    schema = T.StructType([*calls.schema.fields, T.StructField("spent", T.DoubleType()), T.StructField("affordable", T.BooleanType()), T.StructField("remaining", T.DoubleType())])
+
+    def fold(_, parts, state):
+        import pandas as pd
+
+        rows = pd.concat(list(parts)).sort_values("ord", kind="stable")
+        told = operations.afforded(rows["cost"].tolist(), state.get[0] if state.exists else 0.0, budget)
+        rows[["spent", "affordable", "remaining"]] = pd.DataFrame(told, index=rows.index)
+        spent, made, _ = told[-1]
+        state.update((spent + float(rows["cost"].iloc[-1]) if made else spent,))
+        yield rows
+
+    return calls.groupBy(by).applyInPandasWithState(fold, schema, "spent double", "append", "NoTimeout")
