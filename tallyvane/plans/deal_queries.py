@@ -198,10 +198,11 @@ MEMO_RUNS = f"""WITH {READ_SQL}, {BOOK_SQL}, {WORKED_SQL}, said AS (
 ), stands AS (
   SELECT s.*, CASE WHEN EXISTS (SELECT 1 FROM form WHERE form.deal = s.deal AND form.f IN (s.f, regexp_replace(s.f, '[^0-9.]', '', 'g'))) THEN 'computed' WHEN s.f IN ({_POLICY}) THEN 'policy'
     WHEN EXISTS (SELECT 1 FROM shown WHERE shown.deal = s.deal AND shown.f = regexp_replace(s.f, '[^0-9.]', '', 'g')) THEN 'printed'
-    WHEN aside = 1 AND w.debt IS NOT NULL AND w.facility_requested IS NOT NULL AND w.ebitda IS NOT NULL THEN 'reconstructible' ELSE 'issue' END AS standing
+    WHEN aside = 1 AND w.debt IS NOT NULL AND w.facility_requested IS NOT NULL AND w.ebitda IS NOT NULL AND length(regexp_replace(regexp_replace(s.f, '[^0-9]', '', 'g'), '^0+|0+$', '', 'g')) >= 3 THEN 'reconstructible' ELSE 'issue' END AS standing
   FROM said s JOIN worked w USING (deal) WHERE f IS NOT NULL
+), sentence AS (SELECT *, aside = 2 OR aside = 1 AND bool_or(standing = 'issue' AND aside = 1) OVER (PARTITION BY deal) AS cut FROM stands
 ), counted AS (
-  SELECT deal, count(*) FILTER (aside <> 2) AS n_figures, {", ".join(f"count(*) FILTER (standing = '{s}' AND aside <> 2) AS {s}" for s in ("computed", "policy", "printed", "reconstructible", "issue"))}, bool_or(standing = 'issue') AS revised FROM stands GROUP BY deal
+  SELECT deal, count(*) FILTER (NOT cut) AS n_figures, {", ".join(f"count(*) FILTER (standing = '{s}' AND NOT cut) AS {s}" for s in ("computed", "policy", "printed", "reconstructible", "issue"))}, bool_or(standing = 'issue') AS revised FROM sentence GROUP BY deal
 ), cited AS (
   SELECT deal, count(DISTINCT document || '#' || page) AS citations FROM fig JOIN worked USING (deal) WHERE key IN ({", ".join(f"'{k}'" for k in _CITED)})
     {" ".join(f"OR {v} IS NOT NULL AND key IN ({', '.join(repr(k) for k in keys)})" for v, keys in _BEHIND.items())} GROUP BY deal
