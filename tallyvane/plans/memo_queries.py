@@ -157,8 +157,8 @@ def _package(spark, sf_dir):
     return pages, chunks, asked.select("question", "deal", "text"), facts
 
 
-def _evaluated(spark, sf_dir):
-    pages, chunks, asked, facts = _package(spark, sf_dir)
+def _evaluated(package):
+    _, chunks, asked, facts = package
     contexts = answering.retrieved(chunks, asked)
     asked, facts = storage.written(asked, "questions"), storage.written(facts, "facts")
     return answering.evaluated(asked, contexts, storage.written(answering.answered(asked, contexts), "answers"), facts)
@@ -167,18 +167,19 @@ def _evaluated(spark, sf_dir):
 def package_answers(spark, sf_dir):
     """Every question about every borrower and year answered from the chunks found for it, and checked: right page, right figure, right
     refusal."""
-    rows = _evaluated(spark, sf_dir)
+    rows = _evaluated(_package(spark, sf_dir))
     return rows.select("question", "refused", "citation_correct", "answer_correct", "refusal_correct", F.round("grounding_rate", 6).alias("grounding_rate"), "hallucinated", "invented")
 
 
 _PRINTED = ", ".join(f"'{label} ' || CASE WHEN {e} < 0 THEN format('({{:,}})', -({e})) ELSE format('{{:,}}', {e}) END" for label, e in _LINES)
 #: The lines of both documents as rows, each scored by the question's words, as chunks hold them whole.
-PACKAGE_ANSWERS = f"""{finance_queries.ACCOUNTS}, e AS (
+_PACKAGE = f"""{finance_queries.ACCOUNTS}, e AS (
   SELECT *, borrower || '-' || year AS deal, total_assets - payables - total_debt AS total_equity FROM a
 ), l AS (
   SELECT deal, '08_correspondence.pdf' AS document, unnest([1, 2]) AS k, unnest(['Please find the statements enclosed.', 'All amounts are in whole dollars of the year stated.']) AS line FROM e UNION ALL
   SELECT deal, '02_financial_statements.pdf', unnest(generate_series(1, {len(_LINES) + 1})), unnest([{_PRINTED}, 'All amounts are in whole dollars of the year stated.']) FROM e
-), q AS (
+)"""
+PACKAGE_ANSWERS = f"""{_PACKAGE}, q AS (
   SELECT deal, deal || '#' || n AS question, text, value, n < {len(_ASKED) - 1} AS answerable FROM (
     SELECT deal, unnest({[n for n, *_ in _ASKED]}) AS n, unnest({[q for _, q, *_ in _ASKED]}) AS text,
       unnest([{", ".join(f"CASE WHEN {e} < 0 THEN format('({{:,}})', -({e})) ELSE format('{{:,}}', {e}) END" if e else "NULL" for *_, e in _ASKED)}]) AS value FROM e)
@@ -212,11 +213,12 @@ SELECT deal, name, unit, round(value, 6) AS value, 2 AS n_inputs, CASE WHEN unit
 
 def gate_metrics(spark, sf_dir):
     """What the gate asks for beyond search and grounding: containment of printed figures in chunks, refusals, attacks, memos."""
-    pages, chunks, _, _ = _package(spark, sf_dir)
-    line = F.element_at(F.split("text", "\n"), 1)
-    facts = pages.filter("document LIKE '02%'").select(F.col("deal").alias("fact"), "deal", "document", "page", line.alias("needle"))
+    package = _package(spark, sf_dir)
+    pages, chunks = package[0], storage.written(package[1], "chunks")
+    lines = pages.select("deal", "document", "page", F.posexplode(F.split("text", "\n")).alias("k", "needle"))
+    facts = lines.select(F.concat_ws("#", "deal", "document", "k").alias("fact"), "deal", "document", "page", "needle")
     held = evaluate.containment(facts, chunks).agg(F.avg((F.col("verdict") == "contained").cast("double")).alias("value"))
-    answers = evaluate.report(_evaluated(spark, sf_dir))
+    answers = evaluate.report(_evaluated((pages, chunks, *package[2:])))
     attacks = operations.attack_report(attack_runs(spark, sf_dir))
     memos = memo_figures(spark, sf_dir).groupBy("deal").agg(F.max((F.col("standing") == "issue").cast("int")).alias("issue"))
     made = [
@@ -238,11 +240,13 @@ def quality_gate(spark, sf_dir):
     return operations.gate(rows, thresholds).withColumn("value", F.round("value", 6))
 
 
+#: Whether a page's lines, put together as its chunk, hold each line.
+_KEPT = f"{_PACKAGE} SELECT contains(text, line) AS held FROM l JOIN (SELECT deal, document, string_agg(line, chr(10) ORDER BY k) AS text FROM l GROUP BY ALL) USING (deal, document)"
 QUALITY_GATE = f"""
-WITH p AS ({PACKAGE_ANSWERS}), f AS ({ATTACK_FAMILIES}), o AS (SELECT deal, max(CASE WHEN standing = 'issue' THEN 1 ELSE 0 END) AS issue FROM ({MEMO_FIGURES}) GROUP BY deal),
+WITH p AS ({PACKAGE_ANSWERS}), kept AS ({_KEPT}), f AS ({ATTACK_FAMILIES}), o AS (SELECT deal, max(CASE WHEN standing = 'issue' THEN 1 ELSE 0 END) AS issue FROM ({MEMO_FIGURES}) GROUP BY deal),
 m AS (
   {operation_queries.SEARCH_AND_GROUNDING}
-  UNION ALL SELECT 'chunk_containment', 1.0
+  UNION ALL SELECT 'chunk_containment', avg(CASE WHEN held THEN 1.0 ELSE 0 END) FROM kept
   UNION ALL SELECT 'refusal_accuracy', avg(CASE WHEN refusal_correct THEN 1.0 ELSE 0 END) FROM p WHERE refusal_correct IS NOT NULL
   UNION ALL SELECT 'over_refusal_rate', avg(CASE WHEN refused THEN 1.0 ELSE 0 END) FROM p WHERE refusal_correct IS NULL
   UNION ALL SELECT 'redteam_successes', sum(successes) FROM f UNION ALL SELECT 'redteam_instruction_detection', max(detection_rate) FROM f WHERE family = 'instruction'

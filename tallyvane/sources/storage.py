@@ -37,6 +37,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def read_from(df: DataFrame) -> tuple | None:
+    """What tells whether another plan of this session gives the same rows: the plan, and the files it reads with their sizes and times. None if
+    it doesn't read files alone."""
+    files, spark = sorted(df.inputFiles()), df.sparkSession
+    if not files:
+        return None
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    seen = []
+    for file in files:
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        seen.append((file, status.getLen(), status.getModificationTime()))
+    return spark.sparkContext.applicationId, df.semanticHash(), hash(tuple(seen)), len(seen)
+
+
 def write_records(df: DataFrame, path: str, *, by: str = "deal", kind: str = "json", mode: str = "overwrite") -> None:
     """Records as one folder per deal."""
     df.write.mode(mode).partitionBy(by).format(kind).save(path)
