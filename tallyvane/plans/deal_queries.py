@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyvane.operators import chunking, evaluate, memo, operations, search, statements
+from tallyvane.operators import answering, chunking, evaluate, memo, operations, search, statements
 from tallyvane.plans import page_queries
 from tallyvane.plans.search_queries import STOP, tokens_sql
 from tallyvane.sources import deals, storage
@@ -96,6 +96,43 @@ def _recall_sql(stages: str, **options) -> str:
 DEAL_RECALL = f"SELECT * FROM {_recall_sql('bm25', rerank=False, authority=False)} UNION ALL SELECT * FROM {_recall_sql('full')}"
 
 
+def deal_answers(spark, sf_dir):
+    """Every fact's question answered from the five chunks found for it among its deal's, and checked: right page, right figure, right
+    refusal, and every figure of the answer held against the pages."""
+    rows, chunks = packages(spark, sf_dir)
+    facts = storage.written(deals.facts(rows), "facts")
+    asked = facts.select(F.col("fact").alias("question"), "deal", F.col("question").alias("text"))
+    contexts = answering.retrieved(chunks, asked, 5)
+    answers = storage.written(answering.answered(asked, contexts), "answers")
+    gold = facts.select(F.col("fact").alias("question"), "document", "page", F.col("answer_text").alias("value"), "answerable")
+    found = answering.evaluated(asked, contexts, answers, gold)
+    return found.select("question", "refused", "citation_correct", "answer_correct", "refusal_correct", F.round("grounding_rate", 6).alias("grounding_rate"), "hallucinated", "invented")
+
+
+_FIGURES = "list_filter(list_transform(regexp_extract_all({0}, '\\$?\\d[\\d,]*\\.?\\d*%?x?'), lambda f: regexp_replace(ltrim(f, '$'), '[.,;:]+$', '')), lambda f: length(regexp_replace(f, '[^0-9]', '', 'g')) >= 2)"
+#: The best line of the chunks found, scored by the question's words; what it says held against the fact and against the pages.
+DEAL_ANSWERS = f"""WITH {deals.DEALS_SQL}, {deals.CHUNKS_SQL}, {deals.FACTS_SQL}, {search_sql("SELECT fact AS q, deal, question AS text FROM facts", 5)}, ctx AS (
+  SELECT q, document, page, text FROM hit JOIN chunk ON chunk = doc
+), line AS (
+  SELECT q, document, page, ln, trim(l) AS line FROM (SELECT *, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM ctx) WHERE length(trim(l)) >= 8
+), own AS (SELECT DISTINCT id AS line, token AS term FROM {tokens_sql("SELECT DISTINCT line AS id, line AS text FROM line")}
+), size_ AS (SELECT line, count(*) AS m FROM own GROUP BY line), terms AS (SELECT text, count(*) AS n FROM word GROUP BY text
+), matched AS (SELECT text, line, count(*) AS c FROM word JOIN own USING (term) GROUP BY ALL
+), best AS (
+  SELECT q, document, page, line, coalesce(c, 0)::DOUBLE / n / (1 + coalesce(m, 0) / 40::DOUBLE) AS score FROM line JOIN ask USING (q) JOIN terms USING (text) LEFT JOIN size_ USING (line) LEFT JOIN matched USING (text, line)
+  QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, document, page, ln) = 1
+), said AS (SELECT fact, answerable, f.document AS gold, f.page AS gold_page, answer_text AS v, coalesce(score < 0.18, TRUE) AS refused, b.document, b.page, line, {_FIGURES.format("line")} AS figures FROM facts f LEFT JOIN best b ON q = fact
+), there AS (SELECT q, document, page, {_FIGURES.format("string_agg(text, chr(10))")} AS figures FROM ctx GROUP BY ALL
+), anywhere AS (SELECT q, flatten(list(figures)) AS every FROM there GROUP BY q
+), held AS (
+  SELECT s.*, len(list_filter(s.figures, lambda x: list_contains(t.figures, x))) AS good, len(list_filter(s.figures, lambda x: NOT list_contains(every, x))) AS bad, t.q IS NULL AS lost
+  FROM said s LEFT JOIN there t ON t.q = fact AND t.document = s.document AND t.page = s.page LEFT JOIN anywhere a ON a.q = fact
+)
+SELECT fact AS question, refused, CASE WHEN gold IS NULL THEN refused ELSE NOT refused AND document = gold AND page = gold_page END AS citation_correct,
+  CASE WHEN v IS NULL THEN TRUE WHEN refused THEN FALSE WHEN v LIKE '(%' THEN contains(line, v) ELSE list_contains(figures, v) END AS answer_correct, CASE WHEN NOT answerable THEN refused END AS refusal_correct,
+  round(CASE WHEN refused OR len(figures) = 0 THEN 1.0::DOUBLE ELSE good::DOUBLE / len(figures) END, 6) AS grounding_rate, CASE WHEN refused THEN 0 ELSE bad END AS hallucinated, CASE WHEN lost AND NOT refused THEN 1 ELSE 0 END AS invented FROM held"""
+
+
 def notes(rows):
     """What the drafter of some deals says besides the template: a pro forma that follows from the file, a figure that follows from nothing, and
     one that is replaced by another such when it is written again."""
@@ -250,6 +287,7 @@ SELECT attack, family, any_value(detected) AS detected, count(*) AS n, count_if(
 QUERIES = {
     "deal_facts": (deal_facts, DEAL_FACTS),
     "deal_recall": (deal_recall, DEAL_RECALL),
+    "deal_answers": (deal_answers, DEAL_ANSWERS),
     "receivables_ageing": (receivables_ageing, RECEIVABLES_AGEING),
     "memo_runs": (memo_runs, MEMO_RUNS),
     "attack_outcomes": (attack_outcomes, ATTACK_OUTCOMES),
