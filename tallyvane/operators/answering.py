@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyvane.functions import text as X
-from tallyvane.operators import evaluate, search
+from tallyvane.operators import evaluate, models, search
 from tallyvane.sources import storage
 
 REFUSAL = "The documents do not contain the answer."
@@ -63,14 +65,20 @@ def checked(answers: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def evaluated(questions: DataFrame, contexts: DataFrame, answers: DataFrame, facts: DataFrame) -> DataFrame:
-    """One row per question with all that evaluate.report() sums up: checks, grounding, invented citations and the overlap judgement."""
+def evaluated(questions: DataFrame, contexts: DataFrame, answers: DataFrame, facts: DataFrame, judge: Callable | None = None) -> DataFrame:
+    """One row per question with all that evaluate.report() sums up: checks, grounding, invented citations and the overlap judgement, or that
+    of a judge (models.judged()), whose replies that can't be read, or had, count as 0; judge_error says why there is none."""
     said = answers.select(F.col("question").alias("answer"), "text")
     pages = contexts.select(F.col("question").alias("answer"), "document", "page", "text")
     rates = evaluate.grounding_rates(said, evaluate.grounding(said, pages)).select(F.col("answer").alias("question"), F.col("rate").alias("grounding_rate"), "hallucinated")
     dropped = evaluate.checked_citations(said, pages).groupBy(F.col("answer").alias("question")).agg(F.count_if(~F.col("kept")).alias("invented"))
     given = contexts.groupBy("question").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("given"))  # k of a question
     rows = answers.withColumnRenamed("text", "said").join(questions.select("question", F.col("text").alias("asked")), "question").join(given, "question", "left")
-    rows = rows.withColumn("judged", evaluate.overlap_judgement(F.col("asked"), F.col("said"), F.coalesce("given", F.lit("")), "refused"))
-    rows = rows.select("question", "refused", "judged.faithfulness", "judged.relevance").join(checked(answers, facts), "question").join(rates, "question")
+    rows = rows.withColumn("given", F.coalesce("given", F.lit("")))
+    if judge:
+        rows = models.judged(rows, judge).withColumn("judged", X.judgement("reply"))
+    else:
+        rows = rows.withColumn("judged", evaluate.overlap_judgement(F.col("asked"), F.col("said"), F.col("given"), "refused"))
+    more = ["judge_error"] if judge else []
+    rows = rows.select("question", "refused", "judged.faithfulness", "judged.relevance", *more).join(checked(answers, facts), "question").join(rates, "question")
     return rows.join(dropped, "question", "left").fillna(0, ["invented"])

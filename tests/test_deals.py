@@ -119,7 +119,7 @@ def test_bounded_revision(spark):
     figures, log = memo.compute(contexts)
     notes = spark.createDataFrame([("d", "  Debt would be $803,000, or 3.21x."), ("e", "  Backlog is $777,777.\n  Orders of $2,000,000 are held.")], "deal string, sentence string")
     first = memo.drafted(deal, figures, log, contexts, notes)
-    checks = memo.checked(first, contexts, figures, log)
+    checks = memo.checked(first, contexts, log, memo.derivable(figures, log))
     stands = {(r.deal, r.figure): r.standing for r in checks.collect()}
     assert stands["d", "803,000"] == stands["d", "3.21x"] == "reconstructible" and stands["e", "777,777"] == "issue" and stands["f", "2,000,000"] == "printed" and stands["f", "2.00x"] == "computed"
     second = {r.deal: r for r in memo.revised(first, checks).collect()}
