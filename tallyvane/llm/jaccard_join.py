@@ -52,7 +52,8 @@ RARE = 8
 #: Parts of the range of sizes: least and most shingles of a set, and the share of the hash range looked at. They overlap by
 #: the quarter that similar sets may differ in size.
 TIERS = ((4, 125, 1.0), (100, 500, 0.5), (400, 1 << 60, 0.4))
-BLOCK_BYTES = 4 << 20
+#: Bytes of text that are cut into shingles at a time: where each row stands for itself, and where a block's copies are sent once.
+TEXT_BYTES, BLOCK_BYTES = 2 << 20, 4 << 20
 #: Shingles of all rows for each part of the hash range that a task meets at a time.
 PART_SHINGLES = 8_000_000
 #: Sets that may have partners in other components: how often those with too little in common with others are left out, and the
@@ -116,7 +117,8 @@ def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
         return next((k for k, (low, high, share) in enumerate(TIERS) if low <= n <= high and len(looked_at(own, share)) < prefix(n)), -1)
 
     def run(batches):
-        for table in blocks(batches, "text", BLOCK_BYTES):
+        for table in blocks(batches, "text", TEXT_BYTES):
+            shared.give_back()
             found = [(node, len(own), lacking(own)) for own, node in sets(utf8(table.column("text").combine_chunks()))]
             node, n, short = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
             done = pa.Table.from_arrays([table.column("doc"), pa.array(node), pa.array(n), pa.array(short)], names=["doc", "node", "n", "short"])
@@ -145,6 +147,7 @@ def postings(docs: DataFrame, text: str, shingles: int, shares: list[float]) ->
                     tokens.append(mixed(part, 20 + tier))
                     owner.append(np.full(len(part), len(head), np.int64))
                     head.append((node, n, tier, len(part)))
+            shared.give_back()
             if not head:
                 continue
             token, owner = np.concatenate(tokens), np.concatenate(owner)
@@ -164,6 +167,7 @@ def postings(docs: DataFrame, text: str, shingles: int, shares: list[float]) ->
                 yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
 
     def meet(table: pa.Table) -> pa.Table:
+        shared.give_back()
         part = table.column("part")[0].as_py()
         heads, tokens, owners, shift = [], [], [], 0
         for blob in table.column("blob").to_pylist():
@@ -283,7 +287,8 @@ def tokens_of(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
 
     def load(batches):
         done: set[int] = set()
-        for table in blocks(batches, "text", BLOCK_BYTES):
+        for table in blocks(batches, "text", TEXT_BYTES):
+            shared.give_back()
             found = {}
             for own, node in sets(utf8(table.column("text").combine_chunks())):
                 if len(own) and int(node) not in done:

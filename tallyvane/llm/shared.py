@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,6 +34,15 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def give_back() -> None:
+    """Return to the system what this Python worker has freed. Workers live on from task to task, and what large arrays have left in their
+    heaps counts against the executor all the while."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as a table in the shared folder and read from there: what made them isn't run again, and an
     executor that is lost takes nothing with it. Shuffle files of the steps that made them are deleted once they are written."""
