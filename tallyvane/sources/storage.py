@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Paths that this process has made, by application.
+_made: dict[str, list[str]] = {}
+
+
 @lru_cache(maxsize=1)
 def _own() -> str:
     """This process's own folder, for sessions that name none."""
@@ -27,7 +31,24 @@ def folder(spark: SparkSession, name: str) -> str:
         top = _own()
     if "://" not in top:
         top = f"file://{top}"
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete all that this session has put into the shared folder, once nothing reads its results any more; how many paths these were. Results
+    that a query has returned but not written elsewhere read these tables, so queries can't delete them themselves."""
+    made = _made.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(made)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -125,3 +125,21 @@ def test_bounded_revision(spark):
     second = {r.deal: r for r in memo.revised(first, checks).collect()}
     assert [second[d].revised for d in "def"] == [False, True, False]
     assert "777,777" not in second["e"].text and "Orders of $2,000,000" in second["e"].text and "DEFER" in second["e"].text
+
+
+def test_an_index_is_built_once_and_can_be_cleaned_up(spark, tmp_path):
+    from tallyvane.operators import search
+
+    docs = spark.createDataFrame([("p", 1, "one two"), ("p", 2, "two three"), ("q", 3, "four")], "part string, doc int, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    read = lambda: spark.read.parquet(str(tmp_path / "docs"))
+    first, again = search.build(read()), search.build(read())
+    assert first.postings.inputFiles() == again.postings.inputFiles()
+    asked = spark.createDataFrame([("x", None, "two")], "query string, part string, text string")
+    assert {r.doc for r in search.bm25(again, asked).collect()} == {1, 2}
+    docs.limit(1).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    assert search.build(read()).postings.inputFiles() != first.postings.inputFiles()
+    search.save(docs, str(tmp_path / "own"))
+    assert {r.doc for r in search.bm25(search.load(spark, str(tmp_path / "own")), asked).collect()} == {1, 2}
+    assert storage.clean(spark) > 0 and storage.clean(spark) == 0
+    assert {r.doc for r in search.bm25(search.build(read()), asked).collect()} == {1, 2}
