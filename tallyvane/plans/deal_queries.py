@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyvane.functions import text as X
 from tallyvane.operators import answering, chunking, evaluate, memo, operations, search, statements
 from tallyvane.plans import page_queries
 from tallyvane.plans.search_queries import STOP, tokens_sql
@@ -250,6 +251,30 @@ SELECT deal, {_REQUIRED.format(lev="lev", cov="cov")} AS stated, revised, issue
 FROM worked w JOIN counted USING (deal) LEFT JOIN cited USING (deal)"""
 
 
+def deal_review_items(spark, sf_dir):
+    """What the memos of all deals leave for a reviewer, by kind: figures that a derivation explains, or nothing does, identities that the file's
+    figures break, and instructions that stand in its documents."""
+    rows, chunks = packages(spark, sf_dir)
+    run = memo.runs(chunks, rows, notes(rows))
+    read = run.figures.filter(F.col("key").isin([k for _, k in statements.LABELS])).select("deal", "key", "value")
+    wide = storage.written(read.groupBy("deal").pivot("key", [k for _, k in statements.LABELS]).agg(F.first("value")), "figures")
+    checks = run.checks.withColumn("standing", F.when(F.col("standing") == "reconstructible", "issue").otherwise(F.col("standing")))
+    found = run.contexts.select("deal", "document", X.instruction_finding("text").alias("f")).filter("f IS NOT NULL").select("deal", "document", "f.kind")
+    items = memo.review_items(memo.decided_by(read), checks, statements.identity_findings(wide), found)
+    return items.groupBy("kind", "priority").agg(F.count("*").alias("n"), F.countDistinct("deal").alias("deals"))
+
+
+DEAL_REVIEW_ITEMS = f"""{{memo}}, broken AS (
+  SELECT deal, unnest([CASE WHEN abs(abs(revenue) - abs(cogs) - abs(gross_profit)) > 0.02 * greatest(abs(gross_profit), 1) THEN 'gross' END, CASE WHEN abs(ebitda) > abs(gross_profit) * 1.02 THEN 'ebitda' END,
+    CASE WHEN abs(abs(current_liabilities) + abs(ltd_noncurrent) + abs(total_equity) - abs(total_assets)) > 0.02 * greatest(abs(total_assets), 1) THEN 'balance' END]) AS identity FROM wide
+), item AS (
+  SELECT DISTINCT deal, CASE standing WHEN 'issue' THEN 'low_confidence_extraction' ELSE 'reconstruction' END AS kind, f AS what FROM sentence WHERE NOT cut AND standing IN ('issue', 'reconstructible')
+  UNION ALL SELECT deal, 'accounting_inconsistency', identity FROM broken WHERE identity IS NOT NULL
+  UNION ALL SELECT DISTINCT deal, 'injection_finding', document FROM ctx WHERE {page_queries.any_instruction_sql("@").replace("'@'", "text")}
+)
+SELECT kind, list_position([{", ".join(f"'{k}'" for k in operations.PRIORITY)}], kind) - 1 AS priority, count(*) AS n, count(DISTINCT deal) AS deals FROM item GROUP BY ALL""".replace("{memo}", MEMO_RUNS[: MEMO_RUNS.index("\nSELECT deal, CASE")])
+
+
 def attack_outcomes(spark, sf_dir):
     """Every attack on every deal through what its searches return, counted by attack: errors, decisions that changed or grew stricter,
     looser ones if no identity were checked, and those that were let through."""
@@ -290,5 +315,6 @@ QUERIES = {
     "deal_answers": (deal_answers, DEAL_ANSWERS),
     "receivables_ageing": (receivables_ageing, RECEIVABLES_AGEING),
     "memo_runs": (memo_runs, MEMO_RUNS),
+    "deal_review_items": (deal_review_items, DEAL_REVIEW_ITEMS),
     "attack_outcomes": (attack_outcomes, ATTACK_OUTCOMES),
 }
