@@ -263,6 +263,7 @@ def _run(first: str, second: str, names: list[str]):
         for table in blocks(batches, "text", BATCH_BYTES):
             columns = _of_docs(table.column("text").to_pylist(), both)
             done = pa.Table.from_arrays([table.column("key"), *map(pa.array, columns)], names=names)
+            shared.give_back()
             yield from done.combine_chunks().to_batches(max_chunksize=1000)
 
     return run

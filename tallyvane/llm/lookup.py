@@ -59,8 +59,11 @@ def answered(rows: DataFrame, answers: DataFrame, prepare: Callable[[pa.Table],
     left, right = (x.repartition(n, "block").groupBy("block") for x in (rows, answers))
 
     def run(own: pa.Table, told: pa.Table) -> pa.Table:
-        made = prepare(told)
-        done = [function(unpacked(x.as_buffer()), made) for x in own.column("rows")]
+        made, done = prepare(told), []
+        del told
+        for piece in own.column("rows"):
+            shared.give_back()
+            done.append(function(unpacked(piece.as_buffer()), made))
         return pa.concat_tables(done) if done else schema_table(schema)
 
     return left.cogroup(right).applyInArrow(run, schema)

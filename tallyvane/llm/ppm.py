@@ -157,10 +157,11 @@ def held(blocks: DataFrame, order: int) -> DataFrame:
                 parts = []
             now = block
             parts.append(counted(table))
+            shared.give_back()
         if parts:
             yield from told(now, parts)
 
-    return shared.written(blocks.mapInArrow(run, schema), "held")
+    return shared.written(blocks.mapInArrow(run, schema), "held", "zstd")
 
 
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +194,7 @@ def scored(docs: DataFrame, learns, *, key: str = "doc_id", text: str = "text",
     known, total = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     distinct, total = known + (ends > 0), total + ends
     of_word = F.array(F.shiftleft("n", 8))
-    told = shared.written(trie(holding, order).withColumn("kind", F.lit(NODE).cast("byte")).unionByName(counted.select("key", of_word.alias("followers"), F.lit(WORD).cast("byte").alias("kind"))), "trie")
+    told = shared.written(trie(holding, order).withColumn("kind", F.lit(NODE).cast("byte")).unionByName(counted.select("key", of_word.alias("followers"), F.lit(WORD).cast("byte").alias("kind"))), "trie", "zstd")
     answers = holding.filter(F.col("kind") != SEQUENCE).select("block", "kind", "key").join(told, ["kind", "key"])
     kind = docs.schema[key].dataType
     fields = [("key", kind), ("learns", T.BooleanType()), *((c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), ("base_score", T.DoubleType()), ("score", T.DoubleType())]

@@ -59,14 +59,14 @@ def give_back() -> None:
         trim(0)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows, written as a table in the shared folder and read from there: what made them isn't run again, and an
     executor that is lost takes nothing with it. Shuffle files of the steps that made them are deleted once they are written."""
     spark, path = df.sparkSession, folder(df.sparkSession, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
