@@ -31,13 +31,16 @@ from pyspark.sql import types as T
 
 from tallyvane.llm.bpe import blocks
 from tallyvane.llm.fm_index import FMIndex
+from tallyvane.llm.shared import give_back
 from tallyvane.llm.words import SPACED, mixed, utf8, windows, words
 
 #: Words of a window, of a shingle, and shingles of a window.
 WINDOW, SHINGLE = 20, 5
 SHINGLES = WINDOW - SHINGLE + 1
 #: Bytes of text whose segments are put together before they are sent.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Rows whose words are taken out at a time.
+SLICE_ROWS = 1000
 #: Bytes of text for each shard at most, about.
 SHARD_BYTES = 64 << 20
 #: The place of a null doc_id in the order of documents.
@@ -254,11 +257,13 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
 
     def send(batches):
         for table in blocks(batches, "text", BLOCK_BYTES):
+            give_back()
             order, digest = table.column("doc").to_numpy(), table.column("digest").to_numpy()
             for shard, blob in pack(shards, utf8(table.column("text").combine_chunks()), order, digest):
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([blob], pa.binary())], names=["shard", "blob"])
 
     def meet(table: pa.Table) -> pa.Table:
+        give_back()
         found = repeats(table.column("blob").to_pylist())
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in found], names=["doc", "digest", "begin", "end"])
 
@@ -277,6 +282,14 @@ def joined(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.join(gone, on, "left").select("row", "gone")
 
 
+def slices(batches):
+    """Batches of fewer rows, and what the one before has left given back."""
+    for batch in batches:
+        for k in range(0, len(batch), SLICE_ROWS):
+            give_back()
+            yield batch.slice(k, SLICE_ROWS)
+
+
 def removed(texts: list[bytes | None], gone: pa.Array):
     """The words of the texts, and for each whether it is removed."""
     w = words(texts, SPACED, hashed=False)
@@ -301,7 +314,7 @@ def digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     )
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = utf8(batch.column("text"))
             w, out = removed(texts, batch.column("gone"))
             counts = np.concatenate([[0], np.cumsum(out)])
@@ -326,7 +339,7 @@ def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
 
     def run(batches):
         at = fields.names.index(text)
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.column("row").flatten()
             texts = utf8(rows[at])
             w, out = removed(texts, batch.column("gone"))
