@@ -34,8 +34,8 @@ from tallyvane.llm.transducer import readable_bytes
 BATCH_BYTES = 1 << 20
 #: Bytes of packed pairs that a piece and a block of documents have.
 PIECE_BYTES, BLOCK_BYTES = 1 << 20, 6 << 20
-#: Parts of texts whose tokens a worker keeps. Bounds memory, never results.
-MOST_PARTS = 200_000
+#: Parts of texts whose tokens a worker keeps, and characters of them. Bounds memory, never results.
+MOST_PARTS, MOST_CHARACTERS = 200_000, 8 << 20
 #: Where a text of parts can't be split at every space; and the spaces at which it still can.
 UNEVEN, CUT = re.compile(r"\s | \s| $"), re.compile(r"(?<=\S)(?= +\S)")
 #: A group with more links than this is counted by distinct ids.
@@ -72,6 +72,7 @@ class Tokenizers:
     def forget(self) -> None:
         """known: the number of each part; of each number whether both sides spell it; ids of both sides, one part after another."""
         self.known: dict[str, int] = {}
+        self.characters = 0
         self.spelled = np.empty(0, bool)
         self.ids = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in range(2)]
 
@@ -117,10 +118,11 @@ class Tokenizers:
         flat = list(chain.from_iterable(parts))
         every = set(flat)
         new = every - self.known.keys()
-        if len(self.known) + len(new) > MOST_PARTS:
+        if len(self.known) + len(new) > MOST_PARTS or self.characters > MOST_CHARACTERS:
             self.forget()
             new = every
         if new:
+            self.characters += sum(map(len, new))
             self.learn(list(new))
         at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         text = np.repeat(np.arange(len(texts)), sizes)

@@ -121,6 +121,7 @@ def test_overlaps(spark, libraries):
 
 def test_blocks(spark, libraries, monkeypatch):
     monkeypatch.setattr(alignment, "BATCH_BYTES", 300)
+    monkeypatch.setattr(alignment, "MOST_CHARACTERS", 50)
     monkeypatch.setattr(alignment, "BLOCK_BYTES", 500)
     rows = [(k, f"line {k} of {k % 7} words " * (k % 4)) for k in range(80)]
     docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
