@@ -94,13 +94,11 @@ TEXTS = [
 ]
 
 
-def test_small_texts(spark, libraries, monkeypatch):
+def test_small_texts(spark, libraries):
     docs = spark.createDataFrame([(k, t, "x", 1) for k, t in TEXTS], "doc_id int, text string, pairs string, block int")
     want = expected(libraries, TEXTS)
-    for long_group in (alignment.LONG_GROUP, 2):
-        monkeypatch.setattr(alignment, "LONG_GROUP", long_group)
-        got = alignment.summarised(docs, *PATHS).select(COLUMNS).collect()
-        assert sorted(map(tuple, got), key=str) == want
+    got = alignment.summarised(docs, *PATHS).select(COLUMNS).collect()
+    assert sorted(map(tuple, got), key=str) == want
     assert alignment.summarised(docs.limit(0), *PATHS).collect() == []
 
 
@@ -121,13 +119,25 @@ def test_overlaps(spark, libraries):
 
 def test_blocks(spark, libraries, monkeypatch):
     monkeypatch.setattr(alignment, "BATCH_BYTES", 300)
-    monkeypatch.setattr(alignment, "MOST_CHARACTERS", 50)
     monkeypatch.setattr(alignment, "BLOCK_BYTES", 500)
     rows = [(k, f"line {k} of {k % 7} words " * (k % 4)) for k in range(80)]
     docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
     assert sorted(map(tuple, alignment.summarised(docs, *PATHS).select(COLUMNS).collect()), key=str) == expected(libraries, rows)
 
 
+def test_long_groups_and_short_memory(monkeypatch):
+    both = alignment.loaded(*PATHS)
+    texts = [t for _, t in TEXTS] * 2
+    want = alignment._of_docs(texts, both)
+    monkeypatch.setattr(alignment, "LONG_GROUP", 2)
+    for most in (8 << 20, 5):  # characters kept: all, or next to none
+        monkeypatch.setattr(alignment, "MOST_CHARACTERS", most)
+        for k in (1, 3, len(texts)):
+            found = [alignment._of_docs(texts[a : a + k], both) for a in range(0, len(texts), k)]
+            for column, parts in zip(want, zip(*found, strict=True), strict=True):
+                assert [x for p in parts for x in (p.tolist() if hasattr(p, "tolist") else p.to_pylist())] == (column.tolist() if hasattr(column, "tolist") else column.to_pylist())
+
+
 def test_query_against_the_libraries(spark, libraries):
     rows = [(r.doc_id, r.text) for r in queries.documents(spark, SF).collect()]
     got = queries.op13_token_alignment(spark, SF).select(COLUMNS).collect()
