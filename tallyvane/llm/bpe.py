@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tallyvane.llm.shared import give_back
+
 #: Words whose ids a partition keeps; beyond it the cache starts anew. Bounds memory, never results.
 CACHE_WORDS = 400_000
 #: Bytes of text that one replay covers at least, if the partition has them.
@@ -221,6 +223,7 @@ def encode_decode(
     def run(batches):
         replay = _worker(path, pattern)[0]
         for table in blocks(batches, "text", BLOCK_BYTES):
+            give_back()
             ids = encode_texts(table.column("text").to_pylist(), path, pattern)
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             if digests:
@@ -233,6 +236,7 @@ def encode_decode(
             done = pa.Table.from_arrays([table.column("key"), counts, *payload], names=schema.names)
             yield from done.combine_chunks().to_batches(max_chunksize=10_000)
         _worker(path, pattern)[2].clear()
+        give_back()
 
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
