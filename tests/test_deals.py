@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from tallyvane.functions import text as X
-from tallyvane.operators import memo, operations, statements
+from tallyvane.operators import chunking, evaluate, memo, operations, statements
 from tallyvane.sources import deals, storage
 from tallyvane.streaming import logs
 
@@ -143,3 +143,15 @@ def test_an_index_is_built_once_and_can_be_cleaned_up(spark, tmp_path):
     assert {r.doc for r in search.bm25(search.load(spark, str(tmp_path / "own")), asked).collect()} == {1, 2}
     assert storage.clean(spark) > 0 and storage.clean(spark) == 0
     assert {r.doc for r in search.bm25(search.build(read()), asked).collect()} == {1, 2}
+
+
+def test_barred_lines_of_a_table_are_not_prose(spark):
+    table = [["Item", "Amount"], ["Rent", "10 |"], ["Power", "20"]]
+    text = "Short.\nItem | Amount\nRent | 10 |\nPower | 20"
+    pages = spark.createDataFrame([("d", "a.pdf", 1, text, [table]), ("d", "a.pdf", 2, "Item | Amount of a page without any table of its own", [])], "deal string, document string, page int, text string, tables array<array<array<string>>>")
+    files = spark.createDataFrame([], "document string, kind string, status string, trust string")
+    found = chunking.chunks(pages, chunking.profile(pages, files))
+    got = sorted((r.page, r.chunk_type, r.text) for r in found.collect())
+    assert got == [(1, "table", "Item | Amount\nRent | 10 |\nPower | 20"), (2, "prose", "Item | Amount of a page without any table of its own")]
+    facts = spark.createDataFrame([("f", "d", "a.pdf", 1, "Short."), ("g", "d", "a.pdf", 1, "Power | 20")], "fact string, deal string, document string, page int, needle string")
+    assert {(r.fact, r.verdict) for r in evaluate.containment(facts, found).collect()} == {("f", "missed"), ("g", "contained")}
