@@ -179,3 +179,14 @@ def test_records_and_settings(spark, tmp_path):
     assert storage.fingerprint(rows) == storage.fingerprint(rows.repartition(3)) != storage.fingerprint(rows.limit(1))
     conf = {"a": "7", "b": " ", "c": "x", "api_key": "s"}
     assert [storage.setting(conf, k, 3) for k in "abc"] == [7, 3, 3] and storage.masked(conf)["api_key"] == "***"
+
+
+def test_numbers_are_printed_as_they_are_in_binary(spark):
+    values = [1.625, 1.125, 4.525, 1.005, 2.675, -0.125, 1234567.5]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.x for r in rows.select(X.fixed("v", 2).alias("x")).collect()] == [f"{v:.2f}" for v in values]
+    figures = spark.createDataFrame([(str(k), 0, f"{v:.2f}x") for k, v in enumerate(values)], "deal string, place int, figure string")
+    derived = spark.createDataFrame([(str(k), 0, 0, "v", v, "x") for k, v in enumerate(values)], "deal string, i int, j int, label string, value double, kind string")
+    told = {r.deal: r.derivation for r in statements.explained(figures, derived).collect()}
+    assert told == {str(k): None if k in (3, 5) else "v" for k in range(len(values))}  # 1.00x and -0.12x have too few digits
+    assert spark.createDataFrame([(None,)], "v double").select(X.fixed("v", 2).alias("x")).first().x is None
