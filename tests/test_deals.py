@@ -155,3 +155,20 @@ def test_barred_lines_of_a_table_are_not_prose(spark):
     assert got == [(1, "table", "Item | Amount\nRent | 10 |\nPower | 20"), (2, "prose", "Item | Amount of a page without any table of its own")]
     facts = spark.createDataFrame([("f", "d", "a.pdf", 1, "Short."), ("g", "d", "a.pdf", 1, "Power | 20")], "fact string, deal string, document string, page int, needle string")
     assert {(r.fact, r.verdict) for r in evaluate.containment(facts, found).collect()} == {("f", "missed"), ("g", "contained")}
+
+
+def test_a_page_stays_one_row_until_its_chunks_are_numbered(spark):
+    text = "Balance Sheets\r\n" + "The first line of prose that is long enough.\x85\n" + "Collateral " + "\n".join(f"line {k} " + "word " * 20 for k in range(30))
+    rows = [("d", "a.pdf", 1, text, [[["Item", "Amount"], ["Rent", "10"]], []]), ("d", "a.pdf", 2, text, None), ("d", "a.pdf", 3, None, None)]
+    pages = spark.createDataFrame(rows, "deal string, document string, page int, text string, tables array<array<array<string>>>")
+    files = spark.createDataFrame([], "document string, kind string, status string, trust string")
+    found = chunking.chunks(pages, chunking.profile(pages, files))
+    # Lines no longer leave their page: no window over lines, no joins by page, and an array of chunks is made once.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Filter (size(" not in plan and plan.count("Join ") <= 2
+    got = found.orderBy("page", "chunk_index").collect()
+    prose = {p: [(r.section, r.text) for r in got if r.page == p and r.chunk_type == "prose"] for p in (1, 2, 3)}
+    assert prose[1] == prose[2] and len(prose[1]) > 1 and prose[3] == []
+    assert [r.text for r in got if r.chunk_type == "table"] == ["Item | Amount\nRent | 10"] and [r.chunk_index for r in got if r.page == 1] == list(range(len(prose[1]) + 1))
+    assert prose[1][0][0] == "Balance Sheets" and prose[1][-1][0] == "Collateral" and prose[1][0][1].startswith("Balance Sheets\nThe first line of prose that is long enough.\nCollateral\nline 0")
+    assert {r.heading for r in chunking.sections(pages).filter("heading IS NOT NULL").collect()} == {"Balance Sheets", "Collateral"}
