@@ -1,7 +1,8 @@
 """Page layout: words to lines, cells, tables; page routing; summaries.
 
 Words are rows (page, ord, text, left, top, width, height, confidence, line). Runs and gaps are window sums, so a page of any
-number of words is a sort, not a loop; only lines without an engine's line number need an ordered fold per page.
+number of words is a sort, not a loop; only lines without an engine's line number need an ordered fold per page. Where a line's words are at
+hand, in order, line_cells() cuts them where they are, and row_tables() goes on.
 """
 
 from __future__ import annotations
@@ -90,13 +91,34 @@ def cells(words: DataFrame, page_width) -> DataFrame:
     return grouped.select("page", "row", F.col("cell").cast("int").alias("cell"), F.array_join(F.col("w.text"), " ").alias("text"))
 
 
+def line_cells(words, page_width):
+    """The cells (texts) of a line whose words are an array (left, width, text) from left to right, as cells() makes them: nothing is sorted or shuffled."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(None).cast("long").alias("end"))
+
+    def step(s, w):
+        end = (w["left"] + w["width"]).cast("long")
+        parted = F.coalesce(w["left"] - s["end"] > COLUMN_GAP * page_width, F.lit(False))
+        done = F.concat(s["done"], F.array(F.array_join(s["open"], " ")))
+        return F.when(parted, F.struct(done.alias("done"), F.array(w["text"]).alias("open"), end.alias("end"))).otherwise(
+            F.struct(s["done"].alias("done"), F.concat(s["open"], F.array(w["text"])).alias("open"), end.alias("end"))
+        )
+
+    finish = lambda s: F.when(s["end"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(F.array_join(s["open"], " "))))
+    return F.aggregate(words, start, step, finish)
+
+
 def tables(cell_rows: DataFrame) -> DataFrame:
     """page, table, row, cells: longest runs of consecutive lines of two cells or more that are at least LEAST_ROWS long."""
     rows = cell_rows.groupBy("page", "row").agg(F.array_sort(F.collect_list(F.struct("cell", "text"))).alias("c"))
-    rows = rows.select("page", "row", F.col("c.text").alias("cells"))
+    return row_tables(rows.select("page", "row", F.col("c.text").alias("cells")))
+
+
+def row_tables(rows: DataFrame) -> DataFrame:
+    """tables() of lines whose cells are an array: page, row (consecutive lines of a page have consecutive numbers), cells. Lines of one cell only
+    part others, so that they needn't be there: only lines that may be a table's are shuffled and sorted."""
     order = Window.partitionBy("page").orderBy("row")
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumn("run", F.sum((F.size("cells") < 2).cast("int")).over(running)).filter(F.size("cells") >= 2)
+    # Consecutive numbers less their places are the same throughout a run.
+    marked = rows.filter(F.size("cells") >= 2).withColumn("run", F.col("row") - F.row_number().over(order))
     whole = marked.withColumn("n", F.count("*").over(Window.partitionBy("page", "run"))).filter(F.col("n") >= LEAST_ROWS)
     return whole.select("page", (F.dense_rank().over(Window.partitionBy("page").orderBy("run")) - 1).alias("table"), "row", "cells")
 

@@ -190,3 +190,22 @@ def test_numbers_are_printed_as_they_are_in_binary(spark):
     told = {r.deal: r.derivation for r in statements.explained(figures, derived).collect()}
     assert told == {str(k): None if k in (3, 5) else "v" for k in range(len(values))}  # 1.00x and -0.12x have too few digits
     assert spark.createDataFrame([(None,)], "v double").select(X.fixed("v", 2).alias("x")).first().x is None
+
+
+def test_lines_whose_words_are_at_hand_make_the_same_tables(spark, tmp_path):
+    import duckdb
+
+    from tallyvane.plans import page_queries
+
+    texts = ["a | b\nc | d  x\n\n|\ne   f | g\nplain words here\nh | i\nj | k\nl | m", "a | b\nc | d", " lead | x\nb | y \n || | z\n \n\nnone", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = page_queries.layout_tables(spark, str(tmp_path))
+    # No word is shuffled: a page's lines are cut where they are.
+    assert "posexplode(split" not in found._jdf.queryExecution().optimizedPlan().toString()
+    documents = str(tmp_path / "documents.parquet" / "*.parquet")
+    expected = sorted(duckdb.sql(f"WITH documents AS (FROM '{documents}') SELECT * FROM ({page_queries.LAYOUT_TABLES})").fetchall())
+    assert sorted(tuple(r) for r in found.collect()) == expected and expected[:2] == [(0, 0, 3, 3, 7), (0, 1, 3, 2, 6)]
+    words = [("p", k, t, left, 0, w, 16, 95.0, 0) for k, (t, left, w) in enumerate([("a", 0, 15), ("b", 30, 15), ("c", 81, 15), ("d", 131, 15)])]
+    rows = spark.createDataFrame(words, "page string, ord int, text string, left int, top int, width int, height int, confidence double, line int")
+    line = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("left", "width", "text"))).alias("w"))
+    assert line.select(layout.line_cells("w", 1000)).first()[0] == ["a b", "c d"] == [r.text for r in layout.cells(layout.lines(rows), 1000).orderBy("cell").collect()]
