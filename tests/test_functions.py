@@ -209,3 +209,16 @@ def test_lines_whose_words_are_at_hand_make_the_same_tables(spark, tmp_path):
     rows = spark.createDataFrame(words, "page string, ord int, text string, left int, top int, width int, height int, confidence double, line int")
     line = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("left", "width", "text"))).alias("w"))
     assert line.select(layout.line_cells("w", 1000)).first()[0] == ["a b", "c d"] == [r.text for r in layout.cells(layout.lines(rows), 1000).orderBy("cell").collect()]
+
+
+def test_one_list_of_candidates_is_its_own_fusion(spark):
+    docs = spark.createDataFrame([("p", k, f"revenue {'debt ' * (k % 3)}word{k}", "draft" if k == 2 else "final", None) for k in range(6)], "part string, doc int, text string, status string, vector array<double>")
+    queries = spark.createDataFrame([("x", "p", "total debt and revenue", None), ("y", "p", "the of", None)], "query string, part string, text string, vector array<double>")
+    index, options = search.build(docs), search.Options(dense=False)
+    terms = search.asked_terms(index, queries)
+    first = search.first_stages(index, docs, queries, options, terms)
+    found = search.hybrid(index, docs, queries, 4, options, first=first, asked=terms)
+    assert "pivot" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = found.orderBy("query", "rank").collect()
+    assert got == search.hybrid(index, docs, queries, 4, options).orderBy("query", "rank").collect() and len(got) == 8
+    assert all(r.fused == round(1 / (61 + r.bm25_rank), 9) and r.dense_rank is None for r in got)
