@@ -172,3 +172,11 @@ def test_a_page_stays_one_row_until_its_chunks_are_numbered(spark):
     assert [r.text for r in got if r.chunk_type == "table"] == ["Item | Amount\nRent | 10"] and [r.chunk_index for r in got if r.page == 1] == list(range(len(prose[1]) + 1))
     assert prose[1][0][0] == "Balance Sheets" and prose[1][-1][0] == "Collateral" and prose[1][0][1].startswith("Balance Sheets\nThe first line of prose that is long enough.\nCollateral\nline 0")
     assert {r.heading for r in chunking.sections(pages).filter("heading IS NOT NULL").collect()} == {"Balance Sheets", "Collateral"}
+
+
+def test_questions_of_a_package_do_not_join_order_lines_again(spark):
+    from tallyvane.plans import memo_queries
+
+    _, _, asked, facts = memo_queries._package(spark, "/root/testdata/sf0.001")
+    assert asked.count() == facts.count() > 0
+    assert not [f for rows in (asked, facts) for f in rows.inputFiles() if "lineitem" in f]
