@@ -56,6 +56,8 @@ TIERS = ((4, 125, 1.0), (100, 500, 0.5), (400, 1 << 60, 0.4))
 TEXT_BYTES, BLOCK_BYTES = 2 << 20, 4 << 20
 #: Shingles of all rows for each part of the hash range that a task meets at a time.
 PART_SHINGLES = 8_000_000
+#: Bytes of a node, its n, tier and c on the way to a part.
+HEAD_BYTES = (8, 4, 1, 4)
 #: Sets that may have partners in other components: how often those with too little in common with others are left out, and the
 #: step between classes of sizes that are paired.
 PASSES, SIZE_STEP = 3, 1.05
@@ -107,6 +109,17 @@ def groups_of(share: float, step: int) -> int:
     return max(1, int((share - 0.2) * low - 1 - 3 * (share * (1 - share) * low) ** 0.5))
 
 
+def packed(numbers: np.ndarray, width: int) -> bytes:
+    """The lowest bytes of numbers that are not negative, all first bytes first: those that are mostly equal take no room in a compressed shuffle."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked(blob: bytes, at: int, count: int, width: int) -> np.ndarray:
+    out = np.zeros((count, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8, width * count, at).reshape(width, count).T
+    return out.view("<u8").ravel()
+
+
 def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc (the key), node, n, the size of its set, and short, the number of its first tier whose part of the range holds less than a
     prefix of it (-1: none), for every row."""
@@ -130,8 +143,9 @@ def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
 def postings(docs: DataFrame, text: str, shingles: int, shares: list[float]) -> DataFrame:
     """Rare blocks (kind 0: block, node) and frequent shingles (kind 1: shingle as block, node), with n, the tier, c, the number of
     the set's shingles that the tier looks at, and held, the number of nodes that hold the shingle. Parts of the hash range are met
-    one by one; their number follows the number of shingles of all rows."""
-    parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shingles // PART_SHINGLES)
+    one by one; their number follows the number of shingles of all rows. A part has the node of each of its shingles, once for
+    those of a set, so that more parts than needed are more bytes shuffled: at most a node for each shingle."""
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2, shingles // PART_SHINGLES)
 
     def send(batches):
         for table in blocks(batches, "text", BLOCK_BYTES):
@@ -160,10 +174,10 @@ def postings(docs: DataFrame, text: str, shingles: int, shares: list[float]) ->
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
-                used, at = np.unique(owner[a:b], return_inverse=True)
-                short = at.astype("<u2" if len(used) <= 1 << 16 else "<u4")
-                low, high = (token[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4"), (token[a:b] >> np.uint64(32)).astype("<u1")
-                blob = b"".join([np.array([b - a, len(used)], "<i8").tobytes(), table_of[used].astype("<i8").tobytes(), low.tobytes(), high.tobytes(), short.tobytes()])
+                # Tokens of a part stand in the order of their sets.
+                first = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
+                heads, count = table_of[owner[a:b][first]], np.diff(np.append(first, b - a))
+                blob = b"".join([packed(np.array([b - a, len(first)]), 8), *(packed(heads[:, k], width) for k, width in enumerate(HEAD_BYTES)), packed(count, 4), packed(token[a:b], 5)])
                 yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
 
     def meet(table: pa.Table) -> pa.Table:
@@ -171,12 +185,14 @@ def postings(docs: DataFrame, text: str, shingles: int, shares: list[float]) ->
         part = table.column("part")[0].as_py()
         heads, tokens, owners, shift = [], [], [], 0
         for blob in table.column("blob").to_pylist():
-            m, u = np.frombuffer(blob, "<i8", 2).tolist()
-            heads.append(np.frombuffer(blob, "<i8", 4 * u, 16).reshape(u, 4))
-            at = 16 + 32 * u
-            token = np.frombuffer(blob, "<u4", m, at).astype(np.uint64) | (np.frombuffer(blob, "<u1", m, at + 4 * m).astype(np.uint64) << np.uint64(32))
-            tokens.append(token)
-            owners.append(np.frombuffer(blob, "<u2" if u <= 1 << 16 else "<u4", m, at + 5 * m).astype(np.int64) + shift)
+            m, u = unpacked(blob, 0, 2, 8).tolist()
+            at, columns = 16, []
+            for width in (*HEAD_BYTES, 4):
+                columns.append(unpacked(blob, at, u, width).view(np.int64))
+                at += width * u
+            heads.append(np.stack(columns[:-1], axis=1))
+            tokens.append(unpacked(blob, at, m, 5))
+            owners.append(np.repeat(np.arange(shift, shift + u), columns[-1]))
             shift += u
         head, token, owner = np.concatenate(heads), np.concatenate(tokens), np.concatenate(owners)
         del heads, tokens, owners
@@ -280,8 +296,22 @@ def needed(keys: DataFrame):
     return out, bits
 
 
+def passing(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose node may be in `keys`, found before anything is shuffled; nodes that are in it all stay."""
+    passes, bits = needed(keys)
+    held = rows.sparkSession.sparkContext.broadcast(passes)
+
+    @F.arrow_udf("boolean")
+    def passed(node: pa.Array) -> pa.Array:
+        word, bit = places(node.to_numpy(zero_copy_only=False), bits)
+        return pa.array(held.value[word] & bit != 0)
+
+    return rows.filter(passed("node"))
+
+
 def tokens_of(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
-    """node and tokens (its whole set) of the nodes in `keys`; a node comes once of each partition that has it."""
+    """node, tokens (its whole set), part (what of the set is in a quarter of the hash range, 31 bits of each, equal ones once), q (how
+    many tokens are in that quarter) and n (how many in all) of the nodes in `keys`; a node comes once of each partition that has it."""
     passes, bits = needed(keys)
     held = docs.sparkSession.sparkContext.broadcast(passes)
 
@@ -297,20 +327,31 @@ def tokens_of(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
             word, bit = places(node, bits)
             node = node[held.value[word] & bit != 0].tolist()
             done.update(node)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([found[k].view(np.int64) for k in node], pa.list_(pa.int64()))], names=["node", "tokens"])
-
-    return docs.select(docs[text].alias("text")).mapInArrow(load, "node long, tokens array<long>")
+            whole = [found[k] for k in node]
+            quarter = [own[: np.searchsorted(own, np.uint64(1 << 62))] for own in whole]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(node, pa.int64()),
+                    pa.array([own.view(np.int64) for own in whole], pa.list_(pa.int64())),
+                    pa.array([np.unique(own >> np.uint64(31)).astype(np.int32) for own in quarter], pa.list_(pa.int32())),
+                    pa.array([len(own) for own in quarter], pa.int32()),
+                    pa.array([len(own) for own in whole], pa.int32()),
+                ],
+                names=["node", "tokens", "part", "q", "n"],
+            )
+
+    return docs.select(docs[text].alias("text")).mapInArrow(load, "node long, tokens array<long>, part array<int>, q int, n int")
 
 
 def possible(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of the pairs (a, b) those that a quarter of the hash range leaves possible: what two sets have in common there, and all of the smaller
-    rest, must suffice. Only quarters of sets meet here; most pairs need no more."""
-    quarter = F.filter("tokens", lambda x: (x >= 0) & (x < 1 << 62))
-    part = tokens.select("node", quarter.alias("part"), F.size("tokens").alias("n")).dropDuplicates(["node"])  # copies in several partitions each bring their set
-    right = pairs.join(part.select(F.col("node").alias("b"), F.col("part").alias("right"), "n"), "b")
-    both = right.join(part.select(F.col("node").alias("a"), F.col("part").alias("left"), F.col("n").alias("m")), "a")
-    rest = F.least(F.col("m") - F.size("left"), F.col("n") - F.size("right"))
-    return both.filter((F.size(F.array_intersect("left", "right")) + rest) * 9 >= (F.col("m") + F.col("n")) * 4).select("a", "b")
+    rest, must suffice. Only quarters of sets meet here, by 31 bits of each token; most pairs need no more. As tokens of a set may be
+    equal in these bits, what they merge is added to what is common."""
+    part = tokens.select("node", "part", "q", "n").dropDuplicates(["node"])  # copies in several partitions each bring their set
+    right = pairs.join(part.select(F.col("node").alias("b"), F.col("part").alias("right"), F.col("q").alias("r"), "n"), "b")
+    both = right.join(part.select(F.col("node").alias("a"), F.col("part").alias("left"), F.col("q").alias("l"), F.col("n").alias("m")), "a")
+    merged, rest = F.col("l") - F.size("left"), F.least(F.col("m") - F.col("l"), F.col("n") - F.col("r"))
+    return both.filter((F.size(F.array_intersect("left", "right")) + merged + rest) * 9 >= (F.col("m") + F.col("n")) * 4).select("a", "b")
 
 
 def verified(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -418,16 +459,16 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     ends = lambda rows: rows.select(F.col("a").alias("node")).unionByName(rows.select(F.col("b").alias("node"))).distinct()
     tokens = shared.written(tokens_of(docs, text, ends(pairs)), "jaccard-wanted")
     likely = shared.written(possible(tokens, pairs), "jaccard-likely")
-    links = verified(tokens.join(ends(likely), "node", "left_semi").dropDuplicates(["node"]), likely)
+    links = verified(passing(tokens.select("node", "tokens"), ends(likely)).dropDuplicates(["node"]), likely)
     shared.remove(tokens, pairs, likely)
     label = components(links)
 
     # Then those of a block that aren't in one component yet: with the centre of what they share, and at last all that may be similar.
-    known = labelled(many, label)
+    known = shared.written(labelled(many, label), "jaccard-known")
     several = known.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("used").alias("used")).filter("used and low <> high").select("block")
     open_ = shared.written(known.join(several, "block").select("node", "n", "comp").distinct(), "jaccard-open")
-    shared.remove(members)
-    sets_ = shared.written(tokens_of(docs, text, open_).dropDuplicates(["node"]).join(open_, "node"), "jaccard-sets")
+    shared.remove(members, known)
+    sets_ = shared.written(tokens_of(docs, text, open_).select("node", "tokens").dropDuplicates(["node"]).join(open_, "node"), "jaccard-sets")
     tokens, rows_ = sets_.select("node", "tokens"), prefixes(sets_)
     for partners in (centres, prefix_pairs):
         more = verified(tokens, shared.written(partners(rows_), "jaccard-pairs"))

@@ -122,3 +122,56 @@ def test_groups_of_changed_copies(spark, changes):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.join(docs).collect() == []
+
+
+def shuffled(spark, first=0):
+    """Bytes shuffled by the stages from `first` on, and the number after the last one."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    own = [(s.stageId(), s.shuffleWriteBytes()) for s in (stages.apply(k) for k in range(stages.size())) if s.stageId() >= first]
+    return sum(x for _, x in own), max((k for k, _ in own), default=first - 1) + 1
+
+
+def test_sets_that_are_ruled_out_are_not_shuffled(spark):
+    """Texts that share a passage with one other and aren't similar to it: no table is small enough to be broadcast, as with large inputs,
+    and yet few sets meet whole."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(300):
+        passage = [f"p{k}-{j}" for j in range(200)]
+        for side in range(2):
+            rows.append((2 * k + side, " ".join([*passage, *(f"{side}-{rng.random()}" for _ in range(400 if k else 4))])))
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    before, threshold = shuffled(spark)[1], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found == {d: (200 if d < 2 else 596, 0 if d < 2 else d) for d, _ in rows}
+    whole = 8 * sum(n for n, _ in found.values())
+    assert shuffled(spark, before)[0] < 0.8 * whole
+
+
+def test_numbers_packed():
+    for width in (1, 4, 5, 8):
+        numbers = np.random.default_rng(width).integers(0, 2 ** (8 * width) - 1, 1000, np.uint64, endpoint=True)
+        blob = b"ab" + jaccard_join.packed(numbers, width) + b"c"
+        assert len(blob) == 3 + 1000 * width
+        assert (jaccard_join.unpacked(blob, 2, 1000, width) == numbers).all()
+
+
+def test_quarters_rule_out_no_similar_sets(spark):
+    """Also where tokens of a set are equal in the bits that are sent; sets that have too little in common are left out."""
+    rows = [(1, [5], 40, 40), (2, [5], 40, 40), (3, [5, 6], 40, 40), (0, [7, 8, *range(100, 138)], 40, 40)]
+    tokens = spark.createDataFrame(rows, "node long, part array<int>, q int, n int")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (0, 1), (0, 3)], "a long, b long")
+    assert sorted(map(tuple, jaccard_join.possible(tokens, pairs).collect())) == [(1, 2), (2, 3)]
+
+
+def test_no_needed_node_is_left_out(spark):
+    rows = spark.range(-3000, 3000).withColumnRenamed("id", "node")
+    keys = rows.filter("node % 10 = 0")
+    kept = {r.node for r in jaccard_join.passing(rows, keys).collect()}
+    assert kept >= set(range(-3000, 3000, 10))
+    assert len(kept) < 1200
