@@ -180,3 +180,20 @@ def test_questions_of_a_package_do_not_join_order_lines_again(spark):
     _, _, asked, facts = memo_queries._package(spark, "/root/testdata/sf0.001")
     assert asked.count() == facts.count() > 0
     assert not [f for rows in (asked, facts) for f in rows.inputFiles() if "lineitem" in f]
+
+
+def test_every_operand_counts(spark):
+    operands = spark.createDataFrame([("d", k, f"v{k}", float(1_000_003 * 3**k % 99_991_337), "USD") for k in range(30)], "deal string, ord int, label string, value double, kind string")
+    total = sum(r.value for r in operands.filter("ord IN (27, 28)").collect())
+    figures = spark.createDataFrame([("d", 0, f"{total:,.0f}")], "deal string, place int, figure string")
+    assert statements.explained(figures, statements.derivations(operands)).first().derivation == "v27 + v28"
+
+
+def test_instructions_are_found_where_no_search_looks(spark, monkeypatch):
+    from tallyvane.operators import memo
+    from tallyvane.plans import deal_queries
+
+    monkeypatch.setattr(memo, "QUESTIONS", [("performance", "What was EBITDA?")])
+    monkeypatch.setattr(memo, "DETAIL", ("performance", "What was EBITDA?"))
+    items = {r.kind: r.n for r in deal_queries.deal_review_items(spark, "/root/testdata/sf0.001").collect()}
+    assert items["injection_finding"] == 1
