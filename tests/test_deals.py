@@ -197,3 +197,21 @@ def test_instructions_are_found_where_no_search_looks(spark, monkeypatch):
     monkeypatch.setattr(memo, "DETAIL", ("performance", "What was EBITDA?"))
     items = {r.kind: r.n for r in deal_queries.deal_review_items(spark, "/root/testdata/sf0.001").collect()}
     assert items["injection_finding"] == 1
+
+
+def test_values_are_derived_for_unexplained_figures_only(spark, monkeypatch):
+    held = [(d, key, v, "a.pdf", 1) for d in ("d", "e") for key, v in (("revenue", 1001.0), ("cogs", 407.0))]
+    figures = spark.createDataFrame(held, "deal string, key string, value double, document string, page int")
+    contexts = spark.createDataFrame([(d, "a.pdf", 1, "Revenue 1,001") for d in ("d", "e")], "deal string, document string, page int, text string")
+    log = statements.calculation_log(figures)
+    memos = spark.createDataFrame([("d", "Revenue of 1,001 [a.pdf#p1]."), ("e", "Together 1,408, or 2.46x; neither 9,999.")], "deal string, text string")
+    asked, derive = [], statements.derivations
+    monkeypatch.setattr(statements, "derivations", lambda parts: (asked.append({r.deal for r in parts.collect()}), derive(parts))[1])
+    out = memo.checked(memos, contexts, log, parts=memo.operands(figures, log))
+    assert {(r.deal, r.figure): (r.standing, r.derivation) for r in out.collect()} == {
+        ("d", "1,001"): ("printed", None),
+        ("e", "1,408"): ("reconstructible", "revenue + cogs"),
+        ("e", "2.46x"): ("reconstructible", "revenue / cogs"),
+        ("e", "9,999"): ("issue", None),
+    }
+    assert asked == [{"e"}]
